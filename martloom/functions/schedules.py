@@ -1,15 +1,12 @@
-"""Schedule text as Column expressions.
+"""Schedule text as Spark SQL expressions.
 
 A schedule is either ``interval:<n>[smhd]`` or five cron fields. Everything here is
-evaluated row by row inside the JVM, so a table of (schedule, date) pairs needs neither a
-shuffle nor a calendar table. Weekdays count from Monday = 0; day of month and weekday
-must both match.
-"""
-
-from pyspark.sql import Column, functions as F
+evaluated row by row inside the JVM, so a table of (schedule, date) pairs needs no
+calendar table. Weekdays count from Monday = 0; day of month and weekday must both match.
 
-INTERVAL_PATTERN = r"(?i)^interval:(\d+)([smhd]?)$"
-_TOKEN = r"^(\*|[0-9]+|[a-z]+)(?:-([0-9]+|[a-z]+))?(?:/([0-9]+))?$"
+The functions take and return SQL text, because the expressions are large and one parsed
+text is built much faster than hundreds of nested Column calls.
+"""
 
 # Names usable in the month and weekday fields.
 MONTH_NAMES = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -17,130 +14,128 @@ WEEKDAY_NAMES = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 # How many days back a previous fire is looked for.
 LOOKBACK_CALENDAR, LOOKBACK_CLOCK, LOOKBACK_EVERY_MINUTE = 400, 3, 1
 
+_INTERVAL = "(?i)^interval:([0-9]+)([smhd]?)$"
+_TOKEN = "^([*]|[0-9]+|[a-z]+)(?:-([0-9]+|[a-z]+))?(?:/([0-9]+))?$"
+CRON_FIELDS = ("minutes", "hours", "days", "months", "weekdays")
 
-def interval_seconds(schedule: Column) -> Column:
+
+def interval_seconds(schedule: str) -> str:
     """Length of an ``interval:`` schedule in seconds, null for anything else or for zero."""
-    n = F.regexp_extract(schedule, INTERVAL_PATTERN, 1)
-    unit = F.lower(F.regexp_extract(schedule, INTERVAL_PATTERN, 2))
-    size = F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).otherwise(1)
-    seconds = F.when(n != "", n).try_cast("long") * size
-    return F.when(seconds > 0, seconds)
+    n = f"try_cast(regexp_extract({schedule}, '{_INTERVAL}', 1) AS BIGINT)"
+    unit = f"lower(regexp_extract({schedule}, '{_INTERVAL}', 2))"
+    size = f"CASE {unit} WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 ELSE 1 END"
+    return f"nullif({n} * {size}, 0)"
 
 
-def _number(token: Column, low: int, names: list[str]) -> Column:
-    by_name = F.lit(None).cast("int")
-    if names:
-        at = F.array_position(F.array(*[F.lit(n) for n in names]), token).cast("int")
-        by_name = F.when(at > 0, at - 1 + low)
-    return F.coalesce(token.try_cast("int"), by_name)
+def _number(token: str, low: int, names: list[str]) -> str:
+    if not names:
+        return f"try_cast({token} AS INT)"
+    known = ", ".join(f"'{n}'" for n in names)
+    by_name = f"nullif(CAST(array_position(array({known}), {token}) AS INT), 0) - 1 + {low}"
+    return f"coalesce(try_cast({token} AS INT), {by_name})"
 
 
-def _field_values(field: Column, low: int, high: int, names: list[str]) -> Column:
+def _field_values(field: str, low: int, high: int, names: list[str]) -> str:
     """Sorted numbers a cron field stands for; null when the text is not understood."""
-
-    def read(token: Column) -> Column:
-        return F.struct(*[F.regexp_extract(token, _TOKEN, i + 1).alias(n) for i, n in enumerate(("a", "b", "step"))])
-
-    def bound(t: Column) -> Column:
-        star, ranged, stepped = t["a"] == "*", t["b"] != "", t["step"] != ""
-        start = F.when(star, F.lit(low)).otherwise(_number(t["a"], low, names))
-        end = F.when(ranged, _number(t["b"], low, names)).when(star | stepped, F.lit(high))
-        named_a, named_b = t["a"].rlike("^[a-z]"), t["b"].rlike("^[a-z]")
-        clash = (star & ranged) | (stepped & (named_a | named_b)) | (ranged & (named_a != named_b))
-        return F.struct(
-            F.when(~clash, start).alias("start"),
-            F.coalesce(end, F.when(~ranged, start)).alias("end"),
-            F.when(stepped, t["step"].try_cast("int")).otherwise(F.lit(1)).alias("every"),
-        )
-
-    def spread(t: Column) -> Column:
-        good = (t["start"] >= low) & (t["end"] <= high) & (t["start"] <= t["end"]) & (t["every"] > 0)
-        return F.when(good, F.sequence(t["start"], F.greatest(t["start"], t["end"]), F.greatest(F.lit(1), t["every"])))
-
-    bounds = F.transform(F.transform(F.split(field, ","), read), bound)
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(bounds, spread))))
+    groups = ", ".join(f"'{n}', regexp_extract(x, '{_TOKEN}', {i})" for i, n in enumerate(("a", "b", "s"), 1))
+    tokens = f"transform(split({field}, ','), x -> named_struct({groups}))"
+    name_a, name_b = "t.a RLIKE '^[a-z]'", "t.b RLIKE '^[a-z]'"
+    clash = (
+        f"(t.a = '*' AND t.b <> '') OR (t.s <> '' AND ({name_a} OR {name_b}))"
+        f" OR (t.b <> '' AND ({name_a}) <> ({name_b}))"
+    )
+    start = f"CASE WHEN {clash} THEN NULL WHEN t.a = '*' THEN {low} ELSE {_number('t.a', low, names)} END"
+    stop = (
+        f"CASE WHEN t.b <> '' THEN {_number('t.b', low, names)} WHEN t.a = '*' OR t.s <> '' THEN {high}"
+        f" ELSE {_number('t.a', low, names)} END"
+    )
+    every = "CASE WHEN t.s = '' THEN 1 ELSE try_cast(t.s AS INT) END"
+    bounds = f"transform({tokens}, t -> named_struct('start', {start}, 'stop', {stop}, 'every', {every}))"
+    good = f"t.start >= {low} AND t.stop <= {high} AND t.start <= t.stop AND t.every > 0"
+    spread = f"CASE WHEN {good} THEN sequence(t.start, greatest(t.start, t.stop), greatest(1, t.every)) END"
+    return f"array_sort(array_distinct(flatten(transform({bounds}, t -> {spread}))))"
 
 
-def cron_struct(schedule: Column) -> Column:
-    """Parsed cron fields as a struct; a field that is not understood is null.
+def cron_struct(schedule: str) -> str:
+    """Parsed cron fields as a struct, null without five fields; a field not understood is null.
 
-    Put the struct in a column of its own before using its fields, so it is parsed once.
+    Parse distinct schedule texts and join them back: a filter on anything derived from
+    the struct would otherwise be pushed below it and parse the text for every day tried.
     """
-    words = F.split(F.lower(F.trim(schedule)), r"\s+")
-    fields = F.when(F.size(words) == 5, words)
-    minute, hour, day, month, weekday = [F.get(fields, F.lit(i)) for i in range(5)]
-    numbered = F.array_remove(F.split(day, ","), F.lit("last"))
-    calendar = (day != "*") | (month != "*") | (weekday != "*")
-    clock = (minute != "*") | (hour != "*")
-    return F.struct(
-        _field_values(minute, 0, 59, []).alias("minutes"),
-        _field_values(hour, 0, 23, []).alias("hours"),
-        F.when(F.size(numbered) == 0, F.array().cast("array<int>"))
-        .otherwise(_field_values(F.array_join(numbered, ","), 1, 31, []))
-        .alias("days"),
-        F.array_contains(F.split(day, ","), "last").alias("last_day"),
-        _field_values(month, 1, 12, MONTH_NAMES).alias("months"),
-        _field_values(weekday, 0, 6, WEEKDAY_NAMES).alias("weekdays"),
-        F.when(calendar, LOOKBACK_CALENDAR).when(clock, LOOKBACK_CLOCK).otherwise(LOOKBACK_EVERY_MINUTE).alias("lookback"),
+    words = f"split(lower(trim({schedule})), '[ \t]+')"
+    minute, hour, day, month, weekday = (f"get({words}, {i})" for i in range(5))
+    numbered = f"array_remove(split({day}, ','), 'last')"
+    days = (
+        f"CASE WHEN size({numbered}) = 0 THEN CAST(array() AS ARRAY<INT>)"
+        f" ELSE {_field_values(f'array_join({numbered}, \',\')', 1, 31, [])} END"
     )
-
-
-def is_cron(cron: Column) -> Column:
+    lookback = (
+        f"CASE WHEN {day} <> '*' OR {month} <> '*' OR {weekday} <> '*' THEN {LOOKBACK_CALENDAR}"
+        f" WHEN {minute} <> '*' OR {hour} <> '*' THEN {LOOKBACK_CLOCK} ELSE {LOOKBACK_EVERY_MINUTE} END"
+    )
+    values = {
+        "minutes": _field_values(minute, 0, 59, []),
+        "hours": _field_values(hour, 0, 23, []),
+        "days": days,
+        "last_day": f"array_contains(split({day}, ','), 'last')",
+        "months": _field_values(month, 1, 12, MONTH_NAMES),
+        "weekdays": _field_values(weekday, 0, 6, WEEKDAY_NAMES),
+        "lookback": lookback,
+    }
+    fields = ", ".join(f"'{name}', {value}" for name, value in values.items())
+    return f"CASE WHEN size({words}) = 5 THEN named_struct({fields}) END"
+
+
+def is_cron(cron: str) -> str:
     """Whether every field of a parsed cron text was understood."""
-    ok = F.lit(True)
-    for name in ("minutes", "hours", "days", "months", "weekdays"):
-        ok = ok & cron[name].isNotNull()
-    return ok
+    return "(" + " AND ".join(f"{cron}.{name} IS NOT NULL" for name in CRON_FIELDS) + ")"
 
 
-def day_matches(cron: Column, day: Column) -> Column:
-    in_month = F.array_contains(cron["days"], F.day(day)) | (cron["last_day"] & (F.last_day(day) == day))
+def day_matches(cron: str, day: str) -> str:
     return (
-        F.array_contains(cron["months"], F.month(day))
-        & in_month
-        & F.array_contains(cron["weekdays"], F.weekday(day))
+        f"(array_contains({cron}.months, month({day})) AND array_contains({cron}.weekdays, weekday({day}))"
+        f" AND (array_contains({cron}.days, day({day})) OR ({cron}.last_day AND last_day({day}) = {day})))"
     )
 
 
-def at_time(day: Column, hour: Column, minute: Column) -> Column:
-    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute)
+def at_minute(day: str, minute: str) -> str:
+    """The instant ``minute`` minutes after midnight of ``day``."""
+    return f"(CAST({day} AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, {minute}))"
 
 
-def first_fire(cron: Column, day: Column) -> Column:
+def first_fire(cron: str, day: str) -> str:
     """First fire on ``day``, null when the schedule does not fire that day."""
-    at = at_time(day, F.array_min(cron["hours"]), F.array_min(cron["minutes"]))
-    return F.when(day_matches(cron, day), at)
+    first = at_minute(day, f"array_min({cron}.hours) * 60 + array_min({cron}.minutes)")
+    return f"CASE WHEN {day_matches(cron, day)} THEN {first} END"
 
 
-def previous_fire_day(cron: Column, day: Column) -> Column:
-    """Newest firing day before ``day`` within the lookback."""
-    window = F.sequence(F.date_sub(day, cron["lookback"]), F.date_sub(day, 1))
-    return F.array_max(F.filter(window, lambda d: day_matches(cron, d)))
+def _search(pick: str, window: str, cron: str) -> str:
+    """Nearest firing day: a week and a month are tried before the long way."""
+    tries = (f"{pick}(filter({window.format(n=n)}, d -> {day_matches(cron, 'd')}))" for n in (7, 31, LOOKBACK_CALENDAR))
+    return f"coalesce({', '.join(tries)})"
 
 
-def previous_days_last_fire(cron: Column, day: Column) -> Column:
-    """Last fire of the newest firing day before ``day``."""
-    return at_time(
-        previous_fire_day(cron, day), F.array_max(cron["hours"]), F.array_max(cron["minutes"])
-    )
+def previous_days_last_fire(cron: str, day: str) -> str:
+    """Last fire of the newest firing day before ``day`` within the lookback."""
+    window = f"sequence(date_sub({day}, least({{n}}, {cron}.lookback)), date_sub({day}, 1))"
+    found = _search("array_max", window, cron)
+    return at_minute(found, f"array_max({cron}.hours) * 60 + array_max({cron}.minutes)")
 
 
-def fire_minutes(cron: Column) -> Column:
+def fire_minutes(cron: str) -> str:
     """All fires of a firing day, as sorted minutes after midnight."""
-    return F.array_sort(
-        F.flatten(F.transform(cron["hours"], lambda h: F.transform(cron["minutes"], lambda m: h * 60 + m)))
-    )
+    return f"array_sort(flatten(transform({cron}.hours, h -> transform({cron}.minutes, m -> h * 60 + m))))"
 
 
-def next_fire(cron: Column, as_of: Column) -> Column:
-    """First fire at or after ``as_of``, looked for within the lookback length ahead."""
-    today = as_of.cast("date")
-    passed = (F.hour(as_of) * 60 + F.minute(as_of)) + F.when(
-        as_of > F.date_trunc("minute", as_of).cast("timestamp_ntz"), 1
-    ).otherwise(0)
-    later = F.array_min(F.filter(fire_minutes(cron), lambda m: m >= passed))
-    ahead = F.sequence(F.date_add(today, 1), F.date_add(today, F.lit(LOOKBACK_CALENDAR)))
-    next_day = F.array_min(F.filter(ahead, lambda d: day_matches(cron, d)))
-    return F.when(
-        day_matches(cron, today) & later.isNotNull(), at_time(today, F.lit(0), later)
-    ).otherwise(first_fire(cron, next_day))
+def next_fire(cron: str, as_of: str) -> str:
+    """First fire at or after ``as_of``, looked for as far ahead as the longest lookback."""
+    today = f"CAST({as_of} AS DATE)"
+    begun = f"CASE WHEN second({as_of}) > 0 OR date_trunc('second', {as_of}) < {as_of} THEN 1 ELSE 0 END"
+    passed = f"(hour({as_of}) * 60 + minute({as_of}) + {begun})"
+    later = f"array_min(filter({fire_minutes(cron)}, m -> m >= {passed}))"
+    window = f"sequence(date_add({today}, 1), date_add({today}, {{n}}))"
+    next_day = _search("array_min", window, cron)
+    return (
+        f"CASE WHEN {day_matches(cron, today)} AND {later} IS NOT NULL THEN {at_minute(today, later)}"
+        f" ELSE {at_minute(next_day, f'array_min({cron}.hours) * 60 + array_min({cron}.minutes)')} END"
+    )

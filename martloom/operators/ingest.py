@@ -96,7 +96,7 @@ def extract(source: DataFrame, spec: IngestSpec, execution_date: dt.date) -> Dat
     where = " AND ".join(predicates)
     names = bind_names(where)
     params: dict = {}
-    if names:
+    if any(n.startswith(I.INTERVAL_BIND_KEYS) for n in names - set(spec.source_bind_params)):
         params.update(I.interval_bind_params(*I.resolve_data_interval(source.sparkSession, execution_date, spec.schedule)))
     params.update(spec.source_bind_params)
     missing = sorted(names - set(params))

@@ -11,6 +11,16 @@ INTERVAL_BIND_KEYS = ("logical_date", "data_interval_start", "data_interval_end"
 _PARTS = ("year", "month", "day", "hour", "minute", "second")
 
 
+def _parsed(df: DataFrame, schedule_col: str) -> DataFrame:
+    text = f"trim(`{schedule_col}`)"
+    return df.withColumns({"_seconds": F.expr(S.interval_seconds(text)), "_cron": F.expr(S.cron_struct(text))})
+
+
+def with_schedule(df: DataFrame, schedule_col: str = "schedule") -> DataFrame:
+    """Add the parsed schedule as ``_seconds`` and ``_cron``; each distinct text is parsed once."""
+    return df.join(_parsed(df.select(schedule_col).distinct(), schedule_col), schedule_col, "left")
+
+
 def with_data_interval(df: DataFrame, date_col: str = "execution_date", schedule_col: str = "schedule") -> DataFrame:
     """Add ``data_interval_start``, ``data_interval_end`` and ``interval_error`` to each row.
 
@@ -18,28 +28,30 @@ def with_data_interval(df: DataFrame, date_col: str = "execution_date", schedule
     the date and start at the fire before it. Rows that have no interval keep nulls and say
     why in ``interval_error``.
     """
+    return _intervals(with_schedule(df, schedule_col), df.columns, date_col, schedule_col)
+
+
+def _intervals(base: DataFrame, columns: list[str], date_col: str, schedule_col: str) -> DataFrame:
     day, schedule = F.col(date_col), F.trim(F.col(schedule_col))
-    base = df.withColumn("_seconds", S.interval_seconds(schedule)).withColumn("_cron", S.cron_struct(schedule))
-    cron = F.col("_cron")
     midnight = day.cast("timestamp_ntz")
     fixed = F.col("_seconds").isNotNull()
     parsed = base.select(
         "*",
-        F.when(fixed, midnight).otherwise(S.first_fire(cron, day)).alias("_end"),
+        F.when(fixed, midnight).otherwise(F.expr(S.first_fire("_cron", f"`{date_col}`"))).alias("_end"),
         F.when(
             fixed,
             midnight - F.make_dt_interval(secs=F.col("_seconds").cast("decimal(18,6)")),
-        ).otherwise(S.previous_days_last_fire(cron, day)).alias("_start"),
+        ).otherwise(F.expr(S.previous_days_last_fire("_cron", f"`{date_col}`"))).alias("_start"),
     )
-    usable = (fixed | S.is_cron(cron)) & F.col("_end").isNotNull() & F.col("_start").isNotNull()
+    usable = F.col("_end").isNotNull() & F.col("_start").isNotNull()
     reason = (
         F.when(schedule.isNull() | (schedule == ""), "schedule is blank")
-        .when(~fixed & ~S.is_cron(cron), "schedule is not supported")
+        .when(~fixed & ~F.coalesce(F.expr(S.is_cron("_cron")), F.lit(False)), "schedule is not supported")
         .when(F.col("_end").isNull(), "no fire on the execution date")
         .when(F.col("_start").isNull(), "no previous fire found")
     )
     return parsed.select(
-        *[F.col(c) for c in df.columns],
+        *columns,
         F.when(usable, F.col("_start")).alias("data_interval_start"),
         F.when(usable, F.col("_end")).alias("data_interval_end"),
         reason.alias("interval_error"),
@@ -48,12 +60,10 @@ def with_data_interval(df: DataFrame, date_col: str = "execution_date", schedule
 
 def resolve_data_interval(spark: SparkSession, execution_date: dt.date, schedule: str | None):
     """The ``(start, end)`` of one execution date; raises ``ValueError`` when there is none."""
-    row = with_data_interval(
-        spark.range(1).select(
-            F.lit(execution_date).cast("date").alias("execution_date"),
-            F.lit(schedule).cast("string").alias("schedule"),
-        )
-    ).first()
+    one = spark.range(1).select(
+        F.lit(execution_date).cast("date").alias("execution_date"), F.lit(schedule).cast("string").alias("schedule")
+    )
+    row = _intervals(_parsed(one, "schedule"), one.columns, "execution_date", "schedule").first()
     if row["interval_error"]:
         raise ValueError(f"{row['interval_error']}: execution_date={execution_date} schedule={schedule}")
     return row["data_interval_start"], row["data_interval_end"]
@@ -89,21 +99,19 @@ def fire_intervals(schedules: DataFrame, start: str = "start_date", end: str = "
     window over a schedule's whole history is needed.
     """
     days = (
-        schedules.withColumn("_cron", S.cron_struct(F.col("schedule")))
-        .where(S.is_cron(F.col("_cron")))
+        with_schedule(schedules)
+        .where(S.is_cron("_cron"))
         .withColumn("fire_date", F.explode(F.sequence(F.col(start), F.col(end))))
-        .where(S.day_matches(F.col("_cron"), F.col("fire_date")))
-        .withColumn("_minutes", S.fire_minutes(F.col("_cron")))
-        .withColumn("_before", S.previous_days_last_fire(F.col("_cron"), F.col("fire_date")))
+        .where(S.day_matches("_cron", "fire_date"))
+        .withColumn("_minutes", F.expr(S.fire_minutes("_cron")))
+        .withColumn("_before", F.expr(S.previous_days_last_fire("_cron", "fire_date")))
     )
     fires = days.select("*", F.posexplode("_minutes").alias("_pos", "_minute"))
-    before = F.when(F.col("_pos") > 0, F.get("_minutes", F.col("_pos") - 1))
+    earlier = f"CASE WHEN _pos > 0 THEN {S.at_minute('fire_date', 'get(_minutes, _pos - 1)')} ELSE _before END"
     return fires.select(
         *schedules.columns,
-        F.when(before.isNotNull(), S.at_time(F.col("fire_date"), F.lit(0), before))
-        .otherwise(F.col("_before"))
-        .alias("data_interval_start"),
-        S.at_time(F.col("fire_date"), F.lit(0), F.col("_minute")).alias("data_interval_end"),
+        F.expr(earlier).alias("data_interval_start"),
+        F.expr(S.at_minute("fire_date", "_minute")).alias("data_interval_end"),
     )
 
 

@@ -15,6 +15,7 @@ from martloom.functions import text as X
 from martloom.functions.dates import avg_duration_text, duration_text, parse_iso, seconds_between, timestamp_literal
 from martloom.functions.numbers import round2
 from martloom.functions.status import ACTIVE_STATUSES, STATUS_GROUPS, has_tone, tone
+from martloom.operators.intervals import with_schedule
 from martloom.operators.paging import page as take_page
 
 RECENT_RUNS = 25
@@ -167,11 +168,10 @@ def dataset_names(runs: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def job_overview(specs: DataFrame, overrides: DataFrame, runs: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row per configured pipeline: pause state, next fire and newest run."""
-    cron = F.col("_cron")
+    upcoming = S.next_fire("_cron", f"TIMESTAMP_NTZ '{as_of}'")
     planned = (
-        specs.join(pause_state(specs, overrides), "name")
-        .withColumn("_cron", S.cron_struct(F.col("schedule")))
-        .withColumn("next_run", F.when(S.is_cron(cron), S.next_fire(cron, timestamp_literal(as_of))))
+        with_schedule(specs.join(pause_state(specs, overrides), "name"))
+        .withColumn("next_run", F.expr(f"CASE WHEN {S.is_cron('_cron')} THEN {upcoming} END"))
     )
     newest_run = latest_run(runs, keys=("pipeline_name",)).select(
         F.col("pipeline_name").alias("name"),

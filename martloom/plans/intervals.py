@@ -1,2 +1,144 @@
-QUERIES = {}
-ORACLE = {}
+"""Data intervals, schedule fires, month splits and assignment over the ledger's dates."""
+
+from pyspark.sql import functions as F
+
+from martloom.operators import intervals as I
+from martloom.plans.base import RUNS, SPECS, with_
+from martloom.sources.tables import pipeline_specs, runs, table
+
+
+def _dates(spark, sf_dir):
+    """Every (pipeline, execution date) of the ledger once."""
+    return runs(spark, sf_dir).select("pipeline_name", "execution_date").distinct()
+
+
+def interval_windows(spark, sf_dir):
+    day = F.dayofmonth("execution_date") % 4
+    text = F.when(day == 0, "interval:90").when(day == 1, "interval:15m").when(day == 2, "INTERVAL:6h").otherwise("interval:2d")
+    return I.with_data_interval(_dates(spark, sf_dir).withColumn("schedule", text)).drop("interval_error")
+
+
+def cron_windows(spark, sf_dir):
+    specs = pipeline_specs(spark, sf_dir).select(F.col("name").alias("pipeline_name"), "schedule")
+    return I.with_data_interval(_dates(spark, sf_dir).join(specs, "pipeline_name"))
+
+
+def bind_params(spark, sf_dir):
+    whole = cron_windows(spark, sf_dir).where(F.col("interval_error").isNull()).drop("interval_error", "schedule")
+    return I.with_bind_params(whole)
+
+
+def _ranges(spark, sf_dir):
+    """First and last execution date of every pipeline."""
+    return runs(spark, sf_dir).groupBy("pipeline_name").agg(
+        F.min("execution_date").alias("start_date"), F.max("execution_date").alias("end_date")
+    )
+
+
+def fire_intervals(spark, sf_dir):
+    specs = pipeline_specs(spark, sf_dir).select(F.col("name").alias("pipeline_name"), "schedule")
+    return I.fire_intervals(_ranges(spark, sf_dir).join(specs, "pipeline_name")).select(
+        "pipeline_name", "schedule", "data_interval_start", "data_interval_end"
+    )
+
+
+def interval_assignment(spark, sf_dir):
+    """Each event with the data interval of every cron pipeline it falls into."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    span = events.agg(
+        F.min("ts").cast("date").alias("start_date"), F.date_add(F.max("ts").cast("date"), 31).alias("end_date")
+    )
+    specs = pipeline_specs(spark, sf_dir).select(F.col("name").alias("pipeline_name"), "schedule")
+    schedules = specs.withColumn("_k", F.lit(1)).join(span.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    fires = I.fire_intervals(schedules).select("pipeline_name", "data_interval_start", "data_interval_end")
+    return I.assign_intervals(events, fires, "ts").select(
+        "event_id", "pipeline_name", "data_interval_start", "data_interval_end"
+    )
+
+
+def backfill_months(spark, sf_dir):
+    return I.split_months(_ranges(spark, sf_dir)).select("pipeline_name", "execution_date")
+
+
+def pending_dates(spark, sf_dir):
+    return I.pending_dates(_dates(spark, sf_dir), runs(spark, sf_dir))
+
+
+# All fires on a half-hour grid, each schedule spelled out as a plain condition.
+FIRES = """
+grid AS (
+  SELECT CAST(g AS TIMESTAMP) AS t FROM (
+    SELECT unnest(generate_series(TIMESTAMP '1993-10-01', TIMESTAMP '2004-12-31', INTERVAL 30 MINUTE)) AS g)
+),
+fires AS (
+  SELECT digit, t, lag(t) OVER (PARTITION BY digit ORDER BY t) AS before FROM (
+    SELECT '1' AS digit, t FROM grid WHERE hour(t) = 2 AND minute(t) = 0
+    UNION ALL SELECT '2', t FROM grid WHERE day(t) = 1 AND hour(t) = 2 AND minute(t) = 0
+    UNION ALL SELECT '3', t FROM grid WHERE hour(t) IN (0, 6, 12, 18) AND minute(t) = 0
+    UNION ALL SELECT '4', t FROM grid WHERE isodow(t) <= 5 AND hour(t) = 1 AND minute(t) = 30)
+)"""
+
+_DATES = """
+dates AS (SELECT DISTINCT pipeline_name, execution_date FROM runs)"""
+
+_WINDOWS = RUNS + "," + SPECS + "," + _DATES + "," + FIRES + """,
+firsts AS (SELECT digit, CAST(t AS DATE) AS d, min(t) AS t, min(before) AS before FROM fires GROUP BY 1, 2),
+windows AS (
+  SELECT d.pipeline_name, d.execution_date, s.schedule,
+         CASE WHEN left(d.pipeline_name, 1) = '5' THEN CAST(d.execution_date AS TIMESTAMP) - INTERVAL 15 MINUTE
+              ELSE f.before END AS data_interval_start,
+         CASE WHEN left(d.pipeline_name, 1) = '5' THEN CAST(d.execution_date AS TIMESTAMP) ELSE f.t END AS data_interval_end
+  FROM dates d JOIN specs s ON s.name = d.pipeline_name
+  LEFT JOIN firsts f ON f.digit = left(d.pipeline_name, 1) AND f.d = d.execution_date
+)"""
+
+_PART_COLUMNS = ", ".join(
+    f"CAST({part}({source}) AS INTEGER) AS {key}_{part}"
+    for key, source in (("logical_date", "data_interval_start"), ("data_interval_start", "data_interval_start"),
+                        ("data_interval_end", "data_interval_end"))
+    for part in ("year", "month", "day", "hour", "minute", "second")
+)
+
+QUERIES = {
+    "interval_windows": interval_windows,
+    "cron_windows": cron_windows,
+    "bind_params": bind_params,
+    "fire_intervals": fire_intervals,
+    "interval_assignment": interval_assignment,
+    "backfill_months": backfill_months,
+    "pending_dates": pending_dates,
+}
+
+ORACLE = {
+    "interval_windows": with_(RUNS + "," + _DATES, """
+        SELECT pipeline_name, execution_date, schedule, CAST(execution_date AS TIMESTAMP) - INTERVAL 1 SECOND * secs AS data_interval_start,
+               CAST(execution_date AS TIMESTAMP) AS data_interval_end
+        FROM (SELECT *, CASE day(execution_date) % 4 WHEN 0 THEN 'interval:90' WHEN 1 THEN 'interval:15m'
+                          WHEN 2 THEN 'INTERVAL:6h' ELSE 'interval:2d' END AS schedule,
+                     CASE day(execution_date) % 4 WHEN 0 THEN 90 WHEN 1 THEN 900 WHEN 2 THEN 21600 ELSE 172800 END AS secs
+              FROM dates)"""),
+    "cron_windows": with_(_WINDOWS, """
+        SELECT *, CASE WHEN data_interval_end IS NULL THEN 'no fire on the execution date' END AS interval_error FROM windows"""),
+    "bind_params": with_(_WINDOWS, f"""
+        SELECT pipeline_name, execution_date, data_interval_start, data_interval_end, data_interval_start AS logical_date,
+               {_PART_COLUMNS} FROM windows WHERE data_interval_end IS NOT NULL"""),
+    "fire_intervals": with_(RUNS + "," + SPECS + "," + FIRES, """
+        SELECT r.pipeline_name, s.schedule, f.before AS data_interval_start, f.t AS data_interval_end
+        FROM (SELECT pipeline_name, min(execution_date) AS a, max(execution_date) AS b FROM runs GROUP BY 1) r
+        JOIN specs s ON s.name = r.pipeline_name
+        JOIN fires f ON f.digit = left(r.pipeline_name, 1) AND CAST(f.t AS DATE) BETWEEN r.a AND r.b"""),
+    "interval_assignment": with_(SPECS + """,
+        grid AS (
+          SELECT CAST(g AS TIMESTAMP) AS t FROM (
+            SELECT unnest(generate_series(TIMESTAMP '2022-10-01', TIMESTAMP '2025-12-31', INTERVAL 30 MINUTE)) AS g)
+        )""" + FIRES[FIRES.index(",\nfires"):], """
+        SELECT e.event_id, s.name AS pipeline_name, f.before AS data_interval_start, f.t AS data_interval_end
+        FROM events e JOIN fires f ON e.ts >= f.before AND e.ts < f.t JOIN specs s ON left(s.name, 1) = f.digit"""),
+    "backfill_months": with_(RUNS, """
+        SELECT pipeline_name, CAST(unnest(generate_series(CAST(date_trunc('month', a) AS TIMESTAMP),
+               CAST(date_trunc('month', b) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS execution_date
+        FROM (SELECT pipeline_name, min(execution_date) AS a, max(execution_date) AS b FROM runs GROUP BY 1)"""),
+    "pending_dates": with_(RUNS, """
+        SELECT pipeline_name, execution_date FROM runs GROUP BY 1, 2
+        HAVING count(*) FILTER (WHERE status IN ('success', 'queued', 'running')) = 0"""),
+}

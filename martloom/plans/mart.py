@@ -1,2 +1,157 @@
-QUERIES = {}
-ORACLE = {}
+"""Raw scans, file statistics, roll-ups, upserts and validation."""
+
+from pyspark.sql import functions as F
+
+from martloom.functions.dates import month_start
+from martloom.operators import ingest as I
+from martloom.operators import mart as M
+from martloom.plans.base import MART_DATASETS, MART_FILES, MART_SOURCES, REFRESHED_AT, with_
+from martloom.sources import partitions as P
+from martloom.sources.storage import shared_folder
+from martloom.sources.tables import mart_files, table
+
+
+def stored_orders(spark, sf_dir, label):
+    """The orders table as a month-partitioned raw dataset in a new folder."""
+    root = f"{shared_folder(spark, label)}/ORDERS"
+    orders = table(spark, sf_dir, "orders")
+    I.write_partitions(I.with_partition(orders, month_start(F.col("o_orderdate"))), root, spread=True)
+    return root
+
+
+def mart_raw_scan(spark, sf_dir):
+    return P.scan(spark, stored_orders(spark, sf_dir, "raw-scan")).select(
+        "o_orderkey", "o_custkey", "o_totalprice", "year", "month"
+    )
+
+
+def mart_file_stats(spark, sf_dir):
+    stats = P.file_stats(spark, stored_orders(spark, sf_dir, "file-stats"))
+    return stats.groupBy("partition_start").agg(F.sum("row_count").alias("row_count"))
+
+
+def partition_row_count(spark, sf_dir):
+    return P.partition_row_counts(spark, stored_orders(spark, sf_dir, "row-count"))
+
+
+def mart_sources(spark, sf_dir):
+    return M.source_rollup(mart_files(spark, sf_dir), "full", REFRESHED_AT)
+
+
+def mart_datasets(spark, sf_dir):
+    return M.dataset_rollup(mart_sources(spark, sf_dir))
+
+
+def _rebuilt_lineitem(files):
+    """A later build of one source: every file of it, half of them grown."""
+    rows = F.col("row_count") + F.when(F.month("partition_start") > 6, 100).otherwise(0)
+    return files.where(F.col("source_name") == "LINEITEM").withColumns(
+        {"row_count": rows, "last_build_id": F.lit("build-009")}
+    )
+
+
+def mart_upsert_files(spark, sf_dir):
+    files = mart_files(spark, sf_dir)
+    return M.upsert(files, _rebuilt_lineitem(files))
+
+
+def mart_keep_other_sources(spark, sf_dir):
+    """What is left of the other sources after one source was rebuilt."""
+    files = mart_files(spark, sf_dir)
+    kept = M.upsert(files, _rebuilt_lineitem(files)).where(F.col("source_name") != "LINEITEM")
+    return M.source_rollup(kept, "full", REFRESHED_AT)
+
+
+def _expected(spark, sf_dir):
+    """What a build of the files should have recorded, off for some sources."""
+    line, events = F.col("source_name") == "LINEITEM", F.col("source_name") == "EVENTS"
+    return mart_sources(spark, sf_dir).select(
+        "dataset_name",
+        "source_name",
+        (F.col("row_count") + F.when(line, 7).otherwise(0)).alias("row_count"),
+        (F.col("file_count") + F.when(events, 2).otherwise(0)).alias("file_count"),
+        F.when(line, "build-777").otherwise(F.col("last_build_id")).alias("build_id"),
+    )
+
+
+def validate_sources(spark, sf_dir):
+    recorded = mart_sources(spark, sf_dir).where(F.col("source_name") != "ORDERS")
+    return M.validate_sources(_expected(spark, sf_dir), recorded)
+
+
+def validate_files(spark, sf_dir):
+    return M.validate_files(_expected(spark, sf_dir), mart_files(spark, sf_dir))
+
+
+def validate_datasets(spark, sf_dir):
+    totals = mart_datasets(spark, sf_dir).withColumn("total_files", F.lit(100).cast("long"))
+    return M.validate_datasets(_expected(spark, sf_dir), totals)
+
+
+_REBUILT = MART_FILES + """,
+upserted AS (
+  SELECT * FROM mart_files WHERE source_name <> 'LINEITEM'
+  UNION ALL
+  SELECT dataset_name, source_name, partition_start, file_path,
+         row_count + CASE WHEN month(partition_start) > 6 THEN 100 ELSE 0 END, 'build-009'
+  FROM mart_files WHERE source_name = 'LINEITEM'
+)"""
+
+_EXPECTED = MART_DATASETS + """,
+expected AS (
+  SELECT dataset_name, source_name, row_count + CASE WHEN source_name = 'LINEITEM' THEN 7 ELSE 0 END AS row_count,
+         file_count + CASE WHEN source_name = 'EVENTS' THEN 2 ELSE 0 END AS file_count,
+         CASE WHEN source_name = 'LINEITEM' THEN 'build-777' ELSE last_build_id END AS build_id
+  FROM mart_sources
+)"""
+
+
+def _issue(check, want, got, where, joined):
+    return f"""SELECT e.dataset_name, e.source_name, 'error' AS severity, '{check}' AS check,
+      '{check}: expected ' || {want} || ', got ' || {got} AS message FROM expected e {joined} WHERE {where}"""
+
+
+_ON_SOURCE = "JOIN mart_sources a USING (dataset_name, source_name)"
+_ON_FILES = """LEFT JOIN (SELECT dataset_name, source_name, CAST(sum(row_count) AS BIGINT) AS s, count(*) AS c
+  FROM mart_files GROUP BY 1, 2) a USING (dataset_name, source_name)"""
+_ON_DATASET = "JOIN mart_datasets a USING (dataset_name)"
+
+QUERIES = {
+    "mart_raw_scan": mart_raw_scan,
+    "mart_file_stats": mart_file_stats,
+    "partition_row_count": partition_row_count,
+    "mart_sources": mart_sources,
+    "mart_datasets": mart_datasets,
+    "mart_upsert_files": mart_upsert_files,
+    "mart_keep_other_sources": mart_keep_other_sources,
+    "validate_sources": validate_sources,
+    "validate_files": validate_files,
+    "validate_datasets": validate_datasets,
+}
+
+ORACLE = {
+    "mart_raw_scan": """SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year,
+        CAST(month(o_orderdate) AS INTEGER) AS month FROM orders""",
+    "mart_file_stats": """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS partition_start, count(*) AS row_count
+        FROM orders GROUP BY 1""",
+    "partition_row_count": """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+        count(*) AS row_count FROM orders GROUP BY 1, 2""",
+    "mart_sources": with_(MART_SOURCES, "SELECT * FROM mart_sources"),
+    "mart_datasets": with_(MART_DATASETS, "SELECT * FROM mart_datasets"),
+    "mart_upsert_files": with_(_REBUILT, "SELECT * FROM upserted"),
+    "mart_keep_other_sources": with_(MART_SOURCES, "SELECT * FROM mart_sources WHERE source_name <> 'LINEITEM'"),
+    "validate_sources": with_(_EXPECTED, f"""
+        {_issue("source_missing", "'a row'", "'none'", "e.source_name = 'ORDERS'", "")}
+        UNION ALL {_issue("source_row_count", "e.row_count", "a.row_count",
+                          "e.source_name <> 'ORDERS' AND e.row_count <> a.row_count", _ON_SOURCE)}
+        UNION ALL {_issue("source_file_count", "e.file_count", "a.file_count",
+                          "e.source_name <> 'ORDERS' AND e.file_count <> a.file_count", _ON_SOURCE)}
+        UNION ALL {_issue("source_build_id", "e.build_id", "a.last_build_id",
+                          "e.source_name <> 'ORDERS' AND e.build_id <> a.last_build_id", _ON_SOURCE)}"""),
+    "validate_files": with_(_EXPECTED, f"""
+        {_issue("file_row_count", "e.row_count", "a.s", "e.row_count <> a.s", _ON_FILES)}
+        UNION ALL {_issue("file_count", "e.file_count", "a.c", "e.file_count <> a.c", _ON_FILES)}"""),
+    "validate_datasets": with_(_EXPECTED, f"""
+        {_issue("dataset_total_rows", "e.row_count", "a.total_rows", "a.total_rows < e.row_count", _ON_DATASET)}
+        UNION ALL {_issue("dataset_total_files", "e.file_count", "100", "100 < e.file_count", _ON_DATASET)}"""),
+}
