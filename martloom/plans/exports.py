@@ -1,2 +1,82 @@
-QUERIES = {}
-ORACLE = {}
+"""Exports read back and the export job ledger."""
+
+from martloom.operators import export as E
+from martloom.plans.base import AS_OF, MART_FILES, with_
+from martloom.sources.storage import shared_folder
+from martloom.sources.tables import export_jobs as jobs
+from martloom.sources.tables import mart_files
+
+_DETAIL_SCHEMA = "source_name string, partition_month date, file_path string, row_count bigint, last_build_id string"
+
+
+def export_parquet(spark, sf_dir):
+    path = shared_folder(spark, "export")
+    E.export(E.export_plan(mart_files(spark, sf_dir), "sales", "parquet_export", "parquet"), path, "parquet", codec="zstd")
+    return spark.read.parquet(path)
+
+
+def export_csv(spark, sf_dir):
+    path = shared_folder(spark, "export")
+    plan = E.export_plan(mart_files(spark, sf_dir), "sales", "csv_zip_export", "csv.zip", {"source": ["LINEITEM"]})
+    E.export(plan, path, "csv.zip")
+    return spark.read.schema(_DETAIL_SCHEMA).option("header", True).csv(path)
+
+
+def export_spreadsheet(spark, sf_dir):
+    """The row-capped format: checked first, then written as one file."""
+    path = shared_folder(spark, "export")
+    E.export(E.export_plan(mart_files(spark, sf_dir), "web", "xlsx_export", "xlsx"), path, "xlsx")
+    return spark.read.schema(_DETAIL_SCHEMA).option("header", True).csv(path)
+
+
+def export_job_list(spark, sf_dir):
+    return E.list_jobs(jobs(spark, sf_dir), "sales", 50)
+
+
+def export_job_counts(spark, sf_dir):
+    return E.job_counts(jobs(spark, sf_dir))
+
+
+def expired_exports(spark, sf_dir):
+    return E.expired_jobs(jobs(spark, sf_dir), AS_OF)
+
+
+def completed_exports(spark, sf_dir):
+    return E.completed_jobs(jobs(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        export_parquet, export_csv, export_spreadsheet, export_job_list, export_job_counts, expired_exports, completed_exports,
+    )
+}
+
+_JOBS = """
+jobs AS (
+  SELECT 'job-' || o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN 'sales' ELSE 'web' END AS dataset,
+         CASE o_orderkey % 3 WHEN 0 THEN 'xlsx_export' WHEN 1 THEN 'csv_zip_export' ELSE 'parquet_export' END AS action_key,
+         CASE WHEN o_orderkey % 10 = 0 THEN 'queued' WHEN o_orderstatus = 'F' THEN 'completed'
+              WHEN o_orderstatus = 'O' THEN 'running' ELSE 'failed' END AS status,
+         CASE o_orderkey % 3 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'csv.zip' ELSE 'parquet' END AS format,
+         o_orderdate + INTERVAL 1 SECOND * CAST(o_orderkey % 86400 AS INTEGER) AS created_at, o_custkey FROM orders
+),
+records AS (
+  SELECT job_id, dataset, action_key, status, format, created_at, created_at AS updated_at, created_at + INTERVAL 72 HOUR AS expires_at,
+         job_id || '.' || format AS file_name, 'artifacts/' || job_id || '.' || format AS artifact_path,
+         CASE WHEN status = 'completed' THEN o_custkey END AS row_count, CASE WHEN status = 'failed' THEN 'export failed' END AS error_message
+  FROM jobs
+)"""
+
+_DETAIL = "SELECT source_name, partition_start AS partition_month, file_path, row_count, last_build_id FROM mart_files WHERE dataset_name = "
+
+ORACLE = {
+    "export_parquet": with_(MART_FILES, _DETAIL + "'sales'"),
+    "export_csv": with_(MART_FILES, _DETAIL + "'sales' AND source_name = 'LINEITEM'"),
+    "export_spreadsheet": with_(MART_FILES, _DETAIL + "'web'"),
+    "export_job_list": with_(_JOBS, "SELECT * FROM records WHERE dataset = 'sales' ORDER BY created_at DESC, job_id DESC LIMIT 50"),
+    "export_job_counts": with_(_JOBS, """SELECT count(*) FILTER (WHERE status = 'queued') AS queued,
+        count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed FROM records"""),
+    "expired_exports": with_(_JOBS, f"SELECT job_id, expires_at, artifact_path FROM records WHERE expires_at <= TIMESTAMP '{AS_OF}'"),
+    "completed_exports": with_(_JOBS, "SELECT job_id, artifact_path, row_count FROM records WHERE status = 'completed'"),
+}

@@ -20,6 +20,9 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+LAST_ROWS = [0]
+
+
 def plain(v):
     if isinstance(v, bool) or v is None:
         return v
@@ -47,6 +50,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> str:
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    LAST_ROWS[0] = sum(want.values())
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if got != want:
@@ -80,7 +84,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         except Exception as exc:  # noqa: BLE001
             why = f"{type(exc).__name__}: {str(exc)[:600]}"
         bad += bool(why)
-        print(f"{'FAIL' if why else 'ok  '} {name} {time.time() - start:.2f}s {why}", flush=True)
+        print(f"{'FAIL' if why else 'ok  '} {name} {time.time() - start:.2f}s rows={LAST_ROWS[0]} {why}", flush=True)
     print("failures:", bad)
     return bad
 
