@@ -446,6 +446,7 @@ def step_bars(steps: DataFrame, as_of: dt.datetime, max_left: float = 98.0, min_
     length = F.greatest(F.lit(0.0), seconds_between(F.col("started_at"), F.coalesce("finished_at", now)))
     left = F.least(F.lit(max_left), seconds_between(F.col("_from"), F.col("started_at")) / F.col("_span") * 100)
     width = F.least(F.greatest(F.lit(min_width), F.col("_length") / F.col("_span") * 100), 100.0 - F.col("_left"))
+    started = F.col("started_at").isNotNull()
     records = F.when(F.col("records_processed") != 0, F.col("records_processed").cast("string"))
     return (
         steps.join(bounds, "pipeline_run_id")
@@ -459,8 +460,8 @@ def step_bars(steps: DataFrame, as_of: dt.datetime, max_left: float = 98.0, min_
             duration_text(F.col("started_at"), F.col("finished_at"), now).alias("duration"),
             records.alias("records_display"),
             "retry_count",
-            F.coalesce("_left", F.lit(0.0)).alias("bar_left_pct"),
-            F.coalesce(width, F.lit(100.0)).alias("bar_width_pct"),
+            F.when(started, F.col("_left")).otherwise(F.lit(0.0)).alias("bar_left_pct"),
+            F.when(started, width).otherwise(F.lit(100.0)).alias("bar_width_pct"),
         )
     )
 
