@@ -11,14 +11,20 @@ INTERVAL_BIND_KEYS = ("logical_date", "data_interval_start", "data_interval_end"
 _PARTS = ("year", "month", "day", "hour", "minute", "second")
 
 
-def _parsed(df: DataFrame, schedule_col: str) -> DataFrame:
-    text = f"trim(`{schedule_col}`)"
+def _parsed(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"_seconds": F.expr(S.interval_seconds(text)), "_cron": F.expr(S.cron_struct(text))})
 
 
 def with_schedule(df: DataFrame, schedule_col: str = "schedule") -> DataFrame:
-    """Add the parsed schedule as ``_seconds`` and ``_cron``; each distinct text is parsed once."""
-    return df.join(_parsed(df.select(schedule_col).distinct(), schedule_col), schedule_col, "left")
+    """Add the parsed schedule as ``_seconds`` and ``_cron``; each distinct text is parsed once.
+
+    The parsed text depends on the group's row count. That is no more than a fence: a
+    filter on the parsed fields cannot be pushed below the grouping, where it would parse
+    the text of every row of the input again.
+    """
+    texts = df.groupBy(schedule_col).agg(F.count(F.lit(1)).alias("_uses"))
+    parsed = _parsed(texts, f"(CASE WHEN _uses > 0 THEN trim(`{schedule_col}`) END)").drop("_uses")
+    return df.join(parsed, schedule_col, "left")
 
 
 def with_data_interval(df: DataFrame, date_col: str = "execution_date", schedule_col: str = "schedule") -> DataFrame:
@@ -63,7 +69,7 @@ def resolve_data_interval(spark: SparkSession, execution_date: dt.date, schedule
     one = spark.range(1).select(
         F.lit(execution_date).cast("date").alias("execution_date"), F.lit(schedule).cast("string").alias("schedule")
     )
-    row = _intervals(_parsed(one, "schedule"), one.columns, "execution_date", "schedule").first()
+    row = _intervals(_parsed(one, "trim(schedule)"), one.columns, "execution_date", "schedule").first()
     if row["interval_error"]:
         raise ValueError(f"{row['interval_error']}: execution_date={execution_date} schedule={schedule}")
     return row["data_interval_start"], row["data_interval_end"]

@@ -17,6 +17,7 @@ from martloom.functions.numbers import round2
 from martloom.functions.status import ACTIVE_STATUSES, STATUS_GROUPS, has_tone, tone
 from martloom.operators.intervals import with_schedule
 from martloom.operators.paging import page as take_page
+from martloom.sources.storage import settle
 
 RECENT_RUNS = 25
 ACTIVITY_ROWS = 10
@@ -243,9 +244,9 @@ def recent_failures(runs: DataFrame, steps: DataFrame, limit: int = FAILURE_ROWS
     failed = newest(
         recent_runs(runs, recent).where(has_tone(F.col("status"), "bad")), ["pipeline_name"], _newest_first(), limit
     )
-    return failed.select("id", "pipeline_name", "execution_date", "status").join(
-        first_failed_step(steps), "id", "left"
-    )
+    failed = settle(failed.select("id", "pipeline_name", "execution_date", "status"), "failed-runs")
+    theirs = steps.join(failed.select(F.col("id").alias("pipeline_run_id")), "pipeline_run_id", "left_semi")
+    return failed.join(first_failed_step(theirs), "id", "left")
 
 
 def run_summary(runs: DataFrame, steps: DataFrame) -> DataFrame:
@@ -267,55 +268,44 @@ def _steps_with_runs(steps: DataFrame, runs: DataFrame) -> DataFrame:
 
 # --- steps over recent runs ------------------------------------------------------------
 
-def _recent_steps(recent: DataFrame, steps: DataFrame) -> DataFrame:
-    heads = recent.select("id", "pipeline_name", F.col("created_at").alias("run_created_at"))
-    return _steps_with_runs(steps, heads)
-
+def recent_steps(recent: DataFrame, steps: DataFrame) -> DataFrame:
+    """Steps of some runs, with the run's pipeline and creation time."""
+    return _steps_with_runs(steps, recent.select("id", "pipeline_name", F.col("created_at").alias("run_created_at")))
 
-def _run_recency() -> Column:
-    return F.struct("run_created_at", "pipeline_run_id")
 
+def step_order(rows: DataFrame) -> DataFrame:
+    """Step names per pipeline in order of first appearance, newest run first.
 
-def step_order(recent: DataFrame, steps: DataFrame) -> DataFrame:
-    """Step names per pipeline in order of first appearance, newest run first."""
-    by_name = (
-        _recent_steps(recent, steps)
-        .groupBy("pipeline_name", "step_name")
-        .agg(F.max(F.struct("run_created_at", "pipeline_run_id")).alias("_run"), F.max_by(
-            F.struct("created_at"), F.struct("run_created_at", "pipeline_run_id")).alias("_step"))
+    Takes ``recent_steps`` rows, as the functions below do.
+    """
+    recency = F.struct("run_created_at", "pipeline_run_id")
+    by_name = rows.groupBy("pipeline_name", "step_name").agg(
+        F.max(recency).alias("_run"), F.max_by("created_at", recency).alias("_at")
     )
     rank = F.row_number().over(
         Window.partitionBy("pipeline_name").orderBy(
-            F.col("_run.run_created_at").desc(), F.col("_run.pipeline_run_id").desc(), F.col("_step.created_at"), "step_name"
+            F.col("_run.run_created_at").desc(), F.col("_run.pipeline_run_id").desc(), "_at", "step_name"
         )
     )
     return by_name.select("pipeline_name", "step_name", rank.alias("position"))
 
 
-def latest_step_instance(recent: DataFrame, steps: DataFrame) -> DataFrame:
+def latest_step_instance(rows: DataFrame) -> DataFrame:
     """The step row of each name taken from the newest run that has it."""
     newest_row = F.max_by(
         F.struct("pipeline_run_id", "status", "started_at", "finished_at", "error_message"),
         F.struct("run_created_at", "pipeline_run_id", "created_at"),
     )
-    return (
-        _recent_steps(recent, steps)
-        .groupBy("pipeline_name", "step_name")
-        .agg(newest_row.alias("_row"))
-        .select("pipeline_name", "step_name", "_row.*")
-    )
+    grouped = rows.groupBy("pipeline_name", "step_name").agg(newest_row.alias("_row"))
+    return grouped.select("pipeline_name", "step_name", "_row.*")
 
 
-def step_outcomes(recent: DataFrame, steps: DataFrame) -> DataFrame:
+def step_outcomes(rows: DataFrame) -> DataFrame:
     """Success, running and failed counts per step name."""
-    return (
-        _recent_steps(recent, steps)
-        .groupBy("pipeline_name", "step_name")
-        .agg(
-            F.count_if(has_tone(F.col("status"), "ok")).alias("success_count"),
-            F.count_if(has_tone(F.col("status"), "warn")).alias("running_count"),
-            F.count_if(has_tone(F.col("status"), "bad")).alias("failed_count"),
-        )
+    return rows.groupBy("pipeline_name", "step_name").agg(
+        F.count_if(has_tone(F.col("status"), "ok")).alias("success_count"),
+        F.count_if(has_tone(F.col("status"), "warn")).alias("running_count"),
+        F.count_if(has_tone(F.col("status"), "bad")).alias("failed_count"),
     )
 
 
@@ -325,15 +315,19 @@ def run_grid(recent: DataFrame, steps: DataFrame, as_of: dt.datetime) -> DataFra
     ``recent`` must hold a limited number of runs per pipeline (``recent_runs``), so the
     grid is as large as that limit times the step names.
     """
-    cells = (
-        _recent_steps(recent, steps)
+    heads = settle(recent, "grid-runs")
+    latest = F.max_by(F.struct("status", "started_at", "finished_at"), F.struct("created_at", F.col("id")))
+    cells = settle(
+        recent_steps(heads, steps)
         .groupBy("pipeline_name", F.col("pipeline_run_id").alias("id"), "step_name")
-        .agg(F.max_by(F.struct("status", "started_at", "finished_at"), F.struct("created_at", F.col("id"))).alias("_cell"))
+        .agg(latest.alias("_cell")),
+        "grid-cells",
     )
     names = cells.select("pipeline_name", "step_name").distinct()
-    heads = recent.select("id", "pipeline_name", "execution_date", "status")
     cell = cells.select("id", "step_name", "_cell")
-    return heads.join(names, "pipeline_name").join(cell, ["id", "step_name"], "left").select(
+    return heads.select("id", "pipeline_name", "execution_date", "status").join(names, "pipeline_name").join(
+        cell, ["id", "step_name"], "left"
+    ).select(
         "id",
         "pipeline_name",
         "execution_date",
@@ -348,9 +342,9 @@ def run_grid(recent: DataFrame, steps: DataFrame, as_of: dt.datetime) -> DataFra
 
 def run_graph(runs: DataFrame, steps: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Steps of each pipeline's newest run as graph nodes in step order."""
-    head = latest_run(runs, keys=("pipeline_name",))
-    nodes = latest_step_instance(head, steps)
-    return nodes.join(step_order(head, steps), ["pipeline_name", "step_name"]).select(
+    head = settle(latest_run(runs, keys=("pipeline_name",)), "graph-runs")
+    rows = settle(recent_steps(head, steps), "graph-steps")
+    return latest_step_instance(rows).join(step_order(rows), ["pipeline_name", "step_name"]).select(
         "pipeline_name",
         "position",
         F.col("step_name").alias("name"),
@@ -412,13 +406,14 @@ def step_timeline(runs: DataFrame, steps: DataFrame) -> DataFrame:
 
 def task_rows(recent: DataFrame, steps: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row per step name: latest state, outcome counts and its bar in the newest run's window."""
-    head = latest_run(recent, keys=("pipeline_name",))
-    window = run_envelope(head, steps).drop("id")
+    heads = settle(recent, "task-runs")
+    seen = settle(recent_steps(heads, steps), "task-steps")
+    window = run_envelope(latest_run(heads, keys=("pipeline_name",)), seen).drop("id")
     keys = ["pipeline_name", "step_name"]
     rows = (
-        latest_step_instance(recent, steps)
-        .join(step_outcomes(recent, steps), keys)
-        .join(step_order(recent, steps), keys)
+        latest_step_instance(seen)
+        .join(step_outcomes(seen), keys)
+        .join(step_order(seen), keys)
         .join(window, "pipeline_name", "left")
     )
     return place_on_timeline(rows).select(
@@ -510,13 +505,15 @@ def stats_24h(runs: DataFrame, steps: DataFrame, as_of: dt.datetime, recent_limi
     now = timestamp_literal(as_of)
     day_ago, two_days_ago = (timestamp_literal(as_of - dt.timedelta(hours=h)) for h in (24, 48))
     base = recent_runs(runs, recent_limit) if recent_limit else runs
-    seen = (
+    seen = settle(
         base.withColumn("_at", run_time())
         .where((F.col("_at") >= two_days_ago) & (F.col("_at") <= now))
-        .withColumn("_current", F.col("_at") >= day_ago)
+        .withColumn("_current", F.col("_at") >= day_ago),
+        "day-runs",
     )
     failures = (
         steps.where(has_tone(F.col("status"), "bad"))
+        .join(seen.where("_current").select(F.col("id").alias("pipeline_run_id")), "pipeline_run_id", "left_semi")
         .groupBy(F.col("pipeline_run_id").alias("id"))
         .agg(F.count(F.lit(1)).alias("_failed"))
     )

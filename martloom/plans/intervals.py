@@ -45,11 +45,10 @@ def fire_intervals(spark, sf_dir):
 def interval_assignment(spark, sf_dir):
     """Each event with the data interval of every cron pipeline it falls into."""
     events = table(spark, sf_dir, "events").select("event_id", "ts")
-    span = events.agg(
-        F.min("ts").cast("date").alias("start_date"), F.date_add(F.max("ts").cast("date"), 31).alias("end_date")
+    first, last = events.agg(F.min("ts").cast("date"), F.date_add(F.max("ts").cast("date"), 31)).first()
+    schedules = pipeline_specs(spark, sf_dir).select(
+        F.col("name").alias("pipeline_name"), "schedule", F.lit(first).alias("start_date"), F.lit(last).alias("end_date")
     )
-    specs = pipeline_specs(spark, sf_dir).select(F.col("name").alias("pipeline_name"), "schedule")
-    schedules = specs.withColumn("_k", F.lit(1)).join(span.withColumn("_k", F.lit(1)), "_k").drop("_k")
     fires = I.fire_intervals(schedules).select("pipeline_name", "data_interval_start", "data_interval_end")
     return I.assign_intervals(events, fires, "ts").select(
         "event_id", "pipeline_name", "data_interval_start", "data_interval_end"

@@ -128,15 +128,15 @@ def _recent(spark, sf_dir):
 
 
 def step_order(spark, sf_dir):
-    return L.step_order(*_recent(spark, sf_dir))
+    return L.step_order(L.recent_steps(*_recent(spark, sf_dir)))
 
 
 def latest_step_instance(spark, sf_dir):
-    return L.latest_step_instance(*_recent(spark, sf_dir))
+    return L.latest_step_instance(L.recent_steps(*_recent(spark, sf_dir)))
 
 
 def step_outcomes(spark, sf_dir):
-    return L.step_outcomes(runs(spark, sf_dir), steps(spark, sf_dir))
+    return L.step_outcomes(L.recent_steps(runs(spark, sf_dir), steps(spark, sf_dir)))
 
 
 def ledger_grid(spark, sf_dir):

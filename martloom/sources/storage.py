@@ -5,7 +5,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -27,6 +27,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Keep a much smaller result in the shared folder and go on from there.
+
+    What follows reads the stored rows instead of running the lineage again, survives lost
+    executors, and plans with the true size, so a join with a huge table can broadcast it.
+    """
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Folder:
     """A directory addressed through the Hadoop file system API."""
 
