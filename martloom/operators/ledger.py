@@ -88,7 +88,11 @@ def runs_total(runs: DataFrame, pipeline_name: str) -> DataFrame:
 # --- runs with steps -------------------------------------------------------------------
 
 def run_with_steps(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """Every run with its steps, one row per step; a run without steps keeps one row."""
+    """Every run with its steps, one row per step; a run without steps keeps one row.
+
+    Written as an inner join plus the runs that have no step, because a run holding very
+    many steps can be split in an inner join but not on the optional side of an outer one.
+    """
     s = steps.select(
         F.col("pipeline_run_id").alias("id"),
         "step_name",
@@ -99,7 +103,8 @@ def run_with_steps(runs: DataFrame, steps: DataFrame) -> DataFrame:
         "error_message",
         "retry_count",
     )
-    return runs.join(s, "id", "left")
+    without = runs.join(steps.select(F.col("pipeline_run_id").alias("id")).distinct(), "id", "left_anti")
+    return runs.join(s, "id").unionByName(without, allowMissingColumns=True)
 
 
 def steps_of_pipeline(steps: DataFrame, runs: DataFrame, pipeline_name: str) -> DataFrame:

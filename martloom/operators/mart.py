@@ -10,7 +10,7 @@ from martloom import schemas
 from martloom.functions import text as X
 from martloom.functions.dates import timestamp_literal
 from martloom.sources import partitions as P
-from martloom.sources.storage import Folder
+from martloom.sources.storage import Folder, settle
 
 SOURCE_KEYS = ["dataset_name", "source_name"]
 TABLES = {"files": schemas.MART_FILES, "sources": schemas.MART_SOURCES, "datasets": schemas.MART_DATASETS}
@@ -88,13 +88,20 @@ def _flag(check: str, wrong, expected, actual):
     )
 
 
-def _compared(expected: DataFrame, actual: DataFrame, keys: list[str], missing_check: str, pairs: list) -> DataFrame:
-    """Left-join expectation and fact, report per source; ``pairs`` are (check, expected column, actual column, wrong(e, a))."""
+def _compared(expected: DataFrame, actual: DataFrame, keys: list[str], pairs: list, missing_check: str | None = None) -> DataFrame:
+    """Left-join expectation and fact, report per source.
+
+    ``pairs`` are (check, expected column, actual column, wrong(e, a)). Without a
+    ``missing_check`` an absent fact counts as 0.
+    """
     facts = actual.withColumn("_present", F.lit(True))
     present = F.col("_present").isNotNull()
-    flags = [_flag(missing_check, ~present, F.lit("a row"), F.lit("none"))]
+    flags = []
+    if missing_check:
+        flags.append(_flag(missing_check, ~present, F.lit("a row"), F.lit("none")))
     for check, want, got, wrong in pairs:
-        flags.append(_flag(check, present & wrong(F.col(want), F.col(got)), F.col(want), F.col(got)))
+        e, a = F.col(want), F.col(got) if missing_check else F.coalesce(got, F.lit(0))
+        flags.append(_flag(check, (present & wrong(e, a)) if missing_check else wrong(e, a), e, a))
     issues = F.explode(F.filter(F.array(*flags), lambda i: i.isNotNull()))
     return expected.join(facts, keys, "left").select(*SOURCE_KEYS, issues.alias("_i")).select(*SOURCE_KEYS, "_i.*")
 
@@ -108,19 +115,18 @@ def validate_sources(expected: DataFrame, sources: DataFrame) -> DataFrame:
     wanted = expected.select(*SOURCE_KEYS, F.col("row_count").alias("_rows"), F.col("file_count").alias("_files"),
                              F.col("build_id").alias("_build"))
     facts = sources.select(*SOURCE_KEYS, "row_count", "file_count", "last_build_id")
-    return _compared(wanted, facts, SOURCE_KEYS, "source_missing", [
+    return _compared(wanted, facts, SOURCE_KEYS, [
         ("source_row_count", "_rows", "row_count", _differs),
         ("source_file_count", "_files", "file_count", _differs),
         ("source_build_id", "_build", "last_build_id", _differs),
-    ])
+    ], "source_missing")
 
 
 def validate_files(expected: DataFrame, files: DataFrame) -> DataFrame:
     """No file rows at all counts as sum 0 and count 0."""
     wanted = expected.select(*SOURCE_KEYS, F.col("row_count").alias("_rows"), F.col("file_count").alias("_files"))
     sums = files.groupBy(*SOURCE_KEYS).agg(F.sum("row_count").alias("_sum"), F.count(F.lit(1)).alias("_count"))
-    facts = wanted.select(*SOURCE_KEYS).join(sums, SOURCE_KEYS, "left").na.fill(0, ["_sum", "_count"])
-    return _compared(wanted, facts, SOURCE_KEYS, "file_rows_missing", [
+    return _compared(wanted, sums, SOURCE_KEYS, [
         ("file_row_count", "_rows", "_sum", _differs),
         ("file_count", "_files", "_count", _differs),
     ])
@@ -130,10 +136,10 @@ def validate_datasets(expected: DataFrame, datasets: DataFrame) -> DataFrame:
     """A dataset's totals may not be below any of its sources'."""
     wanted = expected.select(*SOURCE_KEYS, F.col("row_count").alias("_rows"), F.col("file_count").alias("_files"))
     facts = datasets.select("dataset_name", "total_rows", "total_files")
-    return _compared(wanted, facts, ["dataset_name"], "dataset_missing", [
+    return _compared(wanted, facts, ["dataset_name"], [
         ("dataset_total_rows", "_rows", "total_rows", lambda w, g: g < w),
         ("dataset_total_files", "_files", "total_files", lambda w, g: g < w),
-    ])
+    ], "dataset_missing")
 
 
 def is_valid(issues: DataFrame) -> bool:
@@ -197,7 +203,7 @@ def table_issues(store: MartStore, version: str) -> DataFrame:
 
 def raw_issues(spark: SparkSession, source_root: str, expected_rows: int) -> DataFrame:
     """The raw table must be readable and hold the expected rows."""
-    exists = Folder(spark, source_root).exists() and not P.list_files(spark, source_root).isEmpty()
+    exists = P.has_files(spark, source_root)
     actual = P.scan(spark, source_root).count() if exists else None
     return spark.range(1).select(
         F.lit("error").alias("severity"),
@@ -229,13 +235,14 @@ def refresh_mart(store: MartStore, dataset: str, source_root: str, build_id: str
     spark = store.spark
     if not dataset.strip() or not build_id.strip():
         raise ValueError("dataset and build_id must not be blank")
-    if only_if and P.partition_files(spark, source_root, *only_if).isEmpty():
+    if only_if and not P.month_has_files(spark, source_root, *only_if):
         return RefreshResult(None, False, None)
     version = f"{dataset}-{build_id}-{uuid.uuid4().hex[:8]}"
-    new_files = file_rows(spark, source_root, dataset, build_id)
-    if new_files.isEmpty():
+    # Kept on storage first: files are listed and counted once, and all later steps see the same.
+    new_files = settle(file_rows(spark, source_root, dataset, build_id), "new-files")
+    found = new_files.agg(F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("file_count")).first()
+    if not found["file_count"]:
         raise ValueError(f"no source files under {source_root}")
-    # Kept on storage first: the listing is read once, and all later steps see the same files.
     store.write_version(version, {"files": upsert(store.read("files"), new_files)})
     mode = "full" if kind == "full" else "incremental"
     name = source_root.rstrip("/").rsplit("/", 1)[-1]
@@ -244,13 +251,12 @@ def refresh_mart(store: MartStore, dataset: str, source_root: str, build_id: str
     store.write_version(version, {"sources": upsert(store.read("sources"), new_source)})
     changed = dataset_rollup(store.read("sources", version).where(F.col("dataset_name") == dataset))
     store.write_version(version, {"datasets": upsert(store.read("datasets"), changed, ["dataset_name"])})
-    expected_row = new_files.agg(F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("file_count")).first()
     expected = spark.range(1).select(
         F.lit(dataset).alias("dataset_name"), F.lit(name).alias("source_name"),
-        F.lit(expected_row["row_count"]).alias("row_count"), F.lit(expected_row["file_count"]).alias("file_count"),
+        F.lit(found["row_count"]).alias("row_count"), F.lit(found["file_count"]).alias("file_count"),
         F.lit(build_id).alias("build_id"),
     )
-    issues = validate_version(store, version, expected, source_root, expected_row["row_count"])
+    issues = validate_version(store, version, expected, source_root, found["row_count"])
     promoted = is_valid(issues)
     if promoted:
         store.promote(version)

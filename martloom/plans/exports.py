@@ -2,6 +2,7 @@
 
 from martloom.operators import export as E
 from martloom.plans.base import AS_OF, MART_FILES, with_
+from martloom.sources.jobs import read_jobs
 from martloom.sources.storage import shared_folder
 from martloom.sources.tables import export_jobs as jobs
 from martloom.sources.tables import mart_files
@@ -29,6 +30,13 @@ def export_spreadsheet(spark, sf_dir):
     return spark.read.schema(_DETAIL_SCHEMA).option("header", True).csv(path)
 
 
+def export_jobs(spark, sf_dir):
+    """Job records written as JSON and read with the record schema."""
+    folder = shared_folder(spark, "jobs")
+    jobs(spark, sf_dir).write.json(folder)
+    return read_jobs(spark, folder, one_per_file=False)
+
+
 def export_job_list(spark, sf_dir):
     return E.list_jobs(jobs(spark, sf_dir), "sales", 50)
 
@@ -48,7 +56,7 @@ def completed_exports(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        export_parquet, export_csv, export_spreadsheet, export_job_list, export_job_counts, expired_exports, completed_exports,
+        export_parquet, export_csv, export_spreadsheet, export_jobs, export_job_list, export_job_counts, expired_exports, completed_exports,
     )
 }
 
@@ -74,6 +82,7 @@ ORACLE = {
     "export_parquet": with_(MART_FILES, _DETAIL + "'sales'"),
     "export_csv": with_(MART_FILES, _DETAIL + "'sales' AND source_name = 'LINEITEM'"),
     "export_spreadsheet": with_(MART_FILES, _DETAIL + "'web'"),
+    "export_jobs": with_(_JOBS, "SELECT * FROM records"),
     "export_job_list": with_(_JOBS, "SELECT * FROM records WHERE dataset = 'sales' ORDER BY created_at DESC, job_id DESC LIMIT 50"),
     "export_job_counts": with_(_JOBS, """SELECT count(*) FILTER (WHERE status = 'queued') AS queued,
         count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed FROM records"""),

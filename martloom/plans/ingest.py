@@ -1,11 +1,11 @@
 """Extracts, stored loads read back, backfills and count verification."""
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from martloom.operators import ingest as I
-from martloom.plans.base import with_
 from martloom.sources import partitions as P
 from martloom.sources.storage import shared_folder
 from martloom.sources.tables import table
@@ -125,12 +125,28 @@ def verify_incremental_sound(spark, sf_dir):
     return I.growth_issues(clicks, clicks, events.where(F.col("event_type") != "click"), events)
 
 
+def publish_after_verify(spark, sf_dir):
+    """A sound run, then one of each kind that loses rows on the way: readers keep the first."""
+    base, orders, day = shared_folder(spark, "verify"), table(spark, sf_dir, "orders"), dt.date(2000, 1, 1)
+    result = I.run_ingest(orders, _orders_spec("1 = 1"), day, base, "run-1")
+    lossy = {"transform": lambda df: df.where("o_orderstatus <> 'P'")}
+    full = replace(_orders_spec("1 = 1"), **lossy)
+    added = replace(full, strategy="incremental", incremental_key="o_orderdate", schedule="interval:4000d")
+    for run_id, spec in (("run-2", full), ("run-3", added)):
+        try:
+            I.run_ingest(orders, spec, day, base, run_id)
+        except I.VerificationFailed:
+            continue
+        raise AssertionError(f"{run_id} was published")
+    return P.scan(spark, result.table_root)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ingest_source_scan, ingest_projection, ingest_where_template, ingest_interval_filter, ingest_template_and_interval,
         ingest_column_predicate, ingest_full, ingest_execution_month, ingest_incremental, backfill_ingest,
-        backfill_ingest_schedule, verify_full, verify_incremental, verify_incremental_sound,
+        backfill_ingest_schedule, verify_full, verify_incremental, verify_incremental_sound, publish_after_verify,
     )
 }
 
@@ -168,4 +184,5 @@ ORACLE = {
     "verify_incremental": """SELECT 'error' AS severity, 'partition_growth' AS check,
         count(*) + count(*) FILTER (WHERE event_type = 'click') AS expected, count(*) AS actual FROM events""",
     "verify_incremental_sound": """SELECT 'error' AS severity, 'none' AS check, 0 AS expected, 0 AS actual WHERE false""",
+    "publish_after_verify": f"SELECT o_orderkey, o_orderstatus, o_orderdate, {_YM.format('o_orderdate')} FROM orders",
 }

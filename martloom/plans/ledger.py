@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from martloom.operators import ledger as L
+from martloom.operators.paging import rank_slice
 from martloom.plans import intervals as PI
 from martloom.plans.base import AS_OF, RUNS, SPECS, STEPS, clock, duration, seconds, tone, two_decimals, with_
 from martloom.sources.tables import dataset_mapping as mapping
@@ -35,6 +36,34 @@ def runs_page(spark, sf_dir):
     return L.runs_page(runs(spark, sf_dir), _PIPELINE, 3, 50)
 
 
+def runs_page_deep(spark, sf_dir):
+    """A page far down the order of all runs, found in a distributed sort."""
+    return rank_slice(runs(spark, sf_dir), [F.col("created_at").desc(), F.col("id").desc()], 1000, 75)
+
+
+def typed_runs(spark, sf_dir):
+    """The ledger as text, the way it is recorded, with its columns typed again."""
+    def iso(c):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+    text = runs(spark, sf_dir).withColumns(
+        {c: iso(F.col(c)) for c in ("started_at", "finished_at", "created_at")} | {"execution_date": F.col("execution_date").cast("string")}
+    )
+    return L.typed_runs(text)
+
+
+def latest_state(spark, sf_dir):
+    """Runs recorded as state changes: queued, started, finished; the newest state of each."""
+    r = runs(spark, sf_dir)
+    states = F.array(
+        F.struct(F.lit("queued").alias("status"), F.lit(1).alias("recorded_at")),
+        F.when(F.col("status") != "queued", F.struct(F.lit("running").alias("status"), F.lit(2).alias("recorded_at"))),
+        F.when(F.col("status").isin("success", "failed"), F.struct(F.col("status"), F.lit(3).alias("recorded_at"))),
+    )
+    log = r.select("id", "pipeline_name", F.explode(F.filter(states, lambda s: s.isNotNull())).alias("_s"))
+    return L.latest_state(log.select("id", "pipeline_name", "_s.*"))
+
+
 def runs_total(spark, sf_dir):
     return L.runs_total(runs(spark, sf_dir), _PIPELINE)
 
@@ -175,7 +204,7 @@ def stats_24h_recent(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_run, latest_success, active_run, active_any, recent_runs, runs_page, runs_total, run_with_steps,
+        latest_run, latest_success, active_run, active_any, recent_runs, runs_page, runs_page_deep, typed_runs, latest_state, runs_total, run_with_steps,
         ledger_delete_semi, ledger_delete_anti, records_processed, run_step_counts, first_failed_step, failure_text,
         pause_state, dataset_names, job_overview, ledger_search, ledger_filter_state, ledger_browse, tone_counts,
         latest_finish, recent_activity, recent_failures, run_summary, run_summary_recent, step_order, latest_step_instance,
@@ -278,6 +307,9 @@ ORACLE = {
     "recent_runs": with_(RUNS, _top("pipeline_name", n=10)),
     "runs_page": with_(RUNS, f"""SELECT * FROM runs WHERE pipeline_name = '{_PIPELINE}'
         ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100"""),
+    "runs_page_deep": with_(RUNS, "SELECT * FROM runs ORDER BY created_at DESC, id DESC LIMIT 75 OFFSET 1000"),
+    "typed_runs": with_(RUNS, "SELECT * FROM runs"),
+    "latest_state": with_(RUNS, "SELECT id, pipeline_name, status FROM runs"),
     "runs_total": with_(RUNS, f"SELECT count(*) AS total FROM runs WHERE pipeline_name = '{_PIPELINE}'"),
     "run_with_steps": with_(STEPS, """SELECT r.*, s.step_name, s.status AS step_status, s.started_at AS step_started_at,
         s.finished_at AS step_finished_at, s.records_processed, s.error_message, s.retry_count

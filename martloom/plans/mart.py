@@ -34,6 +34,22 @@ def partition_row_count(spark, sf_dir):
     return P.partition_row_counts(spark, stored_orders(spark, sf_dir, "row-count"))
 
 
+def source_files_listing(spark, sf_dir):
+    """Partitions the directory listing finds files in."""
+    return P.list_files(spark, stored_orders(spark, sf_dir, "listing")).select("year", "month").distinct()
+
+
+def partition_files(spark, sf_dir):
+    """Months of one year that have files; three of them lie outside the data."""
+    root = stored_orders(spark, sf_dir, "month-files")
+    out = None
+    for year, month in ((1994, 12), (1995, 1), (1996, 7), (2001, 8), (2001, 9), (2030, 1)):
+        found = P.partition_files(spark, root, year, month).agg((F.count(F.lit(1)) > 0).alias("has_files"))
+        part = found.select(F.lit(year).alias("year"), F.lit(month).alias("month"), "has_files")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def mart_sources(spark, sf_dir):
     return M.source_rollup(mart_files(spark, sf_dir), "full", REFRESHED_AT)
 
@@ -88,6 +104,39 @@ def validate_datasets(spark, sf_dir):
     return M.validate_datasets(_expected(spark, sf_dir), totals)
 
 
+def _refreshed(spark, sf_dir):
+    """A mart with two sources of one dataset, one of them refreshed again after it grew."""
+    base = shared_folder(spark, "mart")
+    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    store = M.MartStore(spark, f"{base}/mart")
+    for name, df, key in (("ORDERS", orders, "o_orderdate"), ("EVENTS", events, "ts")):
+        I.write_partitions(I.with_partition(df, month_start(F.col(key))), f"{base}/raw/{name}", spread=True)
+        M.refresh_mart(store, "sales", f"{base}/raw/{name}", f"b-{name}", refreshed_at=REFRESHED_AT)
+    more = I.with_partition(orders.where(F.col("o_orderstatus") == "F"), month_start(F.col("o_orderdate")))
+    I.write_partitions(more, f"{base}/raw/ORDERS", spread=True, mode="append")
+    M.refresh_mart(store, "sales", f"{base}/raw/ORDERS", "b-more", "incremental", REFRESHED_AT)
+    return store
+
+
+def mart_refresh(spark, sf_dir):
+    return _refreshed(spark, sf_dir).read("sources").select(
+        "dataset_name", "source_name", "raw_table_name", "row_count", "min_partition_start", "max_partition_start",
+        "last_build_id", "refresh_mode", "last_refreshed_at",
+    )
+
+
+def mart_promote(spark, sf_dir):
+    """Dataset totals readers see: of the version promoted last, and of the one before."""
+    store = _refreshed(spark, sf_dir)
+    before = next(v for v in store.versions() if "-b-EVENTS-" in v)
+    totals = {"current": store.read("datasets"), "previous": store.read("datasets", before)}
+    out = None
+    for label, df in totals.items():
+        part = df.select(F.lit(label).alias("version"), "dataset_name", "source_count", "total_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _REBUILT = MART_FILES + """,
 upserted AS (
   SELECT * FROM mart_files WHERE source_name <> 'LINEITEM'
@@ -127,6 +176,10 @@ QUERIES = {
     "validate_sources": validate_sources,
     "validate_files": validate_files,
     "validate_datasets": validate_datasets,
+    "source_files_listing": source_files_listing,
+    "partition_files": partition_files,
+    "mart_refresh": mart_refresh,
+    "mart_promote": mart_promote,
 }
 
 ORACLE = {
@@ -154,4 +207,19 @@ ORACLE = {
     "validate_datasets": with_(_EXPECTED, f"""
         {_issue("dataset_total_rows", "e.row_count", "a.total_rows", "a.total_rows < e.row_count", _ON_DATASET)}
         UNION ALL {_issue("dataset_total_files", "e.file_count", "100", "100 < e.file_count", _ON_DATASET)}"""),
+    "source_files_listing": """SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month
+        FROM orders""",
+    "partition_files": """SELECT CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month, EXISTS (SELECT 1 FROM orders
+            WHERE year(o_orderdate) = y AND month(o_orderdate) = m) AS has_files
+        FROM (VALUES (1994, 12), (1995, 1), (1996, 7), (2001, 8), (2001, 9), (2030, 1)) v(y, m)""",
+    "mart_refresh": """SELECT 'sales' AS dataset_name, s AS source_name, 'raw__sales__' || lower(s) AS raw_table_name, n AS row_count,
+        CAST(date_trunc('month', a) AS DATE) AS min_partition_start, CAST(date_trunc('month', b) AS DATE) AS max_partition_start,
+        bid AS last_build_id, mode AS refresh_mode, TIMESTAMP '2026-04-06 09:00:00' AS last_refreshed_at
+        FROM (SELECT 'ORDERS' AS s, count(*) + count(*) FILTER (WHERE o_orderstatus = 'F') AS n, min(o_orderdate) AS a,
+                     max(o_orderdate) AS b, 'b-more' AS bid, 'incremental' AS mode FROM orders
+              UNION ALL SELECT 'EVENTS', count(*), min(ts), max(ts), 'b-EVENTS', 'full' FROM events)""",
+    "mart_promote": """SELECT 'previous' AS version, 'sales' AS dataset_name, 2 AS source_count,
+        (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) AS total_rows
+        UNION ALL SELECT 'current', 'sales', 2, (SELECT count(*) FROM orders) + (SELECT count(*) FROM events)
+        + (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')""",
 }

@@ -1,14 +1,15 @@
-"""Export job records kept as one JSON document per job."""
+"""Export job records kept as JSON documents."""
 
 from pyspark.sql import DataFrame, SparkSession
 
 from martloom import schemas
 
 
-def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
+def read_jobs(spark: SparkSession, folder: str, one_per_file: bool = True) -> DataFrame:
+    """Job records of a folder; many small files may be merged into line-delimited ones."""
     return (
         spark.read.schema(schemas.EXPORT_JOBS)
-        .option("multiLine", True)
+        .option("multiLine", one_per_file)
         .option("pathGlobFilter", "*.json")
         .json(folder)
     )

@@ -37,6 +37,22 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def has_files(spark: SparkSession, root: str) -> bool:
+    """Whether any partition holds a file, by looking at directories until one is found."""
+    folder = Folder(spark, root)
+    for year, _ in folder.list():
+        for month, _ in folder.list(year) if year.startswith("year=") else ():
+            inside = folder.list(f"{year}/{month}") if month.startswith("month=") else ()
+            if any(name.endswith(".parquet") for name, is_dir in inside if not is_dir):
+                return True
+    return False
+
+
+def month_has_files(spark: SparkSession, root: str, year: int, month: int) -> bool:
+    inside = Folder(spark, root).list(partition_path(year, month))
+    return any(name.endswith(".parquet") for name, is_dir in inside if not is_dir)
+
+
 def source_files(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).select("file_path").orderBy("file_path")
 
@@ -60,9 +76,9 @@ def file_stats(spark: SparkSession, root: str) -> DataFrame:
     The files come from the listing and the counts from the scan, because a file that holds
     no rows does not show up in a count.
     """
-    files = list_files(spark, root)
-    if files.isEmpty():
+    if not has_files(spark, root):
         return spark.createDataFrame([], "file_path string, partition_start date, row_count bigint")
+    files = list_files(spark, root)
     # The scan reports its paths percent-encoded.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     counted = scan(spark, root).groupBy(path.alias("_path")).agg(F.count(F.lit(1)).alias("_rows"))
@@ -81,7 +97,6 @@ def partition_row_counts(spark: SparkSession, root: str) -> DataFrame:
 
 def partition_row_count(spark: SparkSession, root: str, year: int, month: int) -> int:
     """Rows of one month; 0 when the month has no file. Only that month's footers are read."""
-    folder = Folder(spark, root)
-    if not any(name.endswith(".parquet") for name, is_dir in folder.list(partition_path(year, month)) if not is_dir):
+    if not month_has_files(spark, root, year, month):
         return 0
-    return spark.read.parquet(folder.child(partition_path(year, month))).count()
+    return spark.read.parquet(f"{root.rstrip('/')}/{partition_path(year, month)}").count()

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder for one run, in the folder named by ``spark.checkpoint.dir``.
 
@@ -15,9 +18,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="martloom-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="martloom-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/martloom/{label}-{uuid.uuid4().hex}"
 
 
