@@ -48,6 +48,17 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> D
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows per key with one grouped row per key.
+
+    The key's hash is a second join key. It adds nothing to the result, but it makes the
+    grouped side pass through a shuffle of its own, and adaptive execution splits a hot key
+    only where both sides come straight from a shuffle.
+    """
+    fence = F.hash(key)
+    return rows.withColumn("_fence", fence).join(totals.withColumn("_fence", fence), [key, "_fence"]).drop("_fence")
+
+
 def _newest_first() -> list[Column]:
     return [F.col("created_at").desc(), F.col("id").desc()]
 
@@ -406,7 +417,7 @@ def place_on_timeline(df: DataFrame) -> DataFrame:
 def step_timeline(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """Every step as a bar inside its run."""
     s = steps.select(F.col("pipeline_run_id").alias("id"), "step_name", "started_at", "finished_at")
-    return place_on_timeline(s.join(run_envelope(runs, steps), "id")).select("id", "step_name", "start_pct", "width_pct")
+    return place_on_timeline(join_totals(s, run_envelope(runs, steps), "id")).select("id", "step_name", "start_pct", "width_pct")
 
 
 def task_rows(recent: DataFrame, steps: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -449,7 +460,7 @@ def step_bars(steps: DataFrame, as_of: dt.datetime, max_left: float = 98.0, min_
     started = F.col("started_at").isNotNull()
     records = F.when(F.col("records_processed") != 0, F.col("records_processed").cast("string"))
     return (
-        steps.join(bounds, "pipeline_run_id")
+        join_totals(steps, bounds, "pipeline_run_id")
         .withColumns({"_span": span, "_length": length})
         .withColumn("_left", left)
         .select(
