@@ -20,6 +20,7 @@ from martloom.sources.storage import Folder
 EXECUTION_MONTH = "execution_month"
 _IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_$#]*$")
 _QUOTED = re.compile(r"'(?:[^']|'')*'")
+_RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
 _BIND = re.compile(r"(?<!:):([A-Za-z_]\w*)")
 
 
@@ -203,6 +204,8 @@ def _publish_rows(
     spark: SparkSession, rows: DataFrame, expected: Callable[[], int], spec: IngestSpec, base_path: str, run_id: str,
     spread: bool, own_partition: str | None,
 ) -> IngestResult:
+    if not _RUN_ID.fullmatch(run_id):
+        raise ValueError(f"run id must be letters, digits, '_', '.', '-' and start with a letter or digit: {run_id}")
     folder = Folder(spark, f"{base_path.rstrip('/')}/{spec.table}")
     staging = f"_staging/{run_id}"
     folder.remove(staging)
@@ -217,8 +220,10 @@ def _publish_rows(
             if not spec.allow_empty:
                 raise VerificationFailed(f"{spec.table}: nothing extracted and allow_empty is off")
             touched = [own_partition] if own_partition else []
-        _withdraw(folder, run_id, touched)
-        before = {p: _count(spark, folder, p) for p in touched} if spec.strategy == "incremental" else {}
+        before = {}
+        if spec.strategy == "incremental":
+            _withdraw(folder, run_id, touched)
+            before = {p: _count(spark, folder, p) for p in touched}
         PUBLISHERS[spec.strategy](folder, staging, run_id, touched)
         if before and sum(_count(spark, folder, p) - n for p, n in before.items()) != stored:
             _withdraw(folder, run_id, touched)
@@ -234,9 +239,11 @@ def _count(spark: SparkSession, folder: Folder, part: str) -> int:
 
 
 def _withdraw(folder: Folder, run_id: str, touched: list[str]) -> None:
+    """Remove the files a run has added; another run's id may begin with the same text."""
+    own = re.compile(re.escape(run_id) + r"-part-\d{5,}-[0-9a-f-]{36}.*")
     for part in touched:
         for name, is_dir in folder.list(part):
-            if not is_dir and name.startswith(f"{run_id}-"):
+            if not is_dir and own.fullmatch(name):
                 folder.remove(f"{part}/{name}")
 
 

@@ -62,9 +62,13 @@ def test_incremental_appends_and_keeps_files(spark, log, tmp_path):
     I.run_ingest(log, inc, dt.date(2026, 2, 1), base, "r2")
     assert before < set(os.listdir(f"{base}/{month}"))
     assert stored(spark, base).count() == 100
-    # A repeated run id stands for a retry and adds nothing.
+    # A repeated run id stands for a retry and adds nothing; an id beginning like it is another run.
+    I.run_ingest(log, inc, dt.date(2026, 2, 1), base, "r2-1")
     I.run_ingest(log, inc, dt.date(2026, 2, 1), base, "r2")
-    assert stored(spark, base).count() == 100
+    assert stored(spark, base).count() == 150
+    for bad in ("_x", ".x", "a/b", ""):
+        with pytest.raises(ValueError):
+            I.run_ingest(log, inc, dt.date(2026, 2, 1), base, bad)
 
 
 def test_nothing_is_published_when_counts_differ(spark, log, tmp_path):
