@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.llm import bpe, packing, simhash, toxicity
+from martloom.llm import bpe, packing, pii, simhash, toxicity
 from martloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,5 +31,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op6_packing, op7_simhash, op9_bpe)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.span_count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.span_text(kinds=pii.BASE_KINDS).cast("binary"), 256).alias("base_sha256"), pii.span_text().alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op6_packing, op7_simhash, op9_bpe, op10_pii)}
 ORACLE: dict[str, str] = {}
