@@ -5,12 +5,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.llm import bpe, packing, pii, simhash, toxicity
+from martloom.llm import bpe, packing, pii, secrets, simhash, toxicity
 from martloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[secrets.span_count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(secrets.span_text(True).cast("binary"), 256).alias("base_sha256"), secrets.span_text(False).alias("spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,5 +45,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(kinds=pii.BASE_KINDS).cast("binary"), 256).alias("base_sha256"), pii.span_text().alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op6_packing, op7_simhash, op9_bpe, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_toxicity, op6_packing, op7_simhash, op9_bpe, op10_pii)}
 ORACLE: dict[str, str] = {}
