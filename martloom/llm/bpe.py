@@ -14,16 +14,18 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from martloom.llm.common import slices, texts
 
 # The white space that the tokenizer's pattern knows, the pattern, and the byte alphabet's printable ranges.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE + r"\p{L}\p{N}]+"
          r"|[" + WHITE + r"]+(?![^" + WHITE + r"])|[" + WHITE + r"]+")
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
@@ -175,7 +177,10 @@ class Codec:
         self.irregular = re.compile(r"\s\s\s|\s\s\Z")
         self.after_space = _Words(self, " ")
         self.at_start = _Words(self, "")
-        self.newline = self.word_ids("\n")
+
+    @cached_property
+    def newline(self) -> bytes:
+        return self.word_ids("\n")
 
     def word_ids(self, text: str) -> bytes:
         """Ids of a stretch without special tokens, as little-endian unsigned 32-bit integers."""
@@ -230,14 +235,27 @@ class _Words(dict):
         return ids
 
 
-_CODECS: dict[str, Codec] = {}
+class LibraryCodec(Codec):
+    """The same ids with new words encoded by a library, for operators that need ids but not this automaton."""
+
+    def __init__(self, file_text: str):
+        super().__init__(file_text)
+        ranks = {b: i for i, b in self.automaton.token_bytes.items()}
+        self.library = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def word_ids(self, text: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[i] for i in self.library.encode_ordinary(text)])
+
+
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec_of(file_text: str) -> Codec:
+def codec_of(file_text: str, kind: type[Codec] = Codec) -> Codec:
     """One compiled codec for each vocabulary in a Python worker."""
-    key = hashlib.sha256(file_text.encode()).hexdigest()
+    key = kind, hashlib.sha256(file_text.encode()).hexdigest()
     if key not in _CODECS:
-        _CODECS[key] = Codec(file_text)
+        _CODECS[key] = kind(file_text)
     return _CODECS[key]
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from martloom.llm.bpe import codec_of, vocabulary
+from martloom.llm.bpe import LibraryCodec, codec_of, vocabulary
 from martloom.llm.common import slices, stored, texts
 
 TASK_SHIFT = 1 << 32
@@ -64,7 +64,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     kinds = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(source.value)
+        codec = codec_of(source.value, LibraryCodec)
         task = TaskContext.get().partitionId()
         open_bins: dict[int, list] = {}
         filled, id_type = 0, None
