@@ -5,12 +5,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.llm import bpe, packing, pii, secrets, simhash, substring_dedup, toxicity
+from martloom.llm import bpe, packing, pii, secrets, simhash, substring_dedup, toxicity, warc
 from martloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(kinds=pii.BASE_KINDS).cast("binary"), 256).alias("base_sha256"), pii.span_text().alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substrings, op3_secrets, op4_toxicity, op6_packing, op7_simhash, op9_bpe, op10_pii)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_substrings, op3_secrets, op4_toxicity, op6_packing, op7_simhash, op9_bpe, op10_pii)}
+ORACLE: dict[str, str] = {"op1_warc": warc.oracle_sql()}
