@@ -34,11 +34,14 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, 5)
 
 
-def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+def op6_columns(packed: DataFrame) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_columns(packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

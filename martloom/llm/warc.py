@@ -116,8 +116,8 @@ def derive(responses: DataFrame, id_col: str = "page_id") -> DataFrame:
 
 def write_records(records: DataFrame, path: str, codec: str = "gzip") -> None:
     """The records as files of a folder, each a sequence of whole records."""
-    text = F.concat("header", "block", F.lit("\r\n\r\n"))
-    records.select(text.alias("value")).write.option("lineSep", "").option("compression", codec).text(path)
+    text = F.concat("header", "block")
+    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", codec).text(path)
 
 
 def _quoted(text: str) -> str:
