@@ -4,11 +4,11 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-# A date with a time, optional fraction and optional zone, or a date alone.
-_ISO_DATE_TIME = (
-    r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(?:Z|[+-]\d{2}:?\d{2})?$"
+# An ISO date, extended or basic; a time of hours, minutes and seconds, extended or basic; a fraction; a zone.
+_ISO = (
+    r"^(\d{4})(-?)(\d{2})\2(\d{2})"
+    r"(?:.(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d+))?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?)?$"
 )
-_ISO_DATE = r"^(\d{4}-\d{2}-\d{2})$"
 
 
 def timestamp_literal(value: dt.datetime | str) -> Column:
@@ -44,12 +44,18 @@ def covered_months(first: Column, last: Column) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO text to a zone-less timestamp: a zone suffix is dropped, bad text gives null."""
+    """ISO text to a zone-less timestamp: a zone suffix is dropped, bad text gives null.
+
+    Dates and times may be written with or without their separators, times may end at the hour or minute, and
+    fractions beyond microseconds are cut.
+    """
     t = F.trim(text)
-    stamp = F.regexp_extract(t, _ISO_DATE_TIME, 1)
-    day = F.regexp_extract(t, _ISO_DATE, 1)
-    picked = F.when(stamp != "", stamp).when(day != "", day)
-    return picked.try_cast("timestamp_ntz")
+    part = lambda i: F.regexp_extract(t, _ISO, i)
+    or_zero = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
+    day = F.concat_ws("-", part(1), part(3), part(4))
+    time = F.concat_ws(":", or_zero(5), or_zero(7), or_zero(8))
+    fraction = F.substring(F.rpad(part(9), 6, "0"), 1, 6)
+    return F.when(part(1) != "", F.concat(day, F.lit(" "), time, F.lit("."), fraction)).try_cast("timestamp_ntz")
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -13,6 +13,8 @@ MONTH_NAMES = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "o
 WEEKDAY_NAMES = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 # How many days back a previous fire is looked for.
 LOOKBACK_CALENDAR, LOOKBACK_CLOCK, LOOKBACK_EVERY_MINUTE = 400, 3, 1
+# A leap day that has to be a given weekday comes back within 40 years; no other schedule waits longer.
+LONGEST_WAIT = 366 * 41
 
 _INTERVAL = "(?i)^interval:([0-9]+)([smhd]?)$"
 _TOKEN = "^([*]|[0-9]+|[a-z]+)(?:-([0-9]+|[a-z]+))?(?:/([0-9]+))?$"
@@ -50,8 +52,11 @@ def _field_values(field: str, low: int, high: int, names: list[str]) -> str:
         f" ELSE {_number('t.a', low, names)} END"
     )
     every = "CASE WHEN t.s = '' THEN 1 ELSE try_cast(t.s AS INT) END"
-    bounds = f"transform({tokens}, t -> named_struct('start', {start}, 'stop', {stop}, 'every', {every}))"
-    good = f"t.start >= {low} AND t.stop <= {high} AND t.start <= t.stop AND t.every > 0"
+    bounds = f"transform({tokens}, t -> named_struct('start', {start}, 'stop', {stop}, 'every', {every}, 'stepped', t.s <> ''))"
+    good = (
+        f"t.start >= {low} AND t.stop <= {high} AND t.start <= t.stop AND t.every > 0"
+        " AND (NOT t.stepped OR t.every <= t.stop - t.start)"
+    )
     spread = f"CASE WHEN {good} THEN sequence(t.start, greatest(t.start, t.stop), greatest(1, t.every)) END"
     return f"array_sort(array_distinct(flatten(transform({bounds}, t -> {spread}))))"
 
@@ -109,16 +114,18 @@ def first_fire(cron: str, day: str) -> str:
     return f"CASE WHEN {day_matches(cron, day)} THEN {first} END"
 
 
-def _search(pick: str, window: str, cron: str) -> str:
-    """Nearest firing day: a week and a month are tried before the long way."""
-    tries = (f"{pick}(filter({window.format(n=n)}, d -> {day_matches(cron, 'd')}))" for n in (7, 31, LOOKBACK_CALENDAR))
+def _search(pick: str, window: str, cron: str, longest: int) -> str:
+    """Nearest firing day: a week and a month are tried before the long ways."""
+    spans = [n for n in (7, 31, LOOKBACK_CALENDAR, LONGEST_WAIT) if n <= longest]
+    tries = (f"{pick}(filter({window.format(n=n)}, d -> {day_matches(cron, 'd')}))" for n in spans)
     return f"coalesce({', '.join(tries)})"
 
 
-def previous_days_last_fire(cron: str, day: str) -> str:
-    """Last fire of the newest firing day before ``day`` within the lookback."""
-    window = f"sequence(date_sub({day}, least({{n}}, {cron}.lookback)), date_sub({day}, 1))"
-    found = _search("array_max", window, cron)
+def previous_days_last_fire(cron: str, day: str, within_lookback: bool = True) -> str:
+    """Last fire of the newest firing day before ``day``; a data interval's start is looked for within the lookback only."""
+    reach = f"least({{n}}, {cron}.lookback)" if within_lookback else "{n}"
+    window = f"sequence(date_sub({day}, {reach}), date_sub({day}, 1))"
+    found = _search("array_max", window, cron, LOOKBACK_CALENDAR if within_lookback else LONGEST_WAIT)
     return at_minute(found, f"array_max({cron}.hours) * 60 + array_max({cron}.minutes)")
 
 
@@ -128,13 +135,13 @@ def fire_minutes(cron: str) -> str:
 
 
 def next_fire(cron: str, as_of: str) -> str:
-    """First fire at or after ``as_of``, looked for as far ahead as the longest lookback."""
+    """First fire at or after ``as_of``, null when the schedule never fires."""
     today = f"CAST({as_of} AS DATE)"
     begun = f"CASE WHEN second({as_of}) > 0 OR date_trunc('second', {as_of}) < {as_of} THEN 1 ELSE 0 END"
     passed = f"(hour({as_of}) * 60 + minute({as_of}) + {begun})"
     later = f"array_min(filter({fire_minutes(cron)}, m -> m >= {passed}))"
     window = f"sequence(date_add({today}, 1), date_add({today}, {{n}}))"
-    next_day = _search("array_min", window, cron)
+    next_day = _search("array_min", window, cron, LONGEST_WAIT)
     return (
         f"CASE WHEN {day_matches(cron, today)} AND {later} IS NOT NULL THEN {at_minute(today, later)}"
         f" ELSE {at_minute(next_day, f'array_min({cron}.hours) * 60 + array_min({cron}.minutes)')} END"

@@ -1,23 +1,25 @@
 """Interval-driven ingest: extract, write aside, verify, publish.
 
-Nothing published changes before the row counts agree. The written rows become visible by
-renaming directories or files, so the data is written once; a failed or repeated run leaves
-the published partitions as they were.
+Nothing published changes before the row counts agree. Each load is written once, to a folder of its own, and
+becomes visible when the table's next manifest names it; a failed or repeated run leaves the published partitions as they were,
+and loads that run at the same time keep each other's partitions.
 """
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from martloom.functions.dates import month_start, timestamp_literal
+from martloom.functions.dates import month_start, next_month, timestamp_literal
 from martloom.operators import intervals as I
-from martloom.sources import partitions as P
+from martloom.sources import manifest as M, partitions as P
 from martloom.sources.storage import Folder
 
 EXECUTION_MONTH = "execution_month"
+# Fixed value: what a plain column name may be.
 _IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_$#]*$")
 _QUOTED = re.compile(r"'(?:[^']|'')*'")
 _RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
@@ -147,163 +149,138 @@ def _partition_dirs(folder: Folder, inside: str) -> list[str]:
     return found
 
 
-def recover(folder: Folder) -> None:
-    """Put back partitions a driver lost in mid-swap had set aside."""
-    for run_id, _ in folder.list("_replaced"):
-        for part in _partition_dirs(folder, f"_replaced/{run_id}"):
-            if not folder.exists(part):
-                folder.move(f"_replaced/{run_id}/{part}", part)
-        folder.remove(f"_replaced/{run_id}")
+def replaced(parts: M.Parts, touched: list[str], run_id: str, load: str, filled: list[str]) -> M.Parts:
+    """A full load: its partitions hold it alone, those without rows hold nothing."""
+    return {p: v for p, v in parts.items() if p not in touched} | {p: [[run_id, load]] for p in filled}
 
 
-def _replace(folder: Folder, staging: str, run_id: str, touched: list[str]) -> None:
-    """Swap whole partitions; a failure half-way puts every partition back."""
-    aside = f"_replaced/{run_id}"
-    done: list[tuple[str, bool]] = []
-    try:
-        for part in touched:
-            had_old = folder.exists(part)
-            if had_old:
-                folder.move(part, f"{aside}/{part}")
-            done.append((part, had_old))
-            if folder.exists(f"{staging}/{part}"):
-                folder.move(f"{staging}/{part}", part)
-    except Exception:
-        for part, had_old in reversed(done):
-            if folder.exists(part):
-                folder.remove(part)
-            if had_old:
-                folder.move(f"{aside}/{part}", part)
-        raise
-    folder.remove(aside)
-
+def appended(parts: M.Parts, touched: list[str], run_id: str, load: str, filled: list[str]) -> M.Parts:
+    """An incremental load beside the others; what a run of this id had added before goes."""
+    kept = {p: [x for x in v if x[0] != run_id] for p, v in parts.items()}
+    return {p: v for p, v in kept.items() if v} | {p: [*kept.get(p, []), [run_id, load]] for p in filled}
 
-def _append(folder: Folder, staging: str, run_id: str, touched: list[str]) -> None:
-    """Add files beside the existing ones; a failure half-way takes them out again.
 
-    Every file carries its run id, so what a run added can be told apart later.
-    """
-    added = []
-    try:
-        for part in touched:
-            for name, is_dir in folder.list(f"{staging}/{part}"):
-                if not is_dir and name.endswith(".parquet"):
-                    target = f"{part}/{run_id}-{name}"
-                    folder.move(f"{staging}/{part}/{name}", target)
-                    added.append(target)
-    except Exception:
-        for target in added:
-            folder.remove(target)
-        raise
+PUBLISHERS: dict[str, Callable] = {"full": replaced, "incremental": appended}
 
 
-PUBLISHERS: dict[str, Callable] = {"full": _replace, "incremental": _append}
+def _publish_rows(rows: DataFrame, extracted: Observation, spec: IngestSpec, base_path: str, run_id: str, spread: bool,
+                  requested: list[str]) -> IngestResult:
+    """Write a load and name it in the table's manifest.
 
-
-def _publish_rows(
-    spark: SparkSession, rows: DataFrame, expected: Callable[[], int], spec: IngestSpec, base_path: str, run_id: str,
-    spread: bool, own_partition: str | None,
-) -> IngestResult:
+    ``extracted`` counts the source rows while they are written, so the source is read once. ``requested`` are
+    partitions that a full load answers for even where it has no rows.
+    """
     if not _RUN_ID.fullmatch(run_id):
         raise ValueError(f"run id must be letters, digits, '_', '.', '-' and start with a letter or digit: {run_id}")
+    spark = rows.sparkSession
     folder = Folder(spark, f"{base_path.rstrip('/')}/{spec.table}")
-    staging = f"_staging/{run_id}"
-    folder.remove(staging)
-    recover(folder)
+    load = f"{run_id}-{uuid.uuid4().hex[:12]}"
+    place = f"{M.LOAD}={load}"
+    undated = Observation()
     try:
-        write_partitions(rows, folder.child(staging), spread, spec.codec, spec.max_records_per_file)
-        stored, wanted = _stored_count(spark, rows, folder.child(staging)), expected()
+        dated = rows.observe(undated, F.count_if(F.col("year").isNull() | F.col("month").isNull()).alias("rows"))
+        write_partitions(dated, folder.child(place), spread, spec.codec, spec.max_records_per_file)
+        stored, wanted = _stored_count(spark, rows, folder.child(place)), extracted.get["rows"]
         if stored != wanted:
             raise VerificationFailed(f"{spec.table}: source has {wanted} rows, written {stored}")
-        touched = _partition_dirs(folder, staging)
-        if spec.strategy == "full" and stored == 0:
-            if not spec.allow_empty:
-                raise VerificationFailed(f"{spec.table}: nothing extracted and allow_empty is off")
-            touched = [own_partition] if own_partition else []
-        before = {}
-        if spec.strategy == "incremental":
-            _withdraw(folder, run_id, touched)
-            before = {p: _count(spark, folder, p) for p in touched}
-        PUBLISHERS[spec.strategy](folder, staging, run_id, touched)
-        if before and sum(_count(spark, folder, p) - n for p, n in before.items()) != stored:
-            _withdraw(folder, run_id, touched)
-            raise VerificationFailed(f"{spec.table}: partitions did not grow by {stored} rows")
-        return IngestResult(folder.path, stored, tuple(touched))
-    finally:
-        folder.remove(staging)
-
-
-def _count(spark: SparkSession, folder: Folder, part: str) -> int:
-    has_files = any(n.endswith(".parquet") for n, is_dir in folder.list(part) if not is_dir)
-    return spark.read.parquet(folder.child(part)).count() if has_files else 0
-
-
-def _withdraw(folder: Folder, run_id: str, touched: list[str]) -> None:
-    """Remove the files a run has added; another run's id may begin with the same text."""
-    own = re.compile(re.escape(run_id) + r"-part-\d{5,}-[0-9a-f-]{36}.*")
-    for part in touched:
-        for name, is_dir in folder.list(part):
-            if not is_dir and own.fullmatch(name):
-                folder.remove(f"{part}/{name}")
+        if undated.get["rows"]:
+            raise VerificationFailed(f"{spec.table}: {undated.get['rows']} rows have no date to choose a partition by")
+        filled = _partition_dirs(folder, place)
+        touched = list(dict.fromkeys([*filled, *requested])) if spec.strategy == "full" else filled
+        if spec.strategy == "full" and len(filled) < max(1, len(touched)) and not spec.allow_empty:
+            empty = ", ".join(p for p in touched if p not in filled) or "all"
+            raise VerificationFailed(f"{spec.table}: nothing extracted for {empty} and allow_empty is off")
+        M.commit(folder, lambda parts: PUBLISHERS[spec.strategy](parts, touched, run_id, load, filled))
+        return IngestResult(folder.path, stored, tuple(sorted(touched)))
+    except BaseException:
+        folder.remove(place)
+        raise
+
+
+def _counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    seen = Observation()
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
 def run_ingest(source: DataFrame, spec: IngestSpec, execution_date: dt.date, base_path: str, run_id: str) -> IngestResult:
-    """One run. Full replaces the partitions it has rows for, incremental adds files to them."""
-    spark = source.sparkSession
-    extracted = extract(source, spec, execution_date)
+    """One run. Full replaces the partitions it has rows for, incremental adds to them."""
+    extracted, seen = _counted(extract(source, spec, execution_date))
     rows = spec.transform(extracted) if spec.transform else extracted
     own = spec.partition_by == EXECUTION_MONTH
     month = F.lit(execution_date.replace(day=1)) if own else month_start(F.col(spec.partition_by))
-    return _publish_rows(
-        spark,
-        with_partition(rows, month),
-        extracted.count,
-        spec,
-        base_path,
-        run_id,
-        spread=not own,
-        own_partition=P.partition_path(execution_date.year, execution_date.month) if own else None,
-    )
+    requested = [P.partition_path(execution_date.year, execution_date.month)] if own else []
+    return _publish_rows(with_partition(rows, month), seen, spec, base_path, run_id, spread=not own, requested=requested)
+
+
+def _by_columns(template: str, own_values: dict) -> str:
+    """The template with interval binds as columns of the row's month; a caller's own value of a name comes first."""
+    def name(match: re.Match) -> str:
+        known = match[1].startswith(I.INTERVAL_BIND_KEYS) and match[1] not in own_values
+        return f"`_bind_{match[1]}`" if known else match[0]
+
+    parts = re.split(f"({_QUOTED.pattern})", template)
+    return "".join(p if i % 2 else _BIND.sub(name, p) for i, p in enumerate(parts))
 
 
 def backfill_rows(source: DataFrame, spec: IngestSpec, start: dt.date, end: dt.date, key: str,
                   window: str = "calendar_month") -> DataFrame:
     """Rows of a month range with their partition, as one frame for all months.
 
-    ``calendar_month`` takes each month's own rows. ``schedule`` gives each month the rows
-    of the schedule's data interval on the month's first day, as separate runs would.
+    ``calendar_month`` takes each month's own rows. ``schedule`` gives each month the rows of the schedule's data
+    interval on the month's first day, as separate runs would. The predicate template holds for each row with the binds of
+    its month's interval.
     """
     I.check_range(start, end)
     spark = source.sparkSession
-    columns = [F.col(c) for c in spec.columns] or [F.col("*")]
     if window == "calendar_month":
         last = end.replace(day=1)
         after = (last + dt.timedelta(days=32)).replace(day=1)
         at_midnight = [dt.datetime.combine(d, dt.time()) for d in (start.replace(day=1), after)]
-        rows = I.interval_filter(source, key, *at_midnight)
-        return with_partition(rows, month_start(F.col(key))).select(*columns, *_missing(spec, P.PARTITION_COLUMNS))
-    if window != "schedule":
+        own = month_start(F.col(key))
+        rows = I.interval_filter(source, key, *at_midnight).withColumns({
+            "_month": own, "_bind_data_interval_start": own.cast("timestamp_ntz"),
+            "_bind_data_interval_end": next_month(F.col(key)).cast("timestamp_ntz")})
+    elif window == "schedule":
+        months = I.months_between(spark, start, end).withColumn("schedule", F.lit(spec.schedule))
+        intervals = I.with_data_interval(months)
+        failed = intervals.where(F.col("interval_error").isNotNull()).select("execution_date", "interval_error").first()
+        if failed:
+            raise ValueError(f"{failed['interval_error']}: execution_date={failed['execution_date']}")
+        dated = intervals.select(F.col("execution_date").alias("_month"), "data_interval_start", "data_interval_end")
+        rows = I.assign_intervals(source, dated, key).withColumnsRenamed({
+            "data_interval_start": "_bind_data_interval_start", "data_interval_end": "_bind_data_interval_end"})
+    else:
         raise ValueError(f"unsupported window: {window}")
-    months = I.months_between(spark, start, end).withColumn("schedule", F.lit(spec.schedule))
-    intervals = I.with_data_interval(months)
-    failed = intervals.where(F.col("interval_error").isNotNull()).select("execution_date", "interval_error").first()
-    if failed:
-        raise ValueError(f"{failed['interval_error']}: execution_date={failed['execution_date']}")
-    dated = intervals.select(F.col("execution_date").alias("_month"), "data_interval_start", "data_interval_end")
-    assigned = I.assign_intervals(source, dated, key).drop("data_interval_start", "data_interval_end")
-    return with_partition(assigned, F.col("_month")).drop("_month").select(*columns, *_missing(spec, P.PARTITION_COLUMNS))
-
-
-def _missing(spec: IngestSpec, names: tuple[str, ...]) -> list[Column]:
-    return [F.col(n) for n in names] if spec.columns else []
+    where = _by_columns((spec.source_where_template or "").strip() or "true", spec.source_bind_params)
+    names = bind_names(where)
+    missing = sorted(names - set(spec.source_bind_params))
+    if missing:
+        raise ValueError(f"no value for bind variables: {', '.join(missing)}")
+    instants = {k: F.col(f"_bind_{'data_interval_end' if k == 'data_interval_end' else 'data_interval_start'}") for k in I.INTERVAL_BIND_KEYS}
+    binds = {f"_bind_{k}": c for k, c in instants.items()}
+    binds |= {f"_bind_{k}_{part}": getattr(F, part)(c).cast("int") for k, c in instants.items() for part in I.PARTS}
+    used = {k: c for k, c in binds.items() if f"`{k}`" in where and k not in rows.columns}
+    escaped = where.replace("{", "{{").replace("}", "}}")
+    chosen = spark.sql(f"SELECT * FROM {{rows}} WHERE {escaped}", args={n: _as_argument(spec.source_bind_params[n]) for n in names},
+                       rows=rows.withColumns(used) if used else rows)
+    return chosen.select(*(spec.columns or source.columns), "_month")
 
 
 def run_backfill(source: DataFrame, spec: IngestSpec, start: dt.date, end: dt.date, key: str, base_path: str, run_id: str,
                  window: str = "calendar_month") -> IngestResult:
-    """All months in one job instead of one run after another."""
-    rows = backfill_rows(source, spec, start, end, key, window)
-    stored = spec.transform(rows) if spec.transform else rows
-    return _publish_rows(source.sparkSession, stored, rows.count, spec, base_path, run_id, spread=True, own_partition=None)
+    """All months in one job instead of one run after another. A full backfill answers for every month of the range."""
+    extracted, seen = _counted(backfill_rows(source, spec, start, end, key, window))
+    if spec.transform:
+        kept = spec.transform(extracted)
+        if "_month" not in kept.columns:
+            raise ValueError("a transform of a backfill has to keep the column _month")
+        extracted = kept
+    rows = with_partition(extracted, F.col("_month")).drop("_month")
+    requested, month = [], start.replace(day=1)
+    while month <= end:
+        requested.append(P.partition_path(month.year, month.month))
+        month = (month + dt.timedelta(days=32)).replace(day=1)
+    return _publish_rows(rows, seen, spec, base_path, run_id, spread=True, requested=requested)
 
 
 def _side_counts(**frames: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from martloom.functions import schedules as S
 from martloom.functions.dates import month_start, timestamp_literal
 
 INTERVAL_BIND_KEYS = ("logical_date", "data_interval_start", "data_interval_end")
-_PARTS = ("year", "month", "day", "hour", "minute", "second")
+PARTS = ("year", "month", "day", "hour", "minute", "second")
 
 
 def _parsed(df: DataFrame, text: str) -> DataFrame:
@@ -80,7 +80,7 @@ def interval_bind_params(start: dt.datetime, end: dt.datetime) -> dict:
     params = {}
     for key, value in zip(INTERVAL_BIND_KEYS, (start, start, end)):
         params[key] = value
-        for part in _PARTS:
+        for part in PARTS:
             params[f"{key}_{part}"] = getattr(value, part)
     return params
 
@@ -92,7 +92,7 @@ def with_bind_params(df: DataFrame) -> DataFrame:
     for key, col in sources.items():
         if key not in df.columns:
             extra.append(F.col(col).alias(key))
-        for part in _PARTS:
+        for part in PARTS:
             extra.append(getattr(F, part)(F.col(col)).cast("int").alias(f"{key}_{part}"))
     return df.select("*", *extra)
 
@@ -110,7 +110,7 @@ def fire_intervals(schedules: DataFrame, start: str = "start_date", end: str = "
         .withColumn("fire_date", F.explode(F.sequence(F.col(start), F.col(end))))
         .where(S.day_matches("_cron", "fire_date"))
         .withColumn("_minutes", F.expr(S.fire_minutes("_cron")))
-        .withColumn("_before", F.expr(S.previous_days_last_fire("_cron", "fire_date")))
+        .withColumn("_before", F.expr(S.previous_days_last_fire("_cron", "fire_date", within_lookback=False)))
     )
     fires = days.select("*", F.posexplode("_minutes").alias("_pos", "_minute"))
     earlier = f"CASE WHEN _pos > 0 THEN {S.at_minute('fire_date', 'get(_minutes, _pos - 1)')} ELSE _before END"

@@ -39,8 +39,9 @@ def typed_steps(raw: DataFrame) -> DataFrame:
 
 
 def latest_state(events: DataFrame, key: str = "id", version: str = "recorded_at") -> DataFrame:
-    """Current row per id of an append-only state log."""
-    return newest(events, [key], [F.col(version).desc()]).drop(version)
+    """Current row per id of an append-only state log; of rows recorded at one time the one that differs last by its values."""
+    others = [F.col(c).desc_nulls_last() for c in events.columns if c not in (key, version)]
+    return newest(events, [key], [F.col(version).desc_nulls_last(), *others]).drop(version)
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -244,10 +245,10 @@ def run_time() -> Column:
     return F.coalesce("finished_at", "started_at", F.col("execution_date").cast("timestamp_ntz"))
 
 
-def recent_activity(runs: DataFrame, limit: int = ACTIVITY_ROWS, recent: int = RECENT_RUNS) -> DataFrame:
-    """Newest runs over all pipelines, each pipeline giving its newest ``recent`` runs."""
+def recent_activity(runs: DataFrame, limit: int = ACTIVITY_ROWS, recent: int | None = None) -> DataFrame:
+    """Newest runs over all pipelines, each giving all its runs or its newest ``recent``."""
     return (
-        recent_runs(runs, recent)
+        (recent_runs(runs, recent) if recent else runs)
         .withColumn("activity_at", run_time())
         .orderBy(F.col("activity_at").desc(), F.col("id").desc())
         .limit(limit)
@@ -255,10 +256,10 @@ def recent_activity(runs: DataFrame, limit: int = ACTIVITY_ROWS, recent: int = R
     )
 
 
-def recent_failures(runs: DataFrame, steps: DataFrame, limit: int = FAILURE_ROWS, recent: int = RECENT_RUNS) -> DataFrame:
-    """Newest failed runs of each pipeline among its recent ones, with their first failed step."""
+def recent_failures(runs: DataFrame, steps: DataFrame, limit: int = FAILURE_ROWS, recent: int | None = None) -> DataFrame:
+    """Newest failed runs of each pipeline, among all or its ``recent`` newest runs, with their first failed step."""
     failed = newest(
-        recent_runs(runs, recent).where(has_tone(F.col("status"), "bad")), ["pipeline_name"], _newest_first(), limit
+        (recent_runs(runs, recent) if recent else runs).where(has_tone(F.col("status"), "bad")), ["pipeline_name"], _newest_first(), limit
     )
     failed = settle(failed.select("id", "pipeline_name", "execution_date", "status"), "failed-runs")
     theirs = steps.join(failed.select(F.col("id").alias("pipeline_run_id")), "pipeline_run_id", "left_semi")
@@ -295,8 +296,9 @@ def step_order(rows: DataFrame) -> DataFrame:
     Takes ``recent_steps`` rows, as the functions below do.
     """
     recency = F.struct("run_created_at", "pipeline_run_id")
-    by_name = rows.groupBy("pipeline_name", "step_name").agg(
-        F.max(recency).alias("_run"), F.max_by("created_at", recency).alias("_at")
+    in_run = rows.groupBy("pipeline_name", "step_name", "run_created_at", "pipeline_run_id").agg(F.min("created_at").alias("_first_at"))
+    by_name = in_run.groupBy("pipeline_name", "step_name").agg(
+        F.max(recency).alias("_run"), F.max_by("_first_at", recency).alias("_at")
     )
     rank = F.row_number().over(
         Window.partitionBy("pipeline_name").orderBy(
@@ -310,15 +312,17 @@ def latest_step_instance(rows: DataFrame) -> DataFrame:
     """The step row of each name taken from the newest run that has it."""
     newest_row = F.max_by(
         F.struct("pipeline_run_id", "status", "started_at", "finished_at", "error_message"),
-        F.struct("run_created_at", "pipeline_run_id", "created_at"),
+        F.struct("run_created_at", "pipeline_run_id", "created_at", "id"),
     )
     grouped = rows.groupBy("pipeline_name", "step_name").agg(newest_row.alias("_row"))
     return grouped.select("pipeline_name", "step_name", "_row.*")
 
 
 def step_outcomes(rows: DataFrame) -> DataFrame:
-    """Success, running and failed counts per step name."""
-    return rows.groupBy("pipeline_name", "step_name").agg(
+    """Success, running and failed counts per step name; a run counts once for a name, by its first such step."""
+    first = F.min_by("status", F.struct("created_at", "id"))
+    once = rows.groupBy("pipeline_name", "step_name", "pipeline_run_id").agg(first.alias("status"))
+    return once.groupBy("pipeline_name", "step_name").agg(
         F.count_if(has_tone(F.col("status"), "ok")).alias("success_count"),
         F.count_if(has_tone(F.col("status"), "warn")).alias("running_count"),
         F.count_if(has_tone(F.col("status"), "bad")).alias("failed_count"),
@@ -356,11 +360,19 @@ def run_grid(recent: DataFrame, steps: DataFrame, as_of: dt.datetime) -> DataFra
     )
 
 
-def run_graph(runs: DataFrame, steps: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Steps of each pipeline's newest run as graph nodes in step order."""
-    head = settle(latest_run(runs, keys=("pipeline_name",)), "graph-runs")
-    rows = settle(recent_steps(head, steps), "graph-steps")
-    return latest_step_instance(rows).join(step_order(rows), ["pipeline_name", "step_name"]).select(
+def run_graph(runs: DataFrame, steps: DataFrame, as_of: dt.datetime, recent: int = RECENT_RUNS) -> DataFrame:
+    """Steps of each pipeline's newest run as graph nodes in step order.
+
+    A pipeline whose newest run has no steps shows the step names of its ``recent`` runs, with status unknown.
+    """
+    known_runs = settle(recent_runs(runs, recent), "graph-runs")
+    known = settle(recent_steps(known_runs, steps), "graph-steps")
+    head = latest_run(known_runs, keys=("pipeline_name",)).select(F.col("id").alias("pipeline_run_id"))
+    rows = known.join(head, "pipeline_run_id", "left_semi")
+    nodes = latest_step_instance(rows).join(step_order(rows), ["pipeline_name", "step_name"])
+    without = step_order(known.join(rows.select("pipeline_name").distinct(), "pipeline_name", "left_anti"))
+    shown = nodes.unionByName(without.withColumn("status", F.lit("unknown")), allowMissingColumns=True)
+    return shown.select(
         "pipeline_name",
         "position",
         F.col("step_name").alias("name"),
@@ -373,7 +385,7 @@ def run_graph(runs: DataFrame, steps: DataFrame, as_of: dt.datetime) -> DataFram
 # --- timelines -------------------------------------------------------------------------
 
 def run_envelope(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """Earliest start and latest end over a run and its steps; a run without any start is left out."""
+    """Earliest start and latest end over a run and its steps; both null for a run without any start."""
     bounds = steps.groupBy(F.col("pipeline_run_id").alias("id")).agg(
         F.min("started_at").alias("_first_start"),
         F.max("started_at").alias("_last_start"),
@@ -388,8 +400,7 @@ def run_envelope(runs: DataFrame, steps: DataFrame) -> DataFrame:
             F.least("started_at", "_first_start").alias("window_start"),
             F.coalesce(F.greatest("finished_at", "_last_end"), F.greatest("started_at", "_last_start")).alias("_end"),
         )
-        .where(F.col("window_start").isNotNull())
-        .select("id", "pipeline_name", "window_start", F.greatest("_end", "window_start").alias("window_end"))
+        .select("id", "pipeline_name", "window_start", F.when(F.col("window_start").isNotNull(), F.greatest("_end", "window_start")).alias("window_end"))
     )
 
 
@@ -415,7 +426,7 @@ def place_on_timeline(df: DataFrame) -> DataFrame:
 
 
 def step_timeline(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """Every step as a bar inside its run."""
+    """Every step as a bar inside its run; steps of a run without any start have null percentages."""
     s = steps.select(F.col("pipeline_run_id").alias("id"), "step_name", "started_at", "finished_at")
     return place_on_timeline(join_totals(s, run_envelope(runs, steps), "id")).select("id", "step_name", "start_pct", "width_pct")
 

@@ -14,7 +14,7 @@ from martloom.sources.storage import Folder, settle
 
 SOURCE_KEYS = ["dataset_name", "source_name"]
 TABLES = {"files": schemas.MART_FILES, "sources": schemas.MART_SOURCES, "datasets": schemas.MART_DATASETS}
-_CURRENT = "_CURRENT"
+_PROMOTED = "_promoted"
 
 
 def file_rows(spark: SparkSession, source_root: str, dataset: str, build_id: str) -> DataFrame:
@@ -156,20 +156,32 @@ class RefreshResult:
     issues: DataFrame | None
 
 
+class PromotionConflict(RuntimeError):
+    """Another version was promoted since this one was begun."""
+
+
 class MartStore:
-    """Versioned metadata tables; a small pointer file names the version readers use."""
+    """Versioned metadata tables. Numbered promotion files name the versions; the highest number is what readers use."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.folder = Folder(spark, root)
 
+    def promotions(self) -> int:
+        """How often a version was promoted."""
+        return max((int(name) for name, is_dir in self.folder.list(_PROMOTED) if not is_dir and name.isdigit()), default=0)
+
+    def version_at(self, promotion: int) -> str | None:
+        return self.folder.read_text(f"{_PROMOTED}/{promotion:012d}").strip() if promotion else None
+
     def current_version(self) -> str | None:
-        text = self.folder.read_text(_CURRENT)
-        return text.strip() if text else None
+        return self.version_at(self.promotions())
 
     def read(self, name: str, version: str | None = None) -> DataFrame:
         """A metadata table of the current (or a named) version; empty before the first promotion."""
-        version = version or self.current_version()
+        return self.table_of(name, version or self.current_version())
+
+    def table_of(self, name: str, version: str | None) -> DataFrame:
         if version is None:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(self.folder.child(f"versions/{version}/{name}"))
@@ -180,12 +192,17 @@ class MartStore:
                 self.folder.child(f"versions/{version}/{name}")
             )
 
-    def promote(self, version: str) -> None:
-        """Readers move to ``version`` when the pointer is swapped, never before."""
+    def promote(self, version: str, after: int | None = None) -> None:
+        """Readers move to ``version`` at once; ``after`` is the promotion it was built on.
+
+        Raises ``PromotionConflict`` when another version came in between, so nothing it holds is lost.
+        """
         absent = [n for n in TABLES if not self.folder.exists(f"versions/{version}/{n}/_SUCCESS")]
         if absent:
             raise FileNotFoundError(f"version {version} lacks {', '.join(absent)}")
-        self.folder.write_text(_CURRENT, version)
+        number = (self.promotions() if after is None else after) + 1
+        if not self.folder.write_new(f"{_PROMOTED}/{number:012d}", version):
+            raise PromotionConflict(version)
 
     def versions(self) -> list[str]:
         return [name for name, is_dir in self.folder.list("versions") if is_dir]
@@ -201,10 +218,13 @@ def table_issues(store: MartStore, version: str) -> DataFrame:
     )
 
 
-def raw_issues(spark: SparkSession, source_root: str, expected_rows: int) -> DataFrame:
-    """The raw table must be readable and hold the expected rows."""
-    exists = P.has_files(spark, source_root)
-    actual = P.scan(spark, source_root).count() if exists else None
+def raw_issues(spark: SparkSession, source_root: str, expected_rows: int, actual_rows: int | None = None) -> DataFrame:
+    """The raw table must be readable and hold the expected rows, those without a date included.
+
+    ``actual_rows`` spares the count where the caller has just read the footers.
+    """
+    exists = actual_rows is not None or P.has_files(spark, source_root)
+    actual = actual_rows if actual_rows is not None else P.scan(spark, source_root).count() if exists else None
     return spark.range(1).select(
         F.lit("error").alias("severity"),
         F.lit("raw_row_count" if exists else "raw_table").alias("check"),
@@ -212,9 +232,10 @@ def raw_issues(spark: SparkSession, source_root: str, expected_rows: int) -> Dat
     ).where(F.lit(actual != expected_rows))
 
 
-def validate_version(store: MartStore, version: str, expected: DataFrame, source_root: str, expected_rows: int) -> DataFrame:
+def validate_version(store: MartStore, version: str, expected: DataFrame, source_root: str, expected_rows: int,
+                     actual_rows: int | None = None) -> DataFrame:
     """All checks; missing tables or a wrong raw table end the checks early."""
-    first = table_issues(store, version).unionByName(raw_issues(store.spark, source_root, expected_rows))
+    first = table_issues(store, version).unionByName(raw_issues(store.spark, source_root, expected_rows, actual_rows))
     if not is_valid(first):
         return first
     columns = ["severity", "check", "message"]
@@ -229,35 +250,44 @@ def refresh_mart(store: MartStore, dataset: str, source_root: str, build_id: str
                  refreshed_at: dt.datetime | None = None, only_if: tuple[int, int] | None = None) -> RefreshResult:
     """Rebuild one source's metadata from its files, validate the new version, promote it.
 
-    Other sources are carried over from the current version. With ``only_if`` (year, month)
-    the refresh is skipped when that partition has no file.
+    Other sources are carried over from the version that was current at the start. Where another refresh is
+    promoted meanwhile, the rest is done again on top of it. With ``only_if`` (year, month) the refresh is skipped
+    when that partition has no file. Without ``refreshed_at`` the time is taken from the session's clock in UTC.
     """
     spark = store.spark
     if not dataset.strip() or not build_id.strip():
         raise ValueError("dataset and build_id must not be blank")
     if only_if and not P.month_has_files(spark, source_root, *only_if):
         return RefreshResult(None, False, None)
-    version = f"{dataset}-{build_id}-{uuid.uuid4().hex[:8]}"
     # Kept on storage first: files are listed and counted once, and all later steps see the same.
     new_files = settle(file_rows(spark, source_root, dataset, build_id), "new-files")
     found = new_files.agg(F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("file_count")).first()
     if not found["file_count"]:
         raise ValueError(f"no source files under {source_root}")
-    store.write_version(version, {"files": upsert(store.read("files"), new_files)})
+    at = refreshed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     mode = "full" if kind == "full" else "incremental"
     name = source_root.rstrip("/").rsplit("/", 1)[-1]
-    own = store.read("files", version).where((F.col("dataset_name") == dataset) & (F.col("source_name") == name))
-    new_source = source_rollup(own, mode, refreshed_at or dt.datetime.now(), source_root)
-    store.write_version(version, {"sources": upsert(store.read("sources"), new_source)})
-    changed = dataset_rollup(store.read("sources", version).where(F.col("dataset_name") == dataset))
-    store.write_version(version, {"datasets": upsert(store.read("datasets"), changed, ["dataset_name"])})
+    new_source = settle(source_rollup(new_files, mode, at, source_root), "new-source")
     expected = spark.range(1).select(
         F.lit(dataset).alias("dataset_name"), F.lit(name).alias("source_name"),
         F.lit(found["row_count"]).alias("row_count"), F.lit(found["file_count"]).alias("file_count"),
         F.lit(build_id).alias("build_id"),
     )
-    issues = validate_version(store, version, expected, source_root, found["row_count"])
-    promoted = is_valid(issues)
-    if promoted:
-        store.promote(version)
-    return RefreshResult(version, promoted, issues)
+    while True:
+        after = store.promotions()
+        base = store.version_at(after)
+        version = f"{dataset}-{build_id}-{uuid.uuid4().hex[:8]}"
+        old = {n: store.table_of(n, base) for n in TABLES}
+        sources = upsert(old["sources"], new_source)
+        changed = dataset_rollup(sources.where(F.col("dataset_name") == dataset))
+        store.write_version(version, {"files": upsert(old["files"], new_files), "sources": sources,
+                                      "datasets": upsert(old["datasets"], changed, ["dataset_name"])})
+        issues = validate_version(store, version, expected, source_root, found["row_count"], found["row_count"])
+        if not is_valid(issues):
+            return RefreshResult(version, False, issues)
+        try:
+            store.promote(version, after)
+        except PromotionConflict:
+            store.folder.remove(f"versions/{version}")
+            continue
+        return RefreshResult(version, True, issues)

@@ -1,6 +1,7 @@
 """KPIs, charts, file detail and filter options over the mart metadata tables."""
 
 import datetime as dt
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -64,18 +65,21 @@ class DetailRequest:
             raise ValueError("page must be at least 1 and page_size between 1 and 500")
 
 
+_YEAR_MONTH = re.compile(r"(\d{4})-(\d{1,2})")
+
+
 def parse_month(text: str) -> dt.date:
-    try:
-        year, month = text.split("-", maxsplit=1)
-        return dt.date(int(year), int(month), 1)
-    except ValueError as exc:
-        raise ValueError(f"invalid partition_month: {text}") from exc
+    """First day of a month given as year and month."""
+    found = _YEAR_MONTH.fullmatch(text)
+    if not found or not 1 <= int(found[2]) <= 12 or int(found[1]) == 0:
+        raise ValueError(f"a month is written like 2026-03, not {text!r}")
+    return dt.date(int(found[1]), int(found[2]), 1)
 
 
 def check_filters(filters: dict) -> None:
-    unknown = sorted(set(filters) - set(FILTER_KEYS))
-    if unknown:
-        raise ValueError(f"unsupported filters: {', '.join(unknown)}")
+    for name in filters:
+        if name not in FILTER_KEYS:
+            raise ValueError(f"no filter named {name!r}; known are {' and '.join(FILTER_KEYS)}")
 
 
 def ensure_dataset(datasets: DataFrame, dataset: str) -> None:
@@ -178,7 +182,7 @@ CHARTS: dict[str, Callable[[DataFrame, ChartRequest], DataFrame]] = {
 
 def chart(files: DataFrame, request: ChartRequest) -> DataFrame:
     if request.chart_id not in CHARTS:
-        raise ValueError(f"unsupported chart_id: {request.chart_id}")
+        raise ValueError(f"no chart named {request.chart_id!r}")
     return CHARTS[request.chart_id](files, request)
 
 
@@ -192,9 +196,9 @@ def sort_columns(sort: tuple | list) -> list[Column]:
     terms = []
     for name, direction in sort:
         if name not in SORT_FIELDS:
-            raise ValueError(f"unsupported sort field: {name}")
+            raise ValueError(f"rows can't be sorted by {name!r}")
         if direction not in ("asc", "desc"):
-            raise ValueError(f"unsupported sort direction: {direction}")
+            raise ValueError(f"a sort goes asc or desc, not {direction!r}")
         terms.append(F.col(name).desc_nulls_last() if direction == "desc" else F.col(name).asc_nulls_last())
     return terms
 
@@ -207,7 +211,7 @@ def full_sort(sort: tuple | list) -> list[Column]:
 def detail(files: DataFrame, dataset: str, filters: dict | None = None, detail_key: str = "source-files") -> DataFrame:
     """All detail rows; the date window of summaries and charts does not apply here."""
     if detail_key not in DETAIL_KEYS:
-        raise ValueError(f"unsupported detail_key: {detail_key}")
+        raise ValueError(f"no detail rows named {detail_key!r}")
     return select_files(files, dataset, filters).select(
         "source_name", F.col("partition_start").alias("partition_month"), "file_path", "row_count", "last_build_id"
     )
@@ -254,3 +258,43 @@ def dashboard(files: DataFrame, sources: DataFrame, datasets: DataFrame, dataset
     for chart_id, limit in CHART_LIMITS.items():
         frames[chart_id] = chart(files, ChartRequest(dataset, chart_id, "month", limit, filters=filters))
     return frames
+
+
+@dataclass(frozen=True)
+class ServedMart:
+    """The promoted metadata tables; every call names a dataset, and one that the mart doesn't hold raises ``UnknownDataset``."""
+
+    files: DataFrame
+    sources: DataFrame
+    datasets: DataFrame
+
+    @classmethod
+    def of_store(cls, store) -> "ServedMart":
+        """All three tables of one version."""
+        version = store.current_version()
+        return cls(*(store.table_of(name, version) for name in ("files", "sources", "datasets")))
+
+    def summary(self, request: SummaryRequest) -> DataFrame:
+        ensure_dataset(self.datasets, request.dataset)
+        return kpi_summary(self.files, request)
+
+    def chart(self, request: ChartRequest) -> DataFrame:
+        ensure_dataset(self.datasets, request.dataset)
+        return chart(self.files, request)
+
+    def detail(self, request: DetailRequest) -> tuple[DataFrame, DataFrame]:
+        """A page of rows and their total."""
+        ensure_dataset(self.datasets, request.dataset)
+        return detail_page(self.files, request), detail_total(self.files, request)
+
+    def export_rows(self, request: DetailRequest) -> DataFrame:
+        ensure_dataset(self.datasets, request.dataset)
+        return detail_sorted(self.files, request)
+
+    def filter_options(self, dataset: str) -> tuple[DataFrame, DataFrame]:
+        """Sources and months."""
+        ensure_dataset(self.datasets, dataset)
+        return source_options(self.sources, dataset), month_options(self.files, dataset)
+
+    def dashboard(self, dataset: str, filters: dict | None = None) -> dict[str, DataFrame]:
+        return dashboard(self.files, self.sources, self.datasets, dataset, filters)

@@ -90,20 +90,32 @@ def ingest_incremental(spark, sf_dir):
     return P.scan(spark, result.table_root)
 
 
-def _backfill(spark, sf_dir, window, schedule, start, end):
-    spec = I.IngestSpec("orders", "ORDERS", schedule=schedule, source_where_template="1 = 1", columns=_ORDER_COLUMNS)
-    result = I.run_backfill(table(spark, sf_dir, "orders"), spec, start, end, "o_orderdate",
-                            shared_folder(spark, "backfill"), "run-1", window)
+def _backfill(spark, sf_dir, window, schedule, start, end, base, run_id, where, **params):
+    spec = I.IngestSpec("orders", "ORDERS", schedule=schedule, source_where_template=where, source_bind_params=params,
+                        columns=_ORDER_COLUMNS, allow_empty=True)
+    result = I.run_backfill(table(spark, sf_dir, "orders"), spec, start, end, "o_orderdate", base, run_id, window)
     return P.scan(spark, result.table_root)
 
 
 def backfill_ingest(spark, sf_dir):
-    return _backfill(spark, sf_dir, "calendar_month", "", dt.date(1995, 1, 15), dt.date(2001, 12, 10))
+    """Months of their own rows; the predicate names a value of the caller and parts of the month's interval."""
+    return _backfill(spark, sf_dir, "calendar_month", "", dt.date(1995, 1, 15), dt.date(2001, 12, 10), shared_folder(spark, "backfill"), "run-1",
+                     "o_orderstatus <> :skipped AND month(o_orderdate) = :logical_date_month AND o_orderdate < :data_interval_end"
+                     " AND day(o_orderdate) > :data_interval_start_day", skipped="P")
 
 
 def backfill_ingest_schedule(spark, sf_dir):
     """Each month holds the interval of the schedule on its first day: the month before."""
-    return _backfill(spark, sf_dir, "schedule", "0 2 1 * *", dt.date(1995, 1, 1), dt.date(2002, 1, 1))
+    return _backfill(spark, sf_dir, "schedule", "0 2 1 * *", dt.date(1995, 1, 1), dt.date(2002, 1, 1), shared_folder(spark, "backfill"), "run-1",
+                     "o_orderpriority = :priority OR month(o_orderdate) <> :logical_date_month", priority="1-URGENT")
+
+
+def backfill_rerun(spark, sf_dir):
+    """A second backfill finds rows in some months only; the others end up empty."""
+    base, span = shared_folder(spark, "backfill"), (dt.date(1995, 1, 1), dt.date(2001, 12, 1))
+    _backfill(spark, sf_dir, "calendar_month", "", *span, base, "run-1", "1 = 1")
+    return _backfill(spark, sf_dir, "calendar_month", "", *span, base, "run-2", "o_orderstatus = :status AND o_orderdate < :before",
+                     status="F", before=dt.datetime(1997, 3, 1))
 
 
 def verify_full(spark, sf_dir):
@@ -146,7 +158,7 @@ QUERIES = {
     for f in (
         ingest_source_scan, ingest_projection, ingest_where_template, ingest_interval_filter, ingest_template_and_interval,
         ingest_column_predicate, ingest_full, ingest_execution_month, ingest_incremental, backfill_ingest,
-        backfill_ingest_schedule, verify_full, verify_incremental, verify_incremental_sound, publish_after_verify,
+        backfill_ingest_schedule, backfill_rerun, verify_full, verify_incremental, verify_incremental_sound, publish_after_verify,
     )
 }
 
@@ -175,10 +187,12 @@ ORACLE = {
         UNION ALL SELECT event_id, ts, event_type, 2024, 1 FROM events WHERE {_DAY.format(14, 15)}
         UNION ALL SELECT event_id, ts, event_type, 2024, 1 FROM events WHERE {_DAY.format(15, 16)}""",
     "backfill_ingest": f"""SELECT o_orderkey, o_orderstatus, o_orderdate, {_YM.format('o_orderdate')} FROM orders
-        WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '2002-01-01'""",
+        WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '2002-01-01' AND o_orderstatus <> 'P' AND day(o_orderdate) > 1""",
     "backfill_ingest_schedule": f"""SELECT o_orderkey, o_orderstatus, o_orderdate, {_YM.format('m')}
-        FROM (SELECT *, date_trunc('month', o_orderdate - INTERVAL 2 HOUR) + INTERVAL 1 MONTH AS m FROM orders)
-        WHERE m >= TIMESTAMP '1995-01-01' AND m <= TIMESTAMP '2002-01-01'""",
+        FROM (SELECT *, o_orderdate - INTERVAL 2 HOUR AS moved, date_trunc('month', o_orderdate - INTERVAL 2 HOUR) + INTERVAL 1 MONTH AS m FROM orders)
+        WHERE m >= TIMESTAMP '1995-01-01' AND m <= TIMESTAMP '2002-01-01' AND (o_orderpriority = '1-URGENT' OR month(o_orderdate) <> month(moved))""",
+    "backfill_rerun": f"""SELECT o_orderkey, o_orderstatus, o_orderdate, {_YM.format('o_orderdate')} FROM orders
+        WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-03-01' AND o_orderstatus = 'F'""",
     "verify_full": """SELECT 'error' AS severity, 'row_count' AS check, (SELECT count(*) FROM orders) AS expected,
         (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS actual""",
     "verify_incremental": """SELECT 'error' AS severity, 'partition_growth' AS check,

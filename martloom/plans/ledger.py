@@ -341,10 +341,10 @@ ORACLE = {
         count(*) FILTER (WHERE latest_tone = 'warn') AS warn, count(*) FILTER (WHERE latest_tone = 'bad') AS bad,
         count(*) FILTER (WHERE is_paused) AS paused FROM overview"""),
     "latest_finish": with_(_OVERVIEW, "SELECT max(latest_finished_at) AS latest_finish FROM overview"),
-    "recent_activity": with_(RUNS + _RECENT, """SELECT id, pipeline_name, execution_date, status, trigger_type, started_at, finished_at,
+    "recent_activity": with_(RUNS, """SELECT id, pipeline_name, execution_date, status, trigger_type, started_at, finished_at,
         coalesce(finished_at, started_at, CAST(execution_date AS TIMESTAMP)) AS activity_at
-        FROM recent ORDER BY activity_at DESC, id DESC LIMIT 20"""),
-    "recent_failures": with_(STEPS + _RECENT + f", failed AS ({_top('pipeline_name', chr(34) + 'status' + chr(34) + ' = ' + chr(39) + 'failed' + chr(39), 5, 'recent')})",
+        FROM runs ORDER BY activity_at DESC, id DESC LIMIT 20"""),
+    "recent_failures": with_(STEPS + _RECENT + f", failed AS ({_top('pipeline_name', chr(34) + 'status' + chr(34) + ' = ' + chr(39) + 'failed' + chr(39), 5, 'runs')})",
         f"""SELECT f.id, f.pipeline_name, f.execution_date, f.status, x.step_name, x.error_message
         FROM failed f LEFT JOIN ({_FIRST_FAILED}) x ON x.id = f.id"""),
     "run_summary": with_(STEPS, _SUMMARY.format("runs")),

@@ -3,10 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from martloom.functions.dates import partition_date
+from martloom.sources import manifest as M
 from martloom.sources.storage import Folder
 
 PARTITION_COLUMNS = ("year", "month")
-_LAYOUT = r"/year=(\d+)/month=(\d+)/[^/]+\.parquet$"
+_LAYOUT = r"/year=(\d+|__HIVE_DEFAULT_PARTITION__)/month=(\d+|__HIVE_DEFAULT_PARTITION__)/[^/]+\.parquet$"
 
 
 def partition_path(year: int, month: int) -> str:
@@ -15,30 +16,42 @@ def partition_path(year: int, month: int) -> str:
 
 def scan(spark: SparkSession, root: str, merge_schema: bool = False) -> DataFrame:
     """The whole raw table; year and month become integer columns."""
-    return spark.read.option("mergeSchema", merge_schema).parquet(root)
+    reader = spark.read.option("mergeSchema", merge_schema)
+    parts = M.current(spark, root)
+    if parts is None:
+        return reader.parquet(root)
+    based = reader.option("basePath", root)
+    found = M.paths(root, parts)
+    if found:
+        return based.parquet(*found).drop(M.LOAD)
+    return based.parquet(root).drop(M.LOAD).limit(0)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every partition file as (file_path, year, month) from the directory listing alone."""
-    empty = spark.createDataFrame([], "file_path string, year int, month int")
-    if not Folder(spark, root).exists():
-        return empty
+    """Every partition file as (file_path, year, month) from the directory listing alone.
+
+    Files of rows without a date have null year and month.
+    """
+    parts = M.current(spark, root)
+    found = [root] if parts is None else M.paths(root, parts)
+    if not found or not Folder(spark, root).exists():
+        return spark.createDataFrame([], "file_path string, year int, month int")
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", True)
-        .load(root)
+        .load(found)
         .select(F.col("path").alias("file_path"))
     )
-    return listed.where(F.col("file_path").rlike(_LAYOUT)).select(
-        "file_path",
-        F.regexp_extract("file_path", _LAYOUT, 1).cast("int").alias("year"),
-        F.regexp_extract("file_path", _LAYOUT, 2).cast("int").alias("month"),
-    )
+    number = lambda group: F.regexp_extract("file_path", _LAYOUT, group).try_cast("int")
+    return listed.where(F.col("file_path").rlike(_LAYOUT)).select("file_path", number(1).alias("year"), number(2).alias("month"))
 
 
 def has_files(spark: SparkSession, root: str) -> bool:
     """Whether any partition holds a file, by looking at directories until one is found."""
+    parts = M.current(spark, root)
+    if parts is not None:
+        return any(parts.values())
     folder = Folder(spark, root)
     for year, _ in folder.list():
         for month, _ in folder.list(year) if year.startswith("year=") else ():
@@ -48,9 +61,18 @@ def has_files(spark: SparkSession, root: str) -> bool:
     return False
 
 
+def month_paths(spark: SparkSession, root: str, year: int, month: int) -> list[str]:
+    """Directories that hold a month's files."""
+    part = partition_path(year, month)
+    parts = M.current(spark, root)
+    if parts is not None:
+        return M.paths(root, {part: parts.get(part, [])})
+    inside = Folder(spark, root).list(part)
+    return [f"{root.rstrip('/')}/{part}"] if any(name.endswith(".parquet") for name, is_dir in inside if not is_dir) else []
+
+
 def month_has_files(spark: SparkSession, root: str, year: int, month: int) -> bool:
-    inside = Folder(spark, root).list(partition_path(year, month))
-    return any(name.endswith(".parquet") for name, is_dir in inside if not is_dir)
+    return bool(month_paths(spark, root, year, month))
 
 
 def source_files(spark: SparkSession, root: str) -> DataFrame:
@@ -58,13 +80,13 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def partition_files(spark: SparkSession, root: str, year: int, month: int) -> DataFrame:
-    folder = f"{root.rstrip('/')}/{partition_path(year, month)}"
-    if not Folder(spark, folder).exists():
+    found = month_paths(spark, root, year, month)
+    if not found:
         return spark.createDataFrame([], "file_path string")
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
-        .load(folder)
+        .load(found)
         .select(F.col("path").alias("file_path"))
         .orderBy("file_path")
     )
@@ -97,6 +119,5 @@ def partition_row_counts(spark: SparkSession, root: str) -> DataFrame:
 
 def partition_row_count(spark: SparkSession, root: str, year: int, month: int) -> int:
     """Rows of one month; 0 when the month has no file. Only that month's footers are read."""
-    if not month_has_files(spark, root, year, month):
-        return 0
-    return spark.read.parquet(f"{root.rstrip('/')}/{partition_path(year, month)}").count()
+    found = month_paths(spark, root, year, month)
+    return spark.read.parquet(*found).count() if found else 0

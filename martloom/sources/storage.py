@@ -1,23 +1,38 @@
 """Directory operations on whatever file system the cluster uses, and the shared scratch folder."""
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: list[str] = []
 
 
+def _named_folder(spark: SparkSession) -> str | None:
+    """The folder set for checkpoints, by option or by call."""
+    option = spark.conf.get("spark.checkpoint.dir", None)
+    if option:
+        return option
+    called = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return called.get() if called.isDefined() else None
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder for one run, in the folder named by ``spark.checkpoint.dir``.
+    """A new folder for one run, in the folder that all executors share.
 
-    Only a session that names no folder (a local test) gets a temporary one.
+    It is the one named by ``spark.checkpoint.dir`` or by ``setCheckpointDir``. Only a local session may go without
+    and gets a temporary one; on a cluster executors would not see each other's files.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _named_folder(spark)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="martloom-"))
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -96,6 +111,27 @@ class Folder:
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
         context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(target), options)
 
+    def write_new(self, name: str, text: str) -> bool:
+        """Write a small file that must not exist yet; False when another writer was first."""
+        temporary = f".{name.replace('/', '-')}.{uuid.uuid4().hex}"
+        out = self._fs.create(self._jpath(self.child(temporary)), True)
+        try:
+            out.write(bytearray(text, "utf-8"))
+        finally:
+            out.close()
+        options = self._spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        target = self._jpath(self.child(name))
+        self._fs.mkdirs(target.getParent())
+        try:
+            context.rename(self._fs.makeQualified(self._jpath(self.child(temporary))), self._fs.makeQualified(target), options)
+        except Py4JJavaError as error:
+            if not self._fs.exists(target) or "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            self.remove(temporary)
+            return False
+        return True
+
     def read_text(self, name: str) -> str | None:
         path = self._jpath(self.child(name))
         if not self._fs.exists(path):

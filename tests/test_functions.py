@@ -102,3 +102,12 @@ def test_shorten_and_mask(spark):
     assert one(spark, X.shorten(F.lit("a" * 121))) == "a" * 120 + "…"
     params = F.create_map(*[F.lit(x) for x in ("db_PASSWORD", "x", "user", "y", "api_key", "z")])
     assert one(spark, X.mask_secrets(params)) == {"db_PASSWORD": "***", "user": "y", "api_key": "***"}
+
+
+def test_iso_forms_of_the_standard(spark):
+    texts = ["20260315T103000", "2026-03-15T10", "2026-03-15T10:20:00,5", "2026-03-15T10:20:30.1234567Z", "20260315", "2026-03-15 10:20+09:00",
+             "2026-0315", "2026-03-15T1020:30", "2026-13-01", "x"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(D.parse_iso(F.col("t"))).collect()]
+    day = dt.datetime(2026, 3, 15)
+    assert got == [day.replace(hour=10, minute=30), day.replace(hour=10), day.replace(hour=10, minute=20, microsecond=500000),
+                   day.replace(hour=10, minute=20, second=30, microsecond=123456), day, day.replace(hour=10, minute=20), None, None, None, None]

@@ -1,4 +1,5 @@
 import datetime as dt
+import glob
 import os
 
 import pytest
@@ -33,7 +34,14 @@ def stored(spark, base, table="LOG"):
 
 
 def left_over(base, table="LOG"):
-    return [n for n in os.listdir(f"{base}/{table}") if n.startswith("_") and os.listdir(f"{base}/{table}/{n}")]
+    """Load folders and temporary files that no manifest has named."""
+    import json
+
+    root = f"{base}/{table}"
+    named = set()
+    for f in glob.glob(f"{root}/_manifests/*.json"):
+        named |= {load for loads in json.load(open(f)).values() for _, load in loads}
+    return [n for n in os.listdir(root) if n != "_manifests" and n.removeprefix("_load=") not in named and not n.endswith(".crc")]
 
 
 def test_full_replaces_only_its_month(spark, log, tmp_path):
@@ -56,11 +64,12 @@ def test_rerun_gives_the_same(spark, log, tmp_path):
 
 def test_incremental_appends_and_keeps_files(spark, log, tmp_path):
     inc = spec(strategy="incremental", incremental_key="LOG_DATE", schedule="0 0 1 * *")
-    base, month = str(tmp_path), "LOG/year=2026/month=02"
+    base = str(tmp_path)
     I.run_ingest(log, inc, dt.date(2026, 2, 1), base, "r1")
-    before = set(os.listdir(f"{base}/{month}"))
+    files = lambda: {r.file_path for r in P.list_files(spark, f"{base}/LOG").collect()}
+    before = files()
     I.run_ingest(log, inc, dt.date(2026, 2, 1), base, "r2")
-    assert before < set(os.listdir(f"{base}/{month}"))
+    assert before < files()
     assert stored(spark, base).count() == 100
     # A repeated run id stands for a retry and adds nothing; an id beginning like it is another run.
     I.run_ingest(log, inc, dt.date(2026, 2, 1), base, "r2-1")
@@ -93,33 +102,58 @@ def test_failing_source_keeps_the_old_month(spark, log, tmp_path):
 def test_failure_while_publishing_is_undone(spark, log, tmp_path, monkeypatch):
     base = str(tmp_path)
     I.run_ingest(log, spec(partition_by="LOG_DATE"), DAY, base, "r1")
-    move, calls = Folder.move, []
 
-    def failing(self, source, target):
-        calls.append(source)
-        if len(calls) == 4:
-            raise OSError("disk lost")
-        move(self, source, target)
+    def failing(self, name, text):
+        raise OSError("disk lost")
 
     for strategy in ({}, {"strategy": "incremental", "incremental_key": "LOG_DATE", "schedule": "interval:400d"}):
-        calls.clear()
-        monkeypatch.setattr(Folder, "move", failing)
-        twice = spec(partition_by="LOG_DATE", max_records_per_file=10, transform=lambda df: df.withColumn("QUANTITY", -F.col("QUANTITY")),
-                     **strategy)
-        with pytest.raises(OSError):
-            I.run_ingest(log, twice, DAY, base, "r2")
-        monkeypatch.setattr(Folder, "move", move)
+        with monkeypatch.context() as patch:
+            patch.setattr(Folder, "write_new", failing)
+            with pytest.raises(OSError):
+                I.run_ingest(log, spec(partition_by="LOG_DATE", **strategy), DAY, base, "r2")
         assert stored(spark, base).agg(F.sum("QUANTITY")).first()[0] == 49500
-        assert stored(spark, base).count() == 100
+        assert stored(spark, base).count() == 100 and left_over(base) == []
 
 
-def test_partition_set_aside_by_a_lost_driver_comes_back(spark, log, tmp_path):
+def test_loads_of_one_table_at_the_same_time_keep_each_other(spark, log, tmp_path):
+    """Each of two loads commits while the other is about to."""
     base = str(tmp_path)
     I.run_ingest(log, spec(partition_by="LOG_DATE"), DAY, base, "r1")
-    folder = Folder(spark, f"{base}/LOG")
-    folder.move("year=2026/month=01", "_replaced/dead/year=2026/month=01")
-    I.recover(folder)
-    assert stored(spark, base).count() == 100 and left_over(base) == []
+    write_new, inner = Folder.write_new, []
+
+    def interleaved(self, name, text):
+        if not inner:
+            inner.append(name)
+            I.run_ingest(log.where("LOG_ID < 50"), spec(partition_by="LOG_DATE", source_bind_params={"least": 100}), DAY, base, "r3")
+        return write_new(self, name, text)
+
+    Folder.write_new = interleaved
+    try:
+        I.run_ingest(log.where("LOG_ID >= 50"), spec(partition_by="LOG_DATE", source_bind_params={"least": 600}), DAY, base, "r2")
+    finally:
+        Folder.write_new = write_new
+    counts = {r.month: r.row_count for r in P.partition_row_counts(spark, f"{base}/LOG").collect()}
+    assert counts == {1: 40, 2: 20, 3: 20}
+
+
+def test_source_is_read_once(spark, log, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    source = log.mapInArrow(counted, log.schema)
+    inc = spec(strategy="incremental", incremental_key="LOG_DATE", schedule="interval:400d")
+    assert I.run_ingest(source, inc, dt.date(2026, 6, 1), str(tmp_path), "r1").rows == 100
+    assert reads.value == 100
+
+
+def test_rows_without_a_date_are_refused(spark, log, tmp_path):
+    undated = log.withColumn("LOG_DATE", F.when(F.col("LOG_ID") > 9, F.col("LOG_DATE")))
+    with pytest.raises(I.VerificationFailed, match="10 rows"):
+        I.run_ingest(undated, spec(partition_by="LOG_DATE"), DAY, str(tmp_path), "r1")
 
 
 def test_empty_extract(spark, log, tmp_path):
@@ -150,6 +184,21 @@ def test_backfill_months_in_one_go(spark, log, tmp_path):
         I.run_backfill(log, monthly, DAY, dt.date(2026, 1, 1), "LOG_DATE", base, "b4")
 
 
+def test_backfill_keeps_the_template_and_clears_emptied_months(spark, log, tmp_path):
+    base = str(tmp_path)
+    run = lambda run_id, **more: I.run_backfill(log, spec(**more), dt.date(2026, 1, 1), dt.date(2026, 3, 31), "LOG_DATE", base, run_id)
+    even = {"source_where_template": "LOG_ID % 2 = :rest AND LOG_DATE >= :data_interval_start AND month(LOG_DATE) = :logical_date_month", "source_bind_params": {"rest": 0}}
+    assert run("b1", **even).rows == 50
+    only_march = {"source_where_template": "LOG_ID >= :first", "source_bind_params": {"first": 80}}
+    with pytest.raises(I.VerificationFailed, match="month=01"):
+        run("b2", **only_march)
+    assert stored(spark, base).count() == 50
+    assert run("b3", allow_empty=True, **only_march).rows == 20
+    assert {r.month for r in stored(spark, base).select("month").distinct().collect()} == {3}
+    with pytest.raises(ValueError, match="absent"):
+        run("b4", source_where_template="LOG_ID = :absent", source_bind_params={})
+
+
 def test_extract_arguments(log):
     with pytest.raises(ValueError, match="least"):
         I.extract(log, spec(source_bind_params={}), DAY)

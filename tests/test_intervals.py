@@ -114,3 +114,16 @@ def test_pending_dates(spark):
                                  "pipeline_name string, execution_date date, status string")
     assert sorted(r[0] for r in I.pending_dates(wanted, runs).collect()) == ["c", "d"]
     assert I.pending_dates(wanted, runs, force=True).count() == 4
+
+
+def test_waits_of_years_and_steps_wider_than_their_field(spark):
+    day = dt.datetime(2025, 3, 1)
+    got = spark.createDataFrame([("0 0 29 2 *",), ("0 0 29 2 mon",), ("*/70 * * * *",), ("10-20/15 * * * *",), ("0 0 31 2 *",)], "schedule string").select(
+        "schedule", F.expr(S.cron_struct("schedule")).alias("c")).select(
+        "schedule", F.expr(S.next_fire("c", f"TIMESTAMP_NTZ '{day}'")).alias("next"), F.expr(S.is_cron("c")).alias("ok")).collect()
+    found = {r.schedule: (r.ok, r.next) for r in got}
+    assert found["0 0 29 2 *"] == (True, dt.datetime(2028, 2, 29)) and found["0 0 29 2 mon"] == (True, dt.datetime(2044, 2, 29))
+    assert not found["*/70 * * * *"][0] and not found["10-20/15 * * * *"][0] and found["0 0 31 2 *"] == (True, None)
+    leap = spark.createDataFrame([("0 0 29 2 *", dt.date(2020, 1, 1), dt.date(2028, 12, 31))], "schedule string, start_date date, end_date date")
+    starts = sorted(r.data_interval_start for r in I.fire_intervals(leap).collect())
+    assert starts == [dt.datetime(y, 2, 29) for y in (2016, 2020, 2024)]

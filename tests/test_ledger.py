@@ -109,7 +109,9 @@ def test_window_without_any_end_or_start(frames):
     runs, steps = frames([run("1", start=0, end=None), run("2", start=None, end=None)],
                          [step("1", "a", start=7, end=None)])
     got = {r.id: (r.window_start, r.window_end) for r in L.run_envelope(runs, steps).collect()}
-    assert got == {"1": (at(0), at(7))}
+    assert got == {"1": (at(0), at(7)), "2": (None, None)}
+    bars = {r.id: r.start_pct for r in L.step_timeline(runs, frames([], [step("1", "a"), step("2", "b", start=None, end=None)])[1]).collect()}
+    assert bars == {"1": 0.0, "2": None}
 
 
 def test_task_rows_use_the_newest_runs_window(frames):
@@ -171,3 +173,24 @@ def test_pause_override_wins(spark):
     specs = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "name string, paused boolean")
     over = spark.createDataFrame([("a", False)], "name string, paused boolean")
     assert {r.name: r.is_paused for r in L.pause_state(specs, over).collect()} == {"a": False, "b": False, "c": False}
+
+
+def test_graph_of_a_newest_run_without_steps(frames):
+    runs, steps = frames([run("1"), run("2", start=100), run("3", "q")], [step("1", "a"), step("1", "b", start=5), step("3", "c")])
+    got = sorted((r.pipeline_name, r.position, r.name, r.status) for r in L.run_graph(runs, steps, AS_OF).collect())
+    assert got == [("p", 1, "a", "unknown"), ("p", 2, "b", "unknown"), ("q", 1, "c", "success")]
+
+
+def test_repeated_steps_of_a_run(frames, spark):
+    runs, _ = frames([run("1")])
+    rows = [("s1", "1", "a", "failed", at(0), at(1), 0, None, 0, at(0)), ("s2", "1", "a", "success", at(2), at(3), 0, None, 1, at(2)),
+            ("s3", "1", "b", "success", at(1), at(2), 0, None, 0, at(1))]
+    seen = L.recent_steps(runs, spark.createDataFrame(rows, schemas.STEPS))
+    assert {(r.step_name, r.success_count, r.failed_count) for r in L.step_outcomes(seen).collect()} == {("a", 0, 1), ("b", 1, 0)}
+    assert {r.step_name: r.position for r in L.step_order(seen).collect()} == {"a": 1, "b": 2}
+    assert {r.step_name: r.status for r in L.latest_step_instance(seen).collect()}["a"] == "success"
+
+
+def test_activity_covers_all_runs_unless_limited(frames):
+    runs, _ = frames([run(str(i), start=i) for i in range(40)])
+    assert L.recent_activity(runs, 40).count() == 40 and L.recent_activity(runs, 40, recent=25).count() == 25

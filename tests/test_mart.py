@@ -103,3 +103,34 @@ def test_missing_tables_and_raw_rows_end_validation(spark, ops, store):
 def test_warnings_are_allowed(spark):
     issues = spark.createDataFrame([("warning", "x", "y")], "severity string, check string, message string")
     assert M.is_valid(issues) and not M.is_valid(issues.withColumn("severity", F.lit("error")))
+
+
+def test_refreshes_at_the_same_time_keep_each_other(spark, ops, store, tmp_path):
+    """The second refresh is promoted while the first is about to be."""
+    other = str(tmp_path / "OTHER")
+    write(spark, other, 1, [(i, i) for i in range(4)])
+    promote, inner = M.MartStore.promote, []
+
+    def interleaved(self, version, after=None):
+        if not inner:
+            inner.append(version)
+            M.refresh_mart(store, "mes_ops", other, "b2", refreshed_at=NOW)
+        promote(self, version, after)
+
+    M.MartStore.promote = interleaved
+    try:
+        result = M.refresh_mart(store, "mes_ops", ops, "b1", refreshed_at=NOW)
+    finally:
+        M.MartStore.promote = promote
+    assert result.promoted and store.current_version() == result.version
+    assert {r.source_name for r in store.read("sources").collect()} == {"OTHER", ops.rsplit("/", 1)[-1]}
+    assert store.read("datasets").first().source_count == 2
+
+
+def test_rows_without_a_month_are_listed_and_counted(spark, store, tmp_path):
+    root = str(tmp_path / "UNDATED")
+    write(spark, root, 1, [(i, i) for i in range(4)])
+    undated = spark.createDataFrame([(i, i) for i in range(3)], "id bigint, qty bigint").coalesce(1)
+    undated.write.parquet(f"{root}/year=__HIVE_DEFAULT_PARTITION__/month=__HIVE_DEFAULT_PARTITION__")
+    assert M.refresh_mart(store, "d", root, "b1", refreshed_at=NOW).promoted
+    assert {(r.partition_start, r.row_count) for r in store.read("files").collect()} == {(dt.date(2026, 1, 1), 4), (None, 3)}

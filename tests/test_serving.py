@@ -119,3 +119,21 @@ def test_dashboard(files):
 def test_bad_arguments(files, call):
     with pytest.raises(ValueError):
         call(files)
+
+
+def test_every_call_checks_the_dataset(spark):
+    from martloom import schemas
+
+    empty = [spark.createDataFrame([], x) for x in (schemas.MART_FILES, schemas.MART_SOURCES, schemas.MART_DATASETS)]
+    mart = S.ServedMart(*empty)
+    calls = [lambda: mart.summary(S.SummaryRequest("x")), lambda: mart.chart(S.ChartRequest("x", "rows_by_month")), lambda: mart.detail(S.DetailRequest("x")),
+             lambda: mart.export_rows(S.DetailRequest("x")), lambda: mart.filter_options("x"), lambda: mart.dashboard("x")]
+    for call in calls:
+        with pytest.raises(S.UnknownDataset):
+            call()
+
+
+@pytest.mark.parametrize("bad", ["2026", "2026-00", "2026-13", "26-01", "2026-01-01", "0000-01", ""])
+def test_months_are_year_and_month(bad):
+    with pytest.raises(ValueError):
+        S.parse_month(bad)
