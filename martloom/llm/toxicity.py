@@ -11,6 +11,8 @@ each order and class (a prime number, so the model that is sent to the workers h
 CURVE_ROWS training rows, chosen by a hash of their id, each judged by a model without its own fold.
 """
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ CURVE_ROWS = 20_000
 ORDER = 6
 SHARED = 3
 BITS = 6
-CELLS = 1_048_573
+CELLS = 524_287
 STRONG = 2.0
 FLUSH = 1_000_000
 FEATURES = ("mean", "top1", "top2", "top3", "strong", "words")
@@ -135,46 +137,56 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("toxic", "fold", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit_model(grams: DataFrame) -> Model:
-    """A model from exact counts (toxic, gram, n). Driver: at most CELLS rows for each order, class and kind of count."""
-    tables, by_order = [], {ORDER: grams.groupBy("toxic", "gram").agg(F.sum("n").alias("n"))}
-    for order in range(ORDER - 1, SHARED, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1))
-        by_order[order] = by_order[order + 1].groupBy("toxic", suffix.alias("gram")).agg(F.count("*").alias("n"))
-    for order, frame in by_order.items():
-        cell, context = F.pmod("gram", F.lit(CELLS)), F.shiftright("gram", BITS)
-        sums = frame.groupBy("toxic", cell.alias("cell")).agg(F.sum("n").alias("a"), F.lit(0).cast("bigint").alias("b"))
-        contexts = frame.groupBy("toxic", F.pmod(context, F.lit(CELLS)).alias("cell")).agg(
-            F.sum("n").alias("a"), F.count("*").alias("b"))
-        spectrum = frame.groupBy("toxic").agg(F.lit(0).cast("bigint").alias("cell"), F.count_if(F.col("n") == 1).alias("a"),
-                                              F.count_if(F.col("n") == 2).alias("b"))
-        tables += [t.select(F.lit(order).alias("order"), F.lit(kind).alias("kind"), "toxic", "cell", "a", "b")
-                   for kind, t in enumerate((sums, contexts, spectrum))]
-    low = F.col("gram").bitwiseAND(F.lit((1 << BITS * (SHARED + 1)) - 1))
-    pooled = grams.select(low.alias("gram")).distinct().groupBy(
-        F.col("gram").bitwiseAND(F.lit((1 << BITS * SHARED) - 1)).alias("cell")).agg(F.count("*").alias("a"))
-    tables.append(pooled.select(F.lit(SHARED).alias("order"), F.lit(3).alias("kind"), F.lit(0).alias("toxic"), "cell", "a",
-                                F.lit(0).cast("bigint").alias("b")))
-    rows = tables[0]
-    for t in tables[1:]:
-        rows = rows.unionByName(t)
-    got = rows.toArrow()
-    order, kind, toxic, cell, a, b = (got.column(c).to_numpy() for c in ("order", "kind", "toxic", "cell", "a", "b"))
-    blank = {k: np.zeros((2, CELLS), np.float32) for k in range(SHARED + 1, ORDER + 1)}
-    model = Model(blank, {k: v.copy() for k, v in blank.items()}, {k: v.copy() for k, v in blank.items()}, {}, np.zeros(0))
-    for k in blank:
-        at = (order == k) & (kind == 0)
-        model.counts[k][toxic[at], cell[at]] = a[at]
-        at = (order == k) & (kind == 1)
-        model.totals[k][toxic[at], cell[at]] = a[at]
-        model.kinds[k][toxic[at], cell[at]] = b[at]
-        at = (order == k) & (kind == 2)
-        model.discounts[k] = np.full(2, 0.5)
-        model.discounts[k][toxic[at]] = np.clip(a[at] / np.maximum(a[at] + 2 * b[at], 1), 0.1, 0.95)
-    counts = np.zeros(1 << BITS * SHARED)
-    counts[cell[order == SHARED]] = a[order == SHARED]
-    model.shared = _shared_probabilities(counts)
-    return model
+def _blank() -> Model:
+    zeros = lambda: {k: np.zeros((2, CELLS), np.float32) for k in range(SHARED + 1, ORDER + 1)}
+    return Model(zeros(), zeros(), zeros(), {k: np.full(2, 0.5) for k in range(SHARED + 1, ORDER + 1)}, np.zeros(0))
+
+
+def fit_models(grams: DataFrame, subsets: list[list[int]]) -> list[Model]:
+    """One model for each list of folds, from exact counts (toxic, fold, gram, n), all in one pass over the counts.
+
+    Shorter orders count the kinds of symbols before them (continuation counts). What the driver gets is at most
+    CELLS rows for each class and kind of count, one order at a time.
+    """
+    models, every = [_blank() for _ in subsets], range(len(subsets))
+    in_folds = [F.when(F.col("fold").isin(folds), F.col("n")) for folds in subsets]
+    frame = grams.groupBy("toxic", "gram").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(f"n{i}") for i, x in enumerate(in_folds)])
+    for order in range(ORDER, SHARED, -1):
+        frame = stored(frame, f"grams-{order}")
+        kinds = [F.count_if(F.col(f"n{i}") > 0) for i in every]
+        sums = [F.sum(f"n{i}") for i in every]
+        cells = frame.groupBy("toxic", F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell")).agg(
+            *[x.cast("float").alias(f"a{i}") for i, x in enumerate(sums)])
+        toxic, cell, *values = _columns(cells)
+        for model, a in zip(models, values):
+            model.counts[order][toxic, cell] = a
+        contexts = frame.groupBy("toxic", F.pmod(F.shiftright("gram", BITS), F.lit(CELLS)).cast("int").alias("cell")).agg(
+            *[x.cast("float").alias(f"a{i}") for i, x in enumerate(sums)], *[x.cast("float").alias(f"b{i}") for i, x in enumerate(kinds)])
+        toxic, cell, *values = _columns(contexts)
+        for i, model in enumerate(models):
+            model.totals[order][toxic, cell] = values[i]
+            model.kinds[order][toxic, cell] = values[len(models) + i]
+        for r in frame.groupBy("toxic").agg(*[F.count_if(F.col(f"n{i}") == k).alias(f"k{k}_{i}") for i in every for k in (1, 2)]).collect():
+            for i, model in enumerate(models):
+                once, twice = r[f"k1_{i}"], r[f"k2_{i}"]
+                model.discounts[order][r["toxic"]] = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+        if order > SHARED + 1:
+            suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+            frame = frame.groupBy("toxic", suffix.alias("gram")).agg(*[x.alias(f"n{i}") for i, x in enumerate(kinds)])
+    pooled = frame.groupBy("gram").agg(*[F.max(f"n{i}").alias(f"n{i}") for i in every]).groupBy(
+        F.col("gram").bitwiseAND(F.lit((1 << BITS * SHARED) - 1)).cast("int").alias("cell")).agg(
+        *[F.count_if(F.col(f"n{i}") > 0).cast("float").alias(f"a{i}") for i in every])
+    cell, *values = _columns(pooled)
+    for model, a in zip(models, values):
+        counts = np.zeros(1 << BITS * SHARED)
+        counts[cell] = a
+        model.shared = _shared_probabilities(counts)
+    return models
+
+
+def _columns(frame: DataFrame) -> list[np.ndarray]:
+    got = frame.toArrow()
+    return [got.column(c).to_numpy() for c in got.column_names]
 
 
 def _shared_probabilities(counts: np.ndarray) -> np.ndarray:
@@ -192,20 +204,37 @@ def _shared_probabilities(counts: np.ndarray) -> np.ndarray:
     return p.ravel()
 
 
-def evidence(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+_OPENED: dict[int, Model] = {}
+
+
+def _opened(sent) -> Model:
+    """The model of a broadcast, unpacked once in a Python worker; the one before goes."""
+    key = zlib.crc32(sent.value)
+    if key not in _OPENED:
+        _OPENED.clear()
+        _OPENED[key] = pickle.loads(zlib.decompress(sent.value))
+    return _OPENED[key]
+
+
+def send(df: DataFrame, model: Model):
+    """The model for the workers, packed: most cells hold small numbers or nothing."""
+    return df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
+
+
+def evidence(df: DataFrame, sent, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns and each text's features: mean per letter, the three strongest words, strong words, all words."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
     names = [*keep, *FEATURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
+        model = _opened(sent)
         for part in slices(batches, 256):
-            documents = [t.lower().split() for t in part.column("text").to_pylist()]
+            documents = [(t or "").lower().split() for t in part.column(len(keep)).to_pylist()]
             if len(known) > REMEMBERED_WORDS:
                 known.clear()
             new = list(set().union(*documents) - known.keys())
             if new:
-                known.update(zip(new, sent.value.word_evidence(new).tolist()))
+                known.update(zip(new, model.word_evidence(new).tolist()))
             rows = np.zeros((len(documents), len(FEATURES)))
             for i, words in enumerate(documents):
                 values = np.fromiter(map(known.__getitem__, words), float, len(words))
@@ -215,11 +244,11 @@ def evidence(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     rows[i, 1:1 + len(top)] = top
                     rows[i, 4] = (values > STRONG).sum()
                     rows[i, 5] = len(values)
-            kept = [part.column(c) for c in keep]
+            kept = [part.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names)
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, "text").mapInArrow(run, kinds + "".join(f", {c} double" for c in FEATURES))
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, kinds + "".join(f", {c} double" for c in FEATURES))
 
 
 def _terms(log1p, clip, mean, top1, top2, top3, strong, words) -> list:
@@ -245,36 +274,67 @@ def fit_curve(rows: np.ndarray, toxic: np.ndarray, penalty: float = 0.3, rounds:
     return w
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    curve_rows: int = CURVE_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted.
-
-    ``labels`` has (doc_id, toxic); rows of null ids or labels are not used, of several labels the largest holds. A null
-    or empty text is scored like any other, without evidence. While one class has no training rows, the score is the share of
-    toxic training rows (0 without any); so too where a fold lacks a class. Repeated rows are counted and scored each.
+@dataclass
+class Scorer:
+    """What is needed to score texts: the sent model and the curve's weights, or one share for all."""
+
+    sent: object
+    weights: np.ndarray | None
+    share: float
+
+    def scored(self, df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+        """The kept columns and ``score``."""
+        if self.weights is None:
+            return df.select(*keep, F.lit(self.share).alias("score"))
+        rows = evidence(df, self.sent, keep, text_col)
+        clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(30.0), c))
+        terms = [F.lit(1.0), *_terms(F.log1p, clip, *map(F.col, FEATURES))]
+        logit = sum((F.lit(float(w)) * t for w, t in zip(self.weights, terms)), F.lit(0.0))
+        return rows.select(*keep, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))).alias("score"))
+
+
+def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", curve_rows: int = CURVE_ROWS) -> Scorer:
+    """Models of all labelled training rows, and the curve.
+
+    ``labels`` has (doc_id, toxic); rows of null ids or labels are not used, of several labels the largest holds. Repeated
+    rows are counted each. While a fold has no training rows of a class, the scorer gives the share of toxic training labels (0
+    without any).
     """
-    data = texts(docs, id_col, text_col)
     fold = fold_of(F.col("doc_id"))
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = lambda df: df.where(fold != HELD_OUT_FOLD)
-    labelled = usable(data).join(usable(known), "doc_id").select("doc_id", "toxic", fold.cast("int").alias("fold"), "text")
+    labelled = usable(texts(docs, id_col, text_col)).join(usable(known), "doc_id").select("doc_id", "toxic", fold.cast("int").alias("fold"), "text")
     grams = stored(count_grams(labelled), "grams")
-    held_out = F.coalesce(fold == HELD_OUT_FOLD, F.lit(False)).alias("held_out")
     classes = {r["toxic"]: r["n"] for r in usable(known).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     counted = {(r["toxic"], r["fold"]) for r in grams.select("toxic", "fold").distinct().collect()}
     folds = [f for f in range(FOLDS) if f != HELD_OUT_FOLD]
     if counted != {(t, f) for t in (0, 1) for f in folds}:
-        share = classes.get(1, 0) / sum(classes.values()) if classes else 0.0
-        score = F.lit(float(share))
-        return data.select("doc_id", held_out, score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+        return Scorer(None, None, classes.get(1, 0) / sum(classes.values()) if classes else 0.0)
     part = min(1.0, curve_rows / sum(classes.values()))
     chosen = stored(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20))), "curve-rows")
-    unseen = [evidence(chosen.where(F.col("fold") == f), fit_model(grams.where(F.col("fold") != f)), ["toxic"]).toArrow() for f in folds]
+    models = fit_models(grams, [folds, *[[x for x in folds if x != f] for f in folds]])
+    unseen = []
+    for f in folds:
+        sent = send(chosen, models.pop(1))
+        unseen.append(evidence(chosen.where(F.col("fold") == f), sent, ["toxic"]).toArrow())
+        sent.destroy()
     sample = pa.concat_tables(unseen)
     weights = fit_curve(np.stack([sample.column(c).to_numpy() for c in FEATURES], 1), sample.column("toxic").to_numpy().astype(float))
-    scored = evidence(data, fit_model(grams), ["doc_id"])
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(30.0), c))
-    terms = [F.lit(1.0), *_terms(F.log1p, clip, *map(F.col, FEATURES))]
-    logit = sum((F.lit(float(w)) * t for w, t in zip(weights, terms)), F.lit(0.0))
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))
-    return scored.select("doc_id", held_out, score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return Scorer(send(chosen, models[0]), weights, 0.0)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", curve_rows: int = CURVE_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+
+    A null or empty text is scored like any other, without evidence; a null id is not held out. An empty table gives no rows.
+    """
+    scorer = fit_scorer(docs, labels, id_col, text_col, curve_rows)
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False))
+    scored = scorer.scored(texts(docs, id_col, text_col), ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score stays below THRESHOLD, with all their columns."""
+    scored = fit_scorer(docs, labels, id_col, text_col).scored(docs, docs.columns, text_col)
+    return scored.where(F.col("score") < THRESHOLD).select(*docs.columns)
