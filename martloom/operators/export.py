@@ -3,10 +3,12 @@
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
+from martloom import schemas
 from martloom.functions.dates import timestamp_literal
 from martloom.operators import serving
+from martloom.sources.storage import Folder
 
 # Which action produces which format, the row cap of a spreadsheet, job life time.
 ACTION_FORMATS = {"xlsx_export": "xlsx", "csv_zip_export": "csv.zip", "parquet_export": "parquet"}
@@ -64,6 +66,39 @@ def export_plan(files: DataFrame, dataset: str, action_key: str, fmt: str, filte
     return serving.detail_sorted(files, serving.DetailRequest(dataset, filters=filters or {}))
 
 
+def run_export(rows: DataFrame, root: str, job_id: str, dataset: str, action_key: str, as_of: dt.datetime, max_rows: int | None = None) -> DataFrame:
+    """Write an export and append its job record; the record as a row.
+
+    Artifacts go to ``{root}/artifacts``, records to ``{root}/jobs``. Rows are counted while they are written. A failure leaves no
+    artifact and is a record of its own, with its message. ``as_of`` is the time of the record.
+    """
+    if action_key not in ACTION_FORMATS:
+        raise ValueError(f"no export action named {action_key!r}")
+    spark, fmt = rows.sparkSession, ACTION_FORMATS[action_key]
+    name = f"{job_id}.{fmt}"
+    folder = Folder(spark, f"{root.rstrip('/')}/artifacts")
+    seen = Observation()
+    try:
+        export(rows.observe(seen, F.count(F.lit(1)).alias("rows")) if max_rows is None and fmt != "xlsx" else rows, folder.child(name), fmt, max_rows)
+        counted = seen.get["rows"] if max_rows is None and fmt != "xlsx" else rows.count()
+        outcome = ("completed", folder.child(name), counted, None)
+    except Exception as error:  # noqa: BLE001
+        folder.remove(name)
+        outcome = ("failed", None, None, str(error).strip().splitlines()[0])
+    status, path, count, message = outcome
+    expires = as_of + dt.timedelta(hours=RETENTION_HOURS)
+    record = spark.createDataFrame([(job_id, dataset, action_key, status, fmt, as_of, as_of, expires, name, path, count, message)], schemas.EXPORT_JOBS)
+    record.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/jobs")
+    return record
+
+
+def remove_artifacts(gone: DataFrame) -> int:
+    """Delete the artifacts of the given jobs (``expired_jobs``, ``completed_jobs``), row after row; how many were there."""
+    paths = gone.where(F.col("artifact_path").isNotNull()).select("artifact_path").distinct()
+    spark = gone.sparkSession
+    return sum(Folder(spark, r["artifact_path"]).remove() for r in paths.toLocalIterator())
+
+
 def list_jobs(jobs: DataFrame, dataset: str | None = None, limit: int = 50) -> DataFrame:
     chosen = jobs.where(F.col("dataset") == dataset) if dataset is not None else jobs
     return chosen.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(limit)

@@ -11,8 +11,10 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from martloom import schemas
 from martloom.functions.dates import month_start, next_month, timestamp_literal
 from martloom.operators import intervals as I
 from martloom.sources import manifest as M, partitions as P
@@ -180,11 +182,11 @@ def _publish_rows(rows: DataFrame, extracted: Observation, spec: IngestSpec, bas
     try:
         dated = rows.observe(undated, F.count_if(F.col("year").isNull() | F.col("month").isNull()).alias("rows"))
         write_partitions(dated, folder.child(place), spread, spec.codec, spec.max_records_per_file)
-        stored, wanted = _stored_count(spark, rows, folder.child(place)), extracted.get["rows"]
+        stored, wanted = _stored_count(spark, rows, folder.child(place)), _seen(extracted)
         if stored != wanted:
             raise VerificationFailed(f"{spec.table}: source has {wanted} rows, written {stored}")
-        if undated.get["rows"]:
-            raise VerificationFailed(f"{spec.table}: {undated.get['rows']} rows have no date to choose a partition by")
+        if missing := _seen(undated):
+            raise VerificationFailed(f"{spec.table}: {missing} rows have no date to choose a partition by")
         filled = _partition_dirs(folder, place)
         touched = list(dict.fromkeys([*filled, *requested])) if spec.strategy == "full" else filled
         if spec.strategy == "full" and len(filled) < max(1, len(touched)) and not spec.allow_empty:
@@ -197,6 +199,16 @@ def _publish_rows(rows: DataFrame, extracted: Observation, spec: IngestSpec, bas
         raise
 
 
+def _seen(observed: Observation) -> int:
+    """The observed rows; none where the whole plan was found to be empty and so nothing was observed."""
+    try:
+        return observed.get["rows"]
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "AssertionError":
+            raise
+        return 0
+
+
 def _counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
     seen = Observation()
     return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
@@ -212,6 +224,32 @@ def run_ingest(source: DataFrame, spec: IngestSpec, execution_date: dt.date, bas
     return _publish_rows(with_partition(rows, month), seen, spec, base_path, run_id, spread=not own, requested=requested)
 
 
+def run_recorded(source: DataFrame, spec: IngestSpec, execution_date: dt.date, base_path: str, run_id: str, ledger_root: str,
+                 clock: Callable[[], dt.datetime], trigger: str = "manual") -> IngestResult:
+    """``run_ingest`` with its state rows appended to ``{ledger_root}/runs`` and ``/steps``: running, then success or failed.
+
+    Each row carries ``recorded_at``; ``ledger.latest_state`` gives what holds now. A failure is recorded and raised again.
+    """
+    spark, started = source.sparkSession, clock()
+
+    def record(status: str, at: dt.datetime, rows: int | None, message: str | None) -> None:
+        ended = None if status == "running" else at
+        run = (run_id, spec.name, execution_date, status, started, ended, trigger, started)
+        step = (f"{run_id}/load", run_id, "load", status, started, ended, rows, message, 0, started)
+        for name, schema, row in (("runs", schemas.RUNS, run), ("steps", schemas.STEPS, step)):
+            frame = spark.createDataFrame([row], schema).withColumn("recorded_at", timestamp_literal(at))
+            frame.coalesce(1).write.mode("append").parquet(f"{ledger_root.rstrip('/')}/{name}")
+
+    record("running", started, None, None)
+    try:
+        result = run_ingest(source, spec, execution_date, base_path, run_id)
+    except Exception as error:
+        record("failed", clock(), None, str(error).strip().splitlines()[0])
+        raise
+    record("success", clock(), result.rows, None)
+    return result
+
+
 def _by_columns(template: str, own_values: dict) -> str:
     """The template with interval binds as columns of the row's month; a caller's own value of a name comes first."""
     def name(match: re.Match) -> str:

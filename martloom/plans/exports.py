@@ -1,5 +1,7 @@
 """Exports read back and the export job ledger."""
 
+from pyspark.sql import functions as F
+
 from martloom.operators import export as E
 from martloom.plans.base import AS_OF, MART_FILES, with_
 from martloom.sources.jobs import read_jobs
@@ -53,10 +55,35 @@ def completed_exports(spark, sf_dir):
     return E.completed_jobs(jobs(spark, sf_dir))
 
 
+def export_run(spark, sf_dir):
+    """An export of each kind of outcome, by its job record: a sound one and one over its row limit."""
+    root, files = shared_folder(spark, "export-run"), mart_files(spark, sf_dir)
+    plan = E.export_plan(files, "sales", "parquet_export", "parquet")
+    E.run_export(plan, root, "job-1", "sales", "parquet_export", AS_OF)
+    E.run_export(E.export_plan(files, "sales", "xlsx_export", "xlsx"), root, "job-2", "sales", "xlsx_export", AS_OF, max_rows=1)
+    records = read_jobs(spark, f"{root}/jobs", one_per_file=False)
+    return records.select("job_id", "action_key", "status", "format", "created_at", "expires_at", "file_name", "row_count",
+                          F.col("artifact_path").isNotNull().alias("has_artifact"), F.col("error_message").isNotNull().alias("has_message"))
+
+
+def export_row_guard(spark, sf_dir):
+    """Which limits around the size of a result let it pass."""
+    rows = E.export_plan(mart_files(spark, sf_dir), "sales", "xlsx_export", "xlsx")
+    size, out = rows.count(), []
+    for limit in (size - 1, size, size + 1):
+        try:
+            E.guard_rows(rows, limit)
+            out.append((limit, True))
+        except E.RowLimitExceeded:
+            out.append((limit, False))
+    return spark.createDataFrame(out, "max_rows bigint, passes boolean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        export_parquet, export_csv, export_spreadsheet, export_jobs, export_job_list, export_job_counts, expired_exports, completed_exports,
+        export_parquet, export_csv, export_spreadsheet, export_jobs, export_job_list, export_job_counts, expired_exports, completed_exports, export_run,
+        export_row_guard,
     )
 }
 
@@ -88,4 +115,10 @@ ORACLE = {
         count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed FROM records"""),
     "expired_exports": with_(_JOBS, f"SELECT job_id, expires_at, artifact_path FROM records WHERE expires_at <= TIMESTAMP '{AS_OF}'"),
     "completed_exports": with_(_JOBS, "SELECT job_id, artifact_path, row_count FROM records WHERE status = 'completed'"),
+    "export_run": with_(MART_FILES, f"""SELECT 'job-1' AS job_id, 'parquet_export' AS action_key, 'completed' AS status, 'parquet' AS format,
+        TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' + INTERVAL 72 HOUR AS expires_at, 'job-1.parquet' AS file_name,
+        (SELECT count(*) FROM mart_files WHERE dataset_name = 'sales') AS row_count, true AS has_artifact, false AS has_message
+        UNION ALL SELECT 'job-2', 'xlsx_export', 'failed', 'xlsx', TIMESTAMP '{AS_OF}', TIMESTAMP '{AS_OF}' + INTERVAL 72 HOUR, 'job-2.xlsx', NULL, false, true"""),
+    "export_row_guard": with_(MART_FILES, """SELECT n + d AS max_rows, d >= 0 AS passes
+        FROM (SELECT count(*) AS n FROM mart_files WHERE dataset_name = 'sales'), (VALUES (-1), (0), (1)) v(d)"""),
 }

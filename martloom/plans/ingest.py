@@ -5,7 +5,8 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from martloom.operators import ingest as I
+from martloom.operators import ingest as I, ledger as L
+from martloom.plans.base import AS_OF
 from martloom.sources import partitions as P
 from martloom.sources.storage import shared_folder
 from martloom.sources.tables import table
@@ -118,6 +119,21 @@ def backfill_rerun(spark, sf_dir):
                      status="F", before=dt.datetime(1997, 3, 1))
 
 
+def load_ledger(spark, sf_dir):
+    """State rows of a sound and of a failed load, and what holds of them."""
+    root, orders = shared_folder(spark, "ledger"), table(spark, sf_dir, "orders")
+    later = iter([AS_OF, AS_OF + dt.timedelta(minutes=5), AS_OF, AS_OF + dt.timedelta(minutes=1)])
+    clock = lambda: next(later)
+    I.run_recorded(orders, _orders_spec("o_orderstatus = :status", status="F"), dt.date(2000, 1, 1), root, "run-1", f"{root}/ledger", clock)
+    try:
+        I.run_recorded(orders, _orders_spec("1 = 0"), dt.date(2000, 1, 1), root, "run-2", f"{root}/ledger", clock)
+    except I.VerificationFailed:
+        pass
+    runs = L.latest_state(spark.read.parquet(f"{root}/ledger/runs"))
+    steps = L.latest_state(spark.read.parquet(f"{root}/ledger/steps")).select("pipeline_run_id", "step_name", "records_processed", F.col("error_message").isNotNull().alias("has_message"))
+    return runs.join(steps, runs["id"] == steps["pipeline_run_id"]).drop("pipeline_run_id")
+
+
 def verify_full(spark, sf_dir):
     """Source rows against stored rows, one kind of which is missing."""
     orders = table(spark, sf_dir, "orders")
@@ -158,7 +174,7 @@ QUERIES = {
     for f in (
         ingest_source_scan, ingest_projection, ingest_where_template, ingest_interval_filter, ingest_template_and_interval,
         ingest_column_predicate, ingest_full, ingest_execution_month, ingest_incremental, backfill_ingest,
-        backfill_ingest_schedule, backfill_rerun, verify_full, verify_incremental, verify_incremental_sound, publish_after_verify,
+        backfill_ingest_schedule, backfill_rerun, load_ledger, verify_full, verify_incremental, verify_incremental_sound, publish_after_verify,
     )
 }
 
@@ -193,6 +209,11 @@ ORACLE = {
         WHERE m >= TIMESTAMP '1995-01-01' AND m <= TIMESTAMP '2002-01-01' AND (o_orderpriority = '1-URGENT' OR month(o_orderdate) <> month(moved))""",
     "backfill_rerun": f"""SELECT o_orderkey, o_orderstatus, o_orderdate, {_YM.format('o_orderdate')} FROM orders
         WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-03-01' AND o_orderstatus = 'F'""",
+    "load_ledger": f"""SELECT 'run-1' AS id, 'orders' AS pipeline_name, DATE '2000-01-01' AS execution_date, 'success' AS status,
+        TIMESTAMP '{AS_OF}' AS started_at, TIMESTAMP '{AS_OF}' + INTERVAL 5 MINUTE AS finished_at, 'manual' AS trigger_type, TIMESTAMP '{AS_OF}' AS created_at,
+        'load' AS step_name, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS records_processed, false AS has_message
+        UNION ALL SELECT 'run-2', 'orders', DATE '2000-01-01', 'failed', TIMESTAMP '{AS_OF}', TIMESTAMP '{AS_OF}' + INTERVAL 1 MINUTE, 'manual', TIMESTAMP '{AS_OF}',
+        'load', NULL, true""",
     "verify_full": """SELECT 'error' AS severity, 'row_count' AS check, (SELECT count(*) FROM orders) AS expected,
         (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS actual""",
     "verify_incremental": """SELECT 'error' AS severity, 'partition_growth' AS check,
