@@ -29,8 +29,12 @@ LANGUAGE = r"""(?i)<html[^>]*?\blang[ ]*=[ ]*["']([A-Za-z0-9-]*)["']"""
 LINK = r"""(?i)<a\b[^>]*?\bhref[ ]*=[ ]*["']([^"'>]*)["']"""
 
 
-def unescape(text: Column) -> Column:
-    """Character references to characters; unknown names stay, code points that are no characters become U+FFFD."""
+def unescape(pieces: Column) -> Column:
+    """Text with its character references as characters, from the text's pieces between ampersands.
+
+    Unknown names stay, code points that are no characters become U+FFFD. ``pieces`` should be a column that is
+    computed already, as it is used several times.
+    """
     names = F.create_map(*[F.lit(x) for item in ENTITIES.items() for x in item])
 
     def one(piece: Column) -> Column:
@@ -43,9 +47,7 @@ def unescape(text: Column) -> Column:
         rest = F.substr(piece, F.length(name) + 2)
         return F.when((name != "") & value.isNotNull(), F.concat(value, rest)).otherwise(F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&", -1)
-    decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
 
 
 def _collapsed(text: Column) -> Column:
@@ -53,11 +55,10 @@ def _collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: comments and hidden elements dropped, block elements as line breaks, references decoded, space collapsed."""
+def visible(html: Column) -> Column:
+    """Text with its references still encoded: comments and hidden elements dropped, block elements as line breaks."""
     seen = F.regexp_replace(html, SKIPPED, " ")
-    lines = F.regexp_replace(seen, BLOCK_TAG, "\n")
-    return _collapsed(unescape(F.regexp_replace(lines, ANY_TAG, "")))
+    return F.regexp_replace(F.regexp_replace(seen, BLOCK_TAG, "\n"), ANY_TAG, "")
 
 
 def _digest(text: Column) -> Column:
@@ -93,16 +94,17 @@ def derive(responses: DataFrame, id_col: str = "page_id") -> DataFrame:
     records. Each header ends with an empty line; ``header || block || CRLF CRLF`` is the record as stored in a file.
     """
     payload = F.coalesce(F.col("payload"), F.lit(""))
-    title = _collapsed(unescape(F.regexp_extract("payload", TITLE, 1)))
+    title = _collapsed(unescape(F.col("title_pieces")))
     links = F.array_join(F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)),
                                      lambda x: F.concat(F.lit("outlink: "), F.replace(x, F.lit("&amp;"), F.lit("&")), F.lit("\r\n"))), "")
     kept = F.array_join(F.transform("headers", lambda x: F.concat(F.lit("source-header: "), x, F.lit("\r\n"))), "")
     told = F.concat(_lines(("title", F.replace(title, F.lit("\n"), F.lit(" "))), ("language", F.regexp_extract("payload", LANGUAGE, 1)), ("source-digest", F.col("source_digest"))),
                     F.coalesce(kept, F.lit("")), links)
     base = responses.select(F.col(id_col).alias("page_id"), "record_id", "target_uri", "date", "headers", payload.alias("payload"), _digest(payload).alias("source_digest"))
+    base = base.select("*", F.split(visible(F.col("payload")), "&", -1).alias("text_pieces"), F.split(F.regexp_extract("payload", TITLE, 1), "&", -1).alias("title_pieces"))
     blocks = base.select("page_id", "record_id", "target_uri", "date", "source_digest", F.explode(F.array(
         F.struct(F.lit(METADATA).alias("warc_type"), F.lit(FIELDS_TYPE).alias("content_type"), told.alias("block")),
-        F.struct(F.lit(CONVERSION).alias("warc_type"), F.lit(TEXT_TYPE).alias("content_type"), plain_text(F.col("payload")).alias("block")),
+        F.struct(F.lit(CONVERSION).alias("warc_type"), F.lit(TEXT_TYPE).alias("content_type"), _collapsed(unescape(F.col("text_pieces"))).alias("block")),
     )).alias("r")).select("*", "r.*").drop("r")
     made = blocks.select("*", _uuid(F.col("warc_type"), F.col("record_id")).alias("new_id"), _digest(F.col("block")).alias("block_digest"))
     header = F.concat(F.lit(f"{VERSION}\r\n"), _lines(
