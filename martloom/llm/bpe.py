@@ -163,7 +163,7 @@ class Codec:
         plain = {t: i for t, i in vocab.items() if t not in specials}
         token_bytes = {i: bytes(letters[c] for c in t) for t, i in plain.items()}
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.automaton = MergeAutomaton(token_bytes, merges)
+        self._compile(token_bytes, merges)
         self.specials = {text: np.uint32(i).tobytes() for text, i in specials.items()}
         self.special_pattern = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True))) if specials else None
         table = [b""] * (max([*vocab.values(), *specials.values()]) + 1)
@@ -178,6 +178,9 @@ class Codec:
         self.after_space = _Words(self, " ")
         self.at_start = _Words(self, "")
 
+    def _compile(self, token_bytes: dict[int, bytes], merges: list[tuple[int, int, int]]) -> None:
+        self.automaton = MergeAutomaton(token_bytes, merges)
+
     @cached_property
     def newline(self) -> bytes:
         return self.word_ids("\n")
@@ -238,9 +241,8 @@ class _Words(dict):
 class LibraryCodec(Codec):
     """The same ids with new words encoded by a library, for operators that need ids but not this automaton."""
 
-    def __init__(self, file_text: str):
-        super().__init__(file_text)
-        ranks = {b: i for i, b in self.automaton.token_bytes.items()}
+    def _compile(self, token_bytes: dict[int, bytes], merges: list[tuple[int, int, int]]) -> None:
+        ranks = {b: i for i, b in token_bytes.items()}
         self.library = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def word_ids(self, text: str) -> bytes:

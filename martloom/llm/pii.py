@@ -13,7 +13,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from martloom.llm.common import slices, texts
+from martloom.llm.common import slices, small_batches, texts
 
 # The kinds in the order of results, and the characters of their parts.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -224,7 +224,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
             clean = [None if t is None else redact_in(t) for t in part.column(at).to_pylist()]
             yield part.set_column(at, part.schema.field(at), pa.array(clean, part.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def span_text(spans: str = "spans", kinds: tuple[str, ...] = KINDS):

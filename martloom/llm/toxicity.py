@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from martloom.llm.common import slices, stored, texts
+from martloom.llm.common import slices, small_batches, stored, texts
 
 FOLDS = 4
 HELD_OUT_FOLD = 2
@@ -204,18 +204,6 @@ def _shared_probabilities(counts: np.ndarray) -> np.ndarray:
     return p.ravel()
 
 
-_OPENED: dict[int, Model] = {}
-
-
-def _opened(sent) -> Model:
-    """The model of a broadcast, unpacked once in a Python worker; the one before goes."""
-    key = zlib.crc32(sent.value)
-    if key not in _OPENED:
-        _OPENED.clear()
-        _OPENED[key] = pickle.loads(zlib.decompress(sent.value))
-    return _OPENED[key]
-
-
 def send(df: DataFrame, model: Model):
     """The model for the workers, packed: most cells hold small numbers or nothing."""
     return df.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
@@ -224,12 +212,14 @@ def send(df: DataFrame, model: Model):
 def evidence(df: DataFrame, sent, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns and each text's features: mean per letter, the three strongest words, strong words, all words."""
     names = [*keep, *FEATURES]
+    columns = keep if text_col in keep else [*keep, text_col]
+    at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        model = _opened(sent)
+        model = pickle.loads(zlib.decompress(sent.value))
         for part in slices(batches, 256):
-            documents = [(t or "").lower().split() for t in part.column(len(keep)).to_pylist()]
+            documents = [(t or "").lower().split() for t in part.column(at).to_pylist()]
             if len(known) > REMEMBERED_WORDS:
                 known.clear()
             new = list(set().union(*documents) - known.keys())
@@ -248,7 +238,7 @@ def evidence(df: DataFrame, sent, keep: list[str], text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], names)
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, kinds + "".join(f", {c} double" for c in FEATURES))
+    return small_batches(df).select(*columns).mapInArrow(run, kinds + "".join(f", {c} double" for c in FEATURES))
 
 
 def _terms(log1p, clip, mean, top1, top2, top3, strong, words) -> list:
@@ -303,7 +293,8 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     fold = fold_of(F.col("doc_id"))
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = lambda df: df.where(fold != HELD_OUT_FOLD)
-    labelled = usable(texts(docs, id_col, text_col)).join(usable(known), "doc_id").select("doc_id", "toxic", fold.cast("int").alias("fold"), "text")
+    # Labels grow with the documents, so they are joined as a large table whatever their size just now.
+    labelled = usable(texts(docs, id_col, text_col)).join(usable(known).hint("merge"), "doc_id").select("doc_id", "toxic", fold.cast("int").alias("fold"), "text")
     grams = stored(count_grams(labelled), "grams")
     classes = {r["toxic"]: r["n"] for r in usable(known).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     counted = {(r["toxic"], r["fold"]) for r in grams.select("toxic", "fold").distinct().collect()}
