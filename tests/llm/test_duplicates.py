@@ -111,3 +111,19 @@ def test_every_planted_passage_is_reported(docs_of):
     assert {r["doc_id"] for r in rows} == set(range(1, 60)) | set(range(61, 91)) | set(range(92, 131))
     for r in rows:
         assert r["other_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 50 and r["similarity"] >= 0.8
+
+
+def test_a_phrase_of_the_passage_just_before_it_hides_nothing():
+    """One phrase of the passage also stands some shingles before the passage, or two passages that touch here are apart there."""
+    rnd = np.random.default_rng(17)
+    some = lambda n: rnd.integers(0, 2**32, n).astype("<u4")
+    for before in range(12, 24):
+        passage = some(46)
+        b = np.concatenate([some(60), passage[20:21], some(before - 1), passage, some(40)])
+        found = substring_dedup.matching_segments(passage, b, 46)
+        assert found == [(0, 46, 60 + before, 106 + before, 1.0)]
+    one, two = some(60), some(70)
+    apart = np.concatenate([some(9), two, some(200), one, some(30)])
+    assert substring_dedup.matching_segments(np.concatenate([one, two]), apart, 46) == [(0, 60, 279, 339, 1.0), (60, 130, 9, 79, 1.0)]
+    same = np.zeros(3000, "<u4")
+    assert [x[:2] for x in substring_dedup.matching_segments(same, same, 46)] == [(0, 3000)]
