@@ -127,3 +127,22 @@ def test_a_phrase_of_the_passage_just_before_it_hides_nothing():
     assert substring_dedup.matching_segments(np.concatenate([one, two]), apart, 46) == [(0, 60, 279, 339, 1.0), (60, 130, 9, 79, 1.0)]
     same = np.zeros(3000, "<u4")
     assert [x[:2] for x in substring_dedup.matching_segments(same, same, 46)] == [(0, 3000)]
+
+
+def test_variants_of_a_passage_that_share_a_long_part(docs_of):
+    """Of passages that share their first 30 words, later copies of each variant are found, whatever documents lie between."""
+    rnd = random.Random(19)
+    texts, want = [], {}
+    for _ in range(30):
+        start = prose(rnd, 30)
+        ends = [prose(rnd, 20) for _ in range(3)]
+        kinds = [0, 1, 2, *[0] * 9, 1, 0, 2]
+        for i, kind in enumerate(kinds):
+            if i > 2:
+                want[len(texts)] = {len(texts) - i + j for j in range(i) if kinds[j] == kind}
+            texts.append(f"{prose(rnd, rnd.randint(5, 30))} {start} {ends[kind]} {prose(rnd, rnd.randint(5, 30))}")
+    found = {}
+    for r in substring_dedup.repeated_passages(docs_of(texts)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["other_id"])
+    assert set(found) == set(want)
+    assert all(found[d] <= want[d] for d in want)
