@@ -12,6 +12,7 @@ CURVE_ROWS training rows, chosen by a hash of their id, each judged by a model w
 """
 
 import pickle
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,15 +36,15 @@ FLUSH = 1_000_000
 FEATURES = ("mean", "top1", "top2", "top3", "strong", "words")
 REMEMBERED_WORDS = 300_000
 
-_SYMBOLS = np.array([1 + (c * 37) % 62 for c in range(1024)], np.int64)
-_SYMBOLS[[c for c in range(1024) if chr(c).isspace()]] = 0
+_POINTS = np.arange(sys.maxunicode + 1)
+_SYMBOLS = 1 + np.where(_POINTS < 1024, _POINTS, 128 + _POINTS % 896) * 37 % 62
 _SYMBOLS[ord("a"):ord("z") + 1] = np.arange(1, 27)
+_SYMBOLS[[c for c in range(sys.maxunicode + 1) if chr(c).isspace()]] = 0
 
 
 def _symbols(text: str) -> np.ndarray:
-    """6-bit symbols: 0 for white space, letters a-z apart, all others folded together."""
-    points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    return _SYMBOLS[np.where(points < 1024, points, 128 + points % 896)]
+    """6-bit symbols: 0 for white space and nothing else, letters a-z apart, all others folded together."""
+    return _SYMBOLS[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
 
 
 def _grams(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +90,10 @@ class Model:
         return logs[0] - logs[1]
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
-        symbols = _symbols(" ".join(words) + " ")
-        grams, counted = _grams(symbols)
+        """One value for each word; the words are in lower case."""
+        grams, counted = _grams(_symbols(" ".join(words) + " "))
         values = np.where(counted, self.differences(grams), 0)
-        ends = np.flatnonzero(symbols == 0)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
         return np.diff(np.concatenate([[0], np.cumsum(values)[ends]]))
 
 

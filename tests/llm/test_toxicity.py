@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from martloom.llm import toxicity
 from tests.llm import brute
 from tests.llm.conftest import HARD_TEXTS
@@ -47,3 +49,20 @@ def test_without_both_classes(spark, docs_of):
     all_toxic = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, toxic int")
     assert {r["score"] for r in toxicity.score_documents(docs_of(["a b"] * 40), all_toxic).collect()} == {1.0}
     assert toxicity.score_documents(docs_of([]), none).count() == 0
+
+
+def test_letters_of_other_scripts_end_no_words():
+    """Words of a batch have the evidence they have alone, and only white space is white space."""
+    rnd = np.random.default_rng(5)
+    model = toxicity._blank()
+    for table in (model.counts, model.totals, model.kinds):
+        for order in table:
+            table[order] = rnd.integers(1, 9, (2, toxicity.CELLS)).astype(np.float32)
+    model.shared = np.full(1 << toxicity.BITS * toxicity.SHARED, 1 / 64)
+    words = ["first", "\uc785\ub2c8\ub2e4", "plain", "\u8c05\u96a0", "\u0e20\u0e32", "words", "\U0001f600x", "i\u0307", "last"]
+    together = model.word_evidence(words)
+    assert len(together) == len(words)
+    assert np.allclose(together, [model.word_evidence([w])[0] for w in words])
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    lowered = [c for c in points if len(c.lower()) == 1]
+    assert [c for c, x in zip(lowered, toxicity._symbols("".join(lowered))) if x == 0] == [c for c in lowered if c.isspace()]
