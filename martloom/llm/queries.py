@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.llm import ann, bpe, packing, pii, secrets, simhash, substring_dedup, topk, toxicity, warc
+from martloom.llm import ann, bpe, line_dedup, packing, pii, secrets, simhash, substring_dedup, topk, toxicity, warc
 from martloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,5 +64,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text(kinds=pii.BASE_KINDS).cast("binary"), 256).alias("base_sha256"), pii.span_text().alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_substrings, op3_secrets, op4_toxicity, op5_topk, op6_packing, op7_simhash, op8_ann, op9_bpe, op10_pii)}
-ORACLE: dict[str, str] = {"op1_warc": warc.oracle_sql()}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_substrings, op3_secrets, op4_toxicity, op5_topk, op6_packing, op7_simhash, op8_ann, op9_bpe, op10_pii, op11_lines)}
+ORACLE: dict[str, str] = {"op1_warc": warc.oracle_sql(), "op11_lines": line_dedup.oracle_sql()}
