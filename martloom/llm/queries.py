@@ -5,10 +5,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from martloom.llm import ann, bpe, line_dedup, packing, pii, secrets, simhash, substring_dedup, topk, toxicity, warc
+from martloom.llm import alignment, ann, bpe, conversation_repair, line_dedup, packing, pii, secrets, simhash, substring_dedup, topk, toxicity, warc
 from martloom.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +70,14 @@ def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_substrings, op3_secrets, op4_toxicity, op5_topk, op6_packing, op7_simhash, op8_ann, op9_bpe, op10_pii, op11_lines)}
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(broken, "present", digest=True).withColumnRenamed("repaired", "repaired_sha256")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_substrings, op3_secrets, op4_toxicity, op5_topk, op6_packing, op7_simhash, op8_ann, op9_bpe, op10_pii, op11_lines, op12_conversations, op13_alignment)}
 ORACLE: dict[str, str] = {"op1_warc": warc.oracle_sql(), "op11_lines": line_dedup.oracle_sql()}
