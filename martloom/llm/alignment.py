@@ -9,36 +9,39 @@ those, and the counts go back to the packets that asked for them, so no task hol
 """
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from martloom.llm.bpe import LONGEST_REMEMBERED, REMEMBERED_WORDS, LibraryCodec, codec_of, vocabulary
+from martloom.llm.bpe import LONGEST_REMEMBERED, LibraryCodec, codec_of, vocabulary
 from martloom.llm.common import slices, stored, texts
 
 PACKET_CHARS = 1_000_000
+REMEMBERED_WORDS = 600_000
 # Groups of more links are linked by their distinct ids, which repeat in such groups.
 SMALL_GROUP = 1024
-_SPACED = regex.compile(r"\x20+[^\x20]*")
+_SPACED = re.compile(r"\x20+[^\x20]*")
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 class PlainCodec(LibraryCodec):
     """Ids of a byte-level vocabulary; special tokens' strings are plain text."""
 
-    def encode(self, text: str) -> bytes:
-        return self._stretch(text)
+    def ids(self, some: list[str]) -> list[np.ndarray]:
+        return [np.array(self.library.encode_ordinary(t), np.int64) for t in some]
 
 
 class PieceCodec(dict):
-    """Ids of a piece model that puts a space before the text, as little-endian unsigned 32-bit integers.
+    """Ids of a piece model that puts a space before the text.
 
-    No piece goes on after a space, so stretches of spaces with what follows are encoded apart and remembered.
+    No piece goes on after a space, so stretches of spaces with what follows are encoded apart, new ones all at once, and remembered
+    as little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, model: bytes):
@@ -47,27 +50,29 @@ class PieceCodec(dict):
         size = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(size)]
         self.labels = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         begins = b"".join(self.labels[i] for i in self.model.encode("a")) == b" a"
         self.apart = begins and not any("▁" in p.lstrip("▁") for p in pieces)
-        self[" "] = np.array([self.model.piece_to_id("▁")], "<u4").tobytes()  # a space at the end has no text behind it
-        self.fixed = dict(self)
+        # A space at the end has no text behind it.
+        self.fixed = {" ": self.packed[self.model.piece_to_id("▁")]}
+        self.update(self.fixed)
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
+    def ids(self, some: list[str]) -> list[np.ndarray]:
         if not self.apart:
-            return self._ids(text)
-        return b"".join(map(self.__getitem__, _SPACED.findall(" " + text)))
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self._ids(stretch[1:])
-        if len(stretch) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED_WORDS:
-                self.clear()
-                self.update(self.fixed)
-            self[stretch] = ids
-        return ids
+            return [np.array(x, np.int64) for x in self.model.encode(some, num_threads=1)]
+        if len(self) > REMEMBERED_WORDS:
+            self.clear()
+            self.update(self.fixed)
+        cut = [_SPACED.findall(" " + t) for t in some]
+        new = list(set(chain.from_iterable(cut)).difference(self))
+        packed = self.packed
+        for stretch, ids in zip(new, self.model.encode([x[1:] for x in new], num_threads=1)):
+            self[stretch] = b"".join([packed[i] for i in ids])
+        out = [np.frombuffer(b"".join([self[x] for x in stretches]), "<u4").astype(np.int64) for stretches in cut]
+        for stretch in new:
+            if len(stretch) > LONGEST_REMEMBERED:
+                del self[stretch]
+        return out
 
 
 def terminals(end_a: np.ndarray, end_b: np.ndarray, start_a: np.ndarray, start_b: np.ndarray) -> np.ndarray:
@@ -140,13 +145,12 @@ class Aligner:
 
     def align(self, some: list[str]) -> tuple[Aligned, list[int]]:
         """The alignment of those texts that both tokenizers cut without loss, and which they are."""
-        ids, which = [], []
-        for i, text in enumerate(some):
-            spaced = (" " + text).encode()
-            cuts = [np.frombuffer(c, "<u4").astype(np.int64) for c in (self.first.encode(" " + text), self.second.encode(text))] if text else []
-            if text and all(b"".join([c.labels[t] for t in cut.tolist()]) == spaced for c, cut in zip((self.first, self.second), cuts)):
-                ids.append(cuts)
-                which.append(i)
+        which = [i for i, text in enumerate(some) if text]
+        spaced = [" " + some[i] for i in which]
+        cuts = list(zip(self.first.ids(spaced), self.second.ids([some[i] for i in which])))
+        whole = [all(b"".join([c.labels[t] for t in cut.tolist()]) == text.encode() for c, cut in zip((self.first, self.second), pair))
+                 for text, pair in zip(spaced, cuts)]
+        ids, which = [c for c, good in zip(cuts, whole) if good], [i for i, good in zip(which, whole) if good]
         empty = [np.zeros(0, np.int64)]
         joined = [np.concatenate([c[side] for c in ids] or empty) for side in (0, 1)]
         owner = [np.repeat(np.arange(len(ids)), np.array([len(c[side]) for c in ids], np.int64)) for side in (0, 1)]
