@@ -5,9 +5,11 @@ q.x <= q.p + |q| r, and q.x <= |q| times the largest norm. Each query first meet
 result can't be below; then it is sent to just those cells whose bound reaches that score. Cells are cut into parts of bounded size,
 queries into packets, and each pair is solved by one matrix product. The queries are the smaller side, so they are what is replicated.
 
-Pivots are the PIVOTS vectors with the smallest hashes at most, whatever the size of the table; they only steer the work.
+Pivots are vectors with the smallest hashes, about as many as the square root of the rows, PIVOTS at least and MOST_PIVOTS at most; they
+only steer the work.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,7 @@ from martloom.llm.common import slices, stored
 from martloom.llm.vectors import best, matrix, packed, top_of, valid_vectors
 
 PIVOTS = 128
+MOST_PIVOTS = 4096
 PART_ROWS = 4096
 PACKET = 512
 ROW = "rows array<struct<vec_id: bigint, v: array<double>>>"
@@ -80,7 +83,8 @@ def top_k(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: s
     """
     spark = df.sparkSession
     rows = quantized(df, id_col, vector_col, scale)
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).select("v").toArrow().column(0).to_pylist()
+    wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows.count())))
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(wanted).select("v").toArrow().column(0).to_pylist()
     if not chosen:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     pivots = np.array(sorted(set(map(tuple, chosen))), np.float64)
@@ -95,13 +99,15 @@ def top_k(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: s
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, numbers, radius, norm = sent.value
-        numbers = np.array(numbers)
+        numbers, long = np.array(numbers), np.sqrt((p * p).sum(1))
         for part in slices(batches, 256):
             q = np.array(part.column(1).to_pylist(), np.float64)
             own, least = part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False)
             size = np.sqrt((q * q).sum(1))[:, None]
             bound = np.minimum(q @ p[numbers].T + size * radius, size * norm)
-            needed = ~(bound * (1 + 1e-9) + 1e-6 < np.nan_to_num(least, nan=-np.inf)[:, None]) & (own[:, None] != numbers[None, :])
+            # What rounding may take from a bound, whatever its sign; equal scores are still asked for.
+            slack = size * (long[numbers] + radius) * 1e-9 + 1e-6
+            needed = ~(bound + slack < np.nan_to_num(least, nan=-np.inf)[:, None]) & (own[:, None] != numbers[None, :])
             row, cell = np.nonzero(needed)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(numbers[cell].astype(np.int32))], ["vec_id", "v", "cell"])

@@ -42,6 +42,22 @@ def test_top_k_equals_brute_force(spark, sample, monkeypatch):
     assert topk.top_k(spark.createDataFrame([], SCHEMA), lambda c: c % 50 == 0, 5).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [1, 4, 30])
+def test_ties_over_cells_with_negative_scores(spark, monkeypatch, pivots):
+    """All products are negative and many are equal; cells of equal vectors have radius 0."""
+    monkeypatch.setattr(topk, "PIVOTS", pivots)
+    v = [[-1.0 - (i % 3), 2.0 - (i % 2), 0.25 * (i % 5 - 2)] for i in range(260)]
+    v[0:260:50] = [[1.0, 0.0, 0.0]] * 6
+    v[92] = [-0.5, 1.0, 0.0]
+    frame = spark.createDataFrame([(i, x, 1, 0.0) for i, x in enumerate(v)], SCHEMA)
+    got = {}
+    for r in topk.top_k(frame, lambda c: (c % 50 == 0) | (c == 7), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [[math.floor(256 * x) for x in row] for row in v]
+    for q, rows in got.items():
+        assert [x[1:] for x in sorted(rows)] == [(i, int(s)) for i, s in brute.top_products(list(range(260)), whole, q, 5)]
+
+
 def test_graph_recall_and_exact_scores(spark, sample, monkeypatch):
     v, frame = sample
     monkeypatch.setattr(ann, "SHARD_ROWS", 200)
