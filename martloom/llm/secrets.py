@@ -83,12 +83,22 @@ def _with_encoding(c: Column) -> Column:
 def _with_symbols(c: Column) -> Column:
     alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), c["encoding"] + 1)
     n = F.length(c["value"])
-    symbols = F.transform(F.sequence(F.lit(1), n), lambda i: F.position(F.substr(c["value"], i, F.lit(1)), alphabet) - 1)
+    symbols = F.transform(F.split(c["value"], ""), lambda x: F.position(x, alphabet) - 1)
     size = F.length(alphabet)
     bins = F.greatest(F.lit(2), F.least(size, F.floor(n / EXPECTED).cast("int")))
     return F.struct(*[c[x].alias(x) for x in ("start", "end", "encoding")], symbols.alias("v"), n.alias("n"), size.alias("a"), bins.alias("bins"))
 
 
+def _with_sums(c: Column) -> Column:
+    """Sums of the symbols, their squares and the products of neighbours: one step each, so the work grows with the length."""
+    v, zero = c["v"], F.lit(0.0)
+    total = F.aggregate(v, zero, lambda acc, x: acc + x)
+    squares = F.aggregate(v, zero, lambda acc, x: acc + x * x)
+    products = F.aggregate(F.sequence(F.lit(1), c["n"] - 1), zero, lambda acc, i: acc + F.get(v, i) * F.get(v, i - 1))
+    return F.struct(*[c[x].alias(x) for x in ("start", "end", "encoding", "v", "n", "a", "bins")], total.alias("total"), squares.alias("squares"),
+                    products.alias("products"))
+
+
 def _with_statistics(c: Column) -> Column:
     n, a, bins, v = c["n"], c["a"], c["bins"], c["v"]
     zero = F.lit(0.0)
@@ -102,9 +112,9 @@ def _with_statistics(c: Column) -> Column:
     high = F.size(F.filter(v, lambda x: x * 2 >= a)).cast("double")
     steps = F.sequence(F.lit(1), n - 1)
     changes = F.aggregate(steps, zero, lambda acc, i: acc + F.when((F.get(v, i) * 2 >= a) != (F.get(v, i - 1) * 2 >= a), 1.0).otherwise(0.0))
-    mean = F.aggregate(v, zero, lambda acc, x: acc + x) / n
-    spread = F.aggregate(v, zero, lambda acc, x: acc + F.pow(x - mean, F.lit(2.0)))
-    product = F.aggregate(steps, zero, lambda acc, i: acc + (F.get(v, i) - mean) * (F.get(v, i - 1) - mean))
+    mean = c["total"] / n
+    spread = c["squares"] - c["total"] * mean
+    product = c["products"] - mean * (2 * c["total"] - F.get(v, F.lit(0)) - F.get(v, n - 1)) + (n - 1) * mean * mean
     return F.struct(*[c[x].alias(x) for x in ("start", "end", "encoding", "n", "bins")], chi.alias("chi"), high.alias("high"),
                     (changes + 1).alias("runs"), F.when(spread > 0, product / spread).otherwise(F.lit(1.0)).alias("serial"))
 
@@ -153,7 +163,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = F.concat(*[_spans(x, k, i) for i, (k, x) in enumerate(zip(BASE_KINDS, (assign, access, _matches(text, HEX))))])
     tested = F.transform(_matches(text, CANDIDATE), _with_encoding)
     tested = F.filter(tested, lambda c: c["encoding"].isNotNull())
-    for step in (_with_symbols, _with_statistics, _with_level):
+    for step in (_with_symbols, _with_sums, _with_statistics, _with_level):
         tested = F.transform(tested, step)
     rows = stored(data.select("doc_id", base.alias("base"), tested.alias("tested")), "secrets")
     levels = rejection_levels(rows.select(F.explode("tested").alias("c")).select("c.*")).collect()

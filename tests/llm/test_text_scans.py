@@ -63,3 +63,12 @@ def test_normal_tail(spark):
     for r in got:
         exact = erfc(r["z"] / sqrt(2)) / 2
         assert abs(r["p"] - exact) <= 1e-2 * exact + 1e-7
+
+
+def test_a_long_string_takes_time_in_proportion(docs_of):
+    rnd = random.Random(5)
+    letters = secrets.ENCODINGS[6][2]
+    sizes = (50_000, 1_000_000)
+    rows = secrets.find_secrets(docs_of([f"see {''.join(rnd.choice(letters) for _ in range(n))} here" for n in sizes] + ["plain words"])).collect()
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"].startswith("random")] for r in rows}
+    assert spans[2] == [] and all(spans[i] == [(4, 4 + n)] for i, n in enumerate(sizes))
