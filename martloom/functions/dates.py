@@ -4,11 +4,15 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-# An ISO date, extended or basic; a time of hours, minutes and seconds, extended or basic; a fraction; a zone.
+# The form nearly all values have.
+_USUAL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?)?$"
+# An ISO date, extended or basic, by month or by week; a time of hours, minutes and seconds, extended or basic; a fraction; a zone.
 _ISO = (
-    r"^(\d{4})(-?)(\d{2})\2(\d{2})"
-    r"(?:.(\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d+))?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?)?$"
+    r"^(\d{4})(?:(-?)(\d{2})\2(\d{2})|(-?)W(\d{2})(?:\5(\d))?)"
+    r"(?:.(\d{2})(?:(:?)(\d{2})(?:\9(\d{2})(?:[.,](\d+))?)?)?(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?)?$"
 )
+# Year, month, day, week, weekday, hour, minute, second and fraction, divided by a character no text holds.
+_FIELDS = "$1\x01$3\x01$4\x01$6\x01$7\x01$8\x01$10\x01$11\x01$12"
 
 
 def timestamp_literal(value: dt.datetime | str) -> Column:
@@ -43,19 +47,35 @@ def covered_months(first: Column, last: Column) -> Column:
     return F.coalesce(span, F.lit(0)).cast("long")
 
 
+def _week_date(year: Column, week: Column, day: Column) -> Column:
+    """The date of an ISO week and weekday, null where the year has no such week or the week no such day."""
+    fourth = F.make_date(year, F.lit(1), F.lit(4))
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+    good = week.between(1, 53) & day.between(1, 7) & (F.weekofyear(monday) == week)
+    return F.when(good, F.date_add(monday, day - 1))
+
+
 def parse_iso(text: Column) -> Column:
     """ISO text to a zone-less timestamp: a zone suffix is dropped, bad text gives null.
 
-    Dates and times may be written with or without their separators, times may end at the hour or minute, and
-    fractions beyond microseconds are cut.
+    Dates may be of a month or of a week. Dates and times may be written with or without their separators, times may end at the
+    hour or minute, and fractions beyond microseconds are cut. The usual form is cast as it is; of the rest the pattern
+    is matched once for each value.
     """
     t = F.trim(text)
-    part = lambda i: F.regexp_extract(t, _ISO, i)
-    or_zero = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
-    day = F.concat_ws("-", part(1), part(3), part(4))
-    time = F.concat_ws(":", or_zero(5), or_zero(7), or_zero(8))
-    fraction = F.substring(F.rpad(part(9), 6, "0"), 1, 6)
-    return F.when(part(1) != "", F.concat(day, F.lit(" "), time, F.lit("."), fraction)).try_cast("timestamp_ntz")
+
+    def from_fields(f: Column) -> Column:
+        or_zero = lambda i: F.when(f[i] == "", "00").otherwise(f[i])
+        day = F.when(f[3] == "", F.concat_ws("-", f[0], f[1], f[2])).otherwise(
+            _week_date(f[0].try_cast("int"), f[3].try_cast("int"), F.when(f[4] == "", "1").otherwise(f[4]).try_cast("int")).cast("string"))
+        time = F.concat_ws(":", or_zero(5), or_zero(6), or_zero(7))
+        whole = F.concat(day, F.lit(" "), time, F.lit("."), F.substring(F.rpad(f[8], 6, "0"), 1, 6))
+        return F.when(F.size(f) == 9, whole.try_cast("timestamp_ntz"))
+
+    # As the one element of an array the fields are split once, not for each use.
+    fields = F.when(~F.contains(t, F.lit("\x01")), F.split(F.regexp_replace(t, _ISO, _FIELDS), "\x01"))
+    rest = F.get(F.transform(F.array(fields), from_fields), F.lit(0))
+    return F.when(t.rlike(_USUAL), t.try_cast("timestamp_ntz")).otherwise(rest)
 
 
 def seconds_between(start: Column, end: Column) -> Column:

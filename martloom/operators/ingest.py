@@ -11,14 +11,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from martloom import schemas
 from martloom.functions.dates import month_start, next_month, timestamp_literal
 from martloom.operators import intervals as I
 from martloom.sources import manifest as M, partitions as P
-from martloom.sources.storage import Folder
+from martloom.sources.storage import Folder, observed
 
 EXECUTION_MONTH = "execution_month"
 # Fixed value: what a plain column name may be.
@@ -182,10 +181,10 @@ def _publish_rows(rows: DataFrame, extracted: Observation, spec: IngestSpec, bas
     try:
         dated = rows.observe(undated, F.count_if(F.col("year").isNull() | F.col("month").isNull()).alias("rows"))
         write_partitions(dated, folder.child(place), spread, spec.codec, spec.max_records_per_file)
-        stored, wanted = _stored_count(spark, rows, folder.child(place)), _seen(extracted)
+        stored, wanted = _stored_count(spark, rows, folder.child(place)), observed(extracted)
         if stored != wanted:
             raise VerificationFailed(f"{spec.table}: source has {wanted} rows, written {stored}")
-        if missing := _seen(undated):
+        if missing := observed(undated):
             raise VerificationFailed(f"{spec.table}: {missing} rows have no date to choose a partition by")
         filled = _partition_dirs(folder, place)
         touched = list(dict.fromkeys([*filled, *requested])) if spec.strategy == "full" else filled
@@ -199,16 +198,6 @@ def _publish_rows(rows: DataFrame, extracted: Observation, spec: IngestSpec, bas
         raise
 
 
-def _seen(observed: Observation) -> int:
-    """The observed rows; none where the whole plan was found to be empty and so nothing was observed."""
-    try:
-        return observed.get["rows"]
-    except Py4JJavaError as error:
-        if error.java_exception.getClass().getSimpleName() != "AssertionError":
-            raise
-        return 0
-
-
 def _counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
     seen = Observation()
     return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from martloom.functions import schedules as S
 from martloom.functions.dates import month_start, timestamp_literal
@@ -98,51 +98,76 @@ def with_bind_params(df: DataFrame) -> DataFrame:
 
 
 def fire_intervals(schedules: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """All fires of each cron schedule between two dates, each with the fire before it.
+    """All fires of each schedule between two dates, each with the fire before it.
 
-    Days are generated and filtered first; the fires of one day are one array, so the fire
-    before is the previous array element, or the last fire of the firing day before. No
-    window over a schedule's whole history is needed.
+    Cron days are generated and filtered first; the fires of one day are one array, so the fire before is the previous
+    array element, or the last fire of the firing day before. No window over a schedule's whole history is needed.
+    Fixed intervals step from midnight of the first date. A schedule that can't be read gives one row without an
+    interval that says why in ``interval_error``; a range that ends before it starts gives none.
     """
+    base = with_schedule(schedules.where(F.col(end) >= F.col(start)))
+    dated = base.withColumn("fire_date", F.explode(F.sequence(F.col(start), F.col(end))))
+    fixed = F.col("_seconds").isNotNull()
     days = (
-        with_schedule(schedules)
-        .where(S.is_cron("_cron"))
-        .withColumn("fire_date", F.explode(F.sequence(F.col(start), F.col(end))))
+        dated.where(~fixed & F.expr(S.is_cron("_cron")))
         .where(S.day_matches("_cron", "fire_date"))
         .withColumn("_minutes", F.expr(S.fire_minutes("_cron")))
         .withColumn("_before", F.expr(S.previous_days_last_fire("_cron", "fire_date", within_lookback=False)))
     )
     fires = days.select("*", F.posexplode("_minutes").alias("_pos", "_minute"))
     earlier = f"CASE WHEN _pos > 0 THEN {S.at_minute('fire_date', 'get(_minutes, _pos - 1)')} ELSE _before END"
-    return fires.select(
+    none = F.lit(None).cast("string").alias("interval_error")
+    cron = fires.select(
         *schedules.columns,
         F.expr(earlier).alias("data_interval_start"),
         F.expr(S.at_minute("fire_date", "_minute")).alias("data_interval_end"),
+        none,
     )
+    # The first step of a day is what the steps before it leave over.
+    passed = F.date_diff("fire_date", F.col(start)).cast("long") * 86400
+    steps = dated.where(fixed).withColumn("_first", F.pmod(-passed, F.col("_seconds"))).where("_first < 86400")
+    steps = steps.withColumn("_second", F.explode(F.sequence(F.col("_first"), F.lit(86399).cast("long"), F.col("_seconds"))))
+    lasting = lambda c: F.make_dt_interval(secs=F.col(c).cast("decimal(18,6)"))
+    until = F.col("fire_date").cast("timestamp_ntz") + lasting("_second")
+    stepped = steps.select(*schedules.columns, (until - lasting("_seconds")).alias("data_interval_start"), until.alias("data_interval_end"), none)
+    blank = F.coalesce(F.trim("schedule"), F.lit("")) == ""
+    nowhere = F.lit(None).cast("timestamp_ntz")
+    unread = base.where(~fixed & ~F.coalesce(F.expr(S.is_cron("_cron")), F.lit(False))).select(
+        *schedules.columns, nowhere.alias("data_interval_start"), nowhere.alias("data_interval_end"),
+        F.when(blank, "schedule is blank").otherwise("schedule is not supported").alias("interval_error"))
+    return cron.unionByName(stepped).unionByName(unread)
+
+
+def _micros(column: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", timestamp_literal("1970-01-01 00:00:00"), column.cast("timestamp_ntz"))
+
+
+def interval_candidates(rows: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """Rows beside the intervals near them, by equality on (_class, _cell) alone.
+
+    Intervals are sorted into length classes, each four times as long as the one before, and every class cuts time into
+    cells of its own length. An interval touches two cells of its class at most, and a row lies in one cell of each class
+    that occurs, so a range condition becomes this equality with a check behind it. Of one schedule a
+    cell holds a handful of intervals, whether it fires by the minute or by the year, so candidates grow with the
+    result and not with the square of a day. The join is left to the planner: it broadcasts the interval side while its
+    size allows, else a cell with many rows is split at run time.
+    """
+    start, end = F.col("data_interval_start"), F.col("data_interval_end")
+    length = _micros(end) - _micros(start)
+    wide = intervals.where(end > start).withColumn("_class", F.ceil(F.log(4.0, length.cast("double"))).cast("int"))
+    classes = sorted(r["_class"] for r in wide.select("_class").distinct().collect())  # 32 at most
+    width, at = F.pow(F.lit(4.0), F.col("_class")).cast("long"), lambda t: F.call_function("div", _micros(t) - F.pmod(_micros(t), width), width)
+    last = end - F.expr("INTERVAL '0.000001' SECOND")
+    touched = wide.withColumn("_cell", F.explode(F.sequence(at(start), at(last))))
+    placed = rows.withColumn("_class", F.explode(F.array(*map(F.lit, classes)).cast("array<int>")))
+    placed = placed.withColumn("_cell", at(F.col(key)))
+    return placed.join(touched, ["_class", "_cell"])
 
 
 def assign_intervals(rows: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """Give each row the intervals with ``start <= key < end``.
-
-    Each interval is spread over the days it touches, so the range condition becomes an
-    equality on the day plus a check inside the day. The join is left to the planner: it
-    broadcasts the interval side while its size allows, else a hot day is split at run time.
-    """
-    touched = intervals.withColumn(
-        "_day",
-        F.explode(
-            F.sequence(
-                F.col("data_interval_start").cast("date"),
-                F.greatest(
-                    F.col("data_interval_start").cast("date"),
-                    (F.col("data_interval_end") - F.expr("INTERVAL '0.000001' SECOND")).cast("date"),
-                ),
-            )
-        ),
-    )
-    dated = rows.withColumn("_day", F.col(key).cast("date"))
+    """Give each row the intervals with ``start <= key < end``; rows in none and intervals that end where they start give nothing."""
     inside = (F.col(key) >= F.col("data_interval_start")) & (F.col(key) < F.col("data_interval_end"))
-    return dated.join(touched, "_day").where(inside).drop("_day")
+    return interval_candidates(rows, intervals, key).where(inside).drop("_class", "_cell")
 
 
 def check_range(start: dt.date, end: dt.date) -> None:

@@ -16,7 +16,7 @@ from martloom.functions.dates import avg_duration_text, duration_text, parse_iso
 from martloom.functions.numbers import round2
 from martloom.functions.status import ACTIVE_STATUSES, STATUS_GROUPS, has_tone, tone
 from martloom.operators.intervals import with_schedule
-from martloom.operators.paging import page as take_page
+from martloom.operators.paging import Sort, page as take_page
 from martloom.sources.storage import settle
 
 RECENT_RUNS = 25
@@ -60,8 +60,12 @@ def join_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_fence", fence).join(totals.withColumn("_fence", fence), [key, "_fence"]).drop("_fence")
 
 
+# Newest first, ties by id.
+NEWEST_FIRST = [Sort("created_at", descending=True), Sort("id", descending=True)]
+
+
 def _newest_first() -> list[Column]:
-    return [F.col("created_at").desc(), F.col("id").desc()]
+    return [t.column for t in NEWEST_FIRST]
 
 
 # --- lookups ---------------------------------------------------------------------------
@@ -90,7 +94,7 @@ def recent_runs(runs: DataFrame, limit: int = RECENT_RUNS) -> DataFrame:
 
 
 def runs_page(runs: DataFrame, pipeline_name: str, number: int = 1, size: int = 50) -> DataFrame:
-    return take_page(runs.where(F.col("pipeline_name") == pipeline_name), _newest_first(), number, size)
+    return take_page(runs.where(F.col("pipeline_name") == pipeline_name), NEWEST_FIRST, number, size)
 
 
 def runs_total(runs: DataFrame, pipeline_name: str) -> DataFrame:
@@ -184,26 +188,49 @@ def dataset_names(runs: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+def _planned(specs: DataFrame, overrides: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Configured pipelines with their pause state and next fire."""
+    upcoming = S.next_fire("_cron", f"TIMESTAMP_NTZ '{as_of}'")
+    planned = with_schedule(specs.join(pause_state(specs, overrides), "name"))
+    return planned.withColumn("next_run", F.expr(f"CASE WHEN {S.is_cron('_cron')} THEN {upcoming} END")).select(
+        "name", "table_name", "strategy", "schedule", "next_run", "is_paused", (~F.col("is_paused")).alias("is_active"))
+
+
+_LATEST = {"latest_run_id": "id", "latest_execution_date": "execution_date", "latest_status": "status", "latest_started_at": "started_at",
+           "latest_finished_at": "finished_at"}
+
+
 def job_overview(specs: DataFrame, overrides: DataFrame, runs: DataFrame, as_of: dt.datetime) -> DataFrame:
     """One row per configured pipeline: pause state, next fire and newest run."""
-    upcoming = S.next_fire("_cron", f"TIMESTAMP_NTZ '{as_of}'")
-    planned = (
-        with_schedule(specs.join(pause_state(specs, overrides), "name"))
-        .withColumn("next_run", F.expr(f"CASE WHEN {S.is_cron('_cron')} THEN {upcoming} END"))
-    )
     newest_run = latest_run(runs, keys=("pipeline_name",)).select(
-        F.col("pipeline_name").alias("name"),
-        F.col("id").alias("latest_run_id"),
-        F.col("execution_date").alias("latest_execution_date"),
-        F.col("status").alias("latest_status"),
-        F.col("started_at").alias("latest_started_at"),
-        F.col("finished_at").alias("latest_finished_at"),
-    )
-    return planned.join(newest_run, "name", "left").select(
-        "name", "table_name", "strategy", "schedule", "next_run", "is_paused", (~F.col("is_paused")).alias("is_active"),
-        "latest_run_id", "latest_execution_date", "latest_status", "latest_started_at", "latest_finished_at",
-        tone(F.col("latest_status")).alias("latest_tone"),
-    )
+        F.col("pipeline_name").alias("name"), *[F.col(c).alias(n) for n, c in _LATEST.items()])
+    planned = _planned(specs, overrides, as_of)
+    return planned.join(newest_run, "name", "left").select(*planned.columns, *_LATEST, tone(F.col("latest_status")).alias("latest_tone"))
+
+
+def pipeline_overview(specs: DataFrame, overrides: DataFrame, runs: DataFrame, as_of: dt.datetime, limit: int = RECENT_RUNS) -> DataFrame:
+    """The job overview with ``recent_runs``, an array of each pipeline's newest ``limit`` runs, newest first; empty without runs.
+
+    Runs are limited for each pipeline before the shuffle, so an array never holds more than the limit.
+    """
+    run = F.struct("created_at", "id", "execution_date", "status", "trigger_type", "started_at", "finished_at")
+    nested = recent_runs(runs, limit).groupBy(F.col("pipeline_name").alias("name")).agg(F.reverse(F.array_sort(F.collect_list(run))).alias("recent_runs"))
+    planned = _planned(specs, overrides, as_of)
+    joined = planned.join(nested, "name", "left")
+    newest_of = lambda c: F.get("recent_runs", F.lit(0))[c]
+    return joined.select(*planned.columns, *[newest_of(c).alias(n) for n, c in _LATEST.items()], tone(newest_of("status")).alias("latest_tone"),
+                         F.coalesce("recent_runs", F.array().cast(nested.schema["recent_runs"].dataType)).alias("recent_runs"))
+
+
+def overview_steps(overview: DataFrame, steps: DataFrame) -> DataFrame:
+    """The recent runs of a pipeline overview with their steps, flat: a run without steps and a pipeline without runs keep a row.
+
+    The few recent runs are stored first, so the step table is read for them alone.
+    """
+    runs = overview.select("name", F.posexplode_outer("recent_runs").alias("_at", "_run"))
+    runs = settle(runs.select("name", (F.col("_at") + 1).alias("run_number"), "_run.id", "_run.status"), "recent-runs")
+    with_run, without = runs.where("id IS NOT NULL"), runs.where("id IS NULL")
+    return run_with_steps(with_run, steps).unionByName(without, allowMissingColumns=True).withColumnRenamed("id", "run_id")
 
 
 def search(overview: DataFrame, query: str) -> DataFrame:

@@ -1,32 +1,38 @@
 """Mart metadata: file, source and dataset rows, validation, versioned promotion."""
 
 import datetime as dt
+import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from martloom import schemas
 from martloom.functions import text as X
 from martloom.functions.dates import timestamp_literal
 from martloom.sources import partitions as P
-from martloom.sources.storage import Folder, settle
+from martloom.sources.storage import Folder, observed
 
 SOURCE_KEYS = ["dataset_name", "source_name"]
+PART_TABLES = ("files", "sources")
 TABLES = {"files": schemas.MART_FILES, "sources": schemas.MART_SOURCES, "datasets": schemas.MART_DATASETS}
+# What a file's count was taken from is stored with it.
+STORED_FILES = T.StructType([*schemas.MART_FILES, T.StructField("length", T.LongType()), T.StructField("modified", T.TimestampType())])
 _PROMOTED = "_promoted"
+# dataset -> source -> the part that holds its rows
+Parts = dict[str, dict[str, str]]
 
 
-def file_rows(spark: SparkSession, source_root: str, dataset: str, build_id: str) -> DataFrame:
-    """Metadata rows of all months of a source, whatever part of it was just loaded."""
-    stats = P.file_stats(spark, source_root).withColumns(
+def file_rows(spark: SparkSession, source_root: str, dataset: str, build_id: str, known: DataFrame | None = None) -> DataFrame:
+    """Metadata rows of all months of a source, whatever part of it was just loaded; files in ``known`` aren't counted again."""
+    stats = P.file_stats(spark, source_root, known).withColumns(
         {
             "dataset_name": F.lit(dataset),
             "source_name": F.lit(source_root.rstrip("/").rsplit("/", 1)[-1]),
             "last_build_id": F.lit(build_id),
         }
     )
-    return schemas.conform(stats, schemas.MART_FILES)
+    return schemas.conform(stats, STORED_FILES)
 
 
 def source_rollup(files: DataFrame, refresh_mode: str, refreshed_at: dt.datetime, root: str | None = None) -> DataFrame:
@@ -161,7 +167,11 @@ class PromotionConflict(RuntimeError):
 
 
 class MartStore:
-    """Versioned metadata tables. Numbered promotion files name the versions; the highest number is what readers use."""
+    """Versioned metadata. Each build of a source is a part of its own (its file rows and its source row) that never changes.
+
+    A version names the part of every source, so a refresh writes the rows of its own source and nothing else. Dataset rows are
+    rolled up from the source rows when they are read. Numbered promotion files name the versions; the highest number is what readers use.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -177,27 +187,49 @@ class MartStore:
     def current_version(self) -> str | None:
         return self.version_at(self.promotions())
 
-    def read(self, name: str, version: str | None = None) -> DataFrame:
-        """A metadata table of the current (or a named) version; empty before the first promotion."""
-        return self.table_of(name, version or self.current_version())
+    def parts(self, version: str | None) -> Parts:
+        text = self.folder.read_text(f"versions/{version}.json") if version else None
+        return json.loads(text) if text else {}
+
+    def read(self, name: str, version: str | None = None, dataset: str | None = None) -> DataFrame:
+        """A metadata table of the current (or a named) version, of all datasets or one; empty before the first promotion."""
+        return self.table_of(name, version or self.current_version(), dataset)
+
+    def table_of(self, name: str, version: str | None, dataset: str | None = None) -> DataFrame:
+        parts = self.parts(version)
+        chosen = [p for d, sources in parts.items() if dataset in (None, d) for p in sources.values()]
+        return self.rows_of(name, chosen)
 
-    def table_of(self, name: str, version: str | None) -> DataFrame:
-        if version is None:
+    def rows_of(self, name: str, parts: list[str]) -> DataFrame:
+        if name == "datasets":
+            return dataset_rollup(self.rows_of("sources", parts))
+        if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self.folder.child(f"versions/{version}/{name}"))
+        return self.spark.read.schema(TABLES[name]).parquet(*[self.folder.child(f"parts/{p}/{name}") for p in parts])
 
-    def write_version(self, version: str, frames: dict[str, DataFrame]) -> None:
-        for name, df in frames.items():
-            schemas.conform(df, TABLES[name]).write.mode("overwrite").parquet(
-                self.folder.child(f"versions/{version}/{name}")
-            )
+    def counted_files(self, part: str) -> DataFrame:
+        """The file rows of a part with what their counts were taken from."""
+        return self.spark.read.schema(STORED_FILES).parquet(self.folder.child(f"parts/{part}/files"))
+
+    def write_part(self, part: str, name: str, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(self.folder.child(f"parts/{part}/{name}"))
+
+    def write_version(self, version: str, parts: Parts) -> None:
+        self.folder.make("versions")
+        self.folder.write_text(f"versions/{version}.json", json.dumps(parts, sort_keys=True))
+
+    def absent(self, version: str, dataset: str | None = None) -> list[str]:
+        """Tables that the version's parts lack."""
+        parts = [p for d, sources in self.parts(version).items() if dataset in (None, d) for p in sources.values()]
+        found = [n for n in PART_TABLES if not parts or not all(self.folder.exists(f"parts/{p}/{n}/_SUCCESS") for p in parts)]
+        return found
 
     def promote(self, version: str, after: int | None = None) -> None:
         """Readers move to ``version`` at once; ``after`` is the promotion it was built on.
 
         Raises ``PromotionConflict`` when another version came in between, so nothing it holds is lost.
         """
-        absent = [n for n in TABLES if not self.folder.exists(f"versions/{version}/{n}/_SUCCESS")]
+        absent = self.absent(version)
         if absent:
             raise FileNotFoundError(f"version {version} lacks {', '.join(absent)}")
         number = (self.promotions() if after is None else after) + 1
@@ -205,13 +237,21 @@ class MartStore:
             raise PromotionConflict(version)
 
     def versions(self) -> list[str]:
-        return [name for name, is_dir in self.folder.list("versions") if is_dir]
+        return [name[:-5] for name, is_dir in self.folder.list("versions") if not is_dir and name.endswith(".json")]
+
 
+def literal_row(spark: SparkSession, **values: tuple[object, str]) -> DataFrame:
+    """One row of (value, type) pairs that the planner knows as a literal, so joins with it need no job."""
+    columns = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, (_, t) in values.items())
+    names = ", ".join(values)
+    marks = ", ".join(f":{n}" for n in values)
+    return spark.sql(f"SELECT {columns} FROM VALUES ({marks}) AS t({names})", {n: v for n, (v, _) in values.items()})
 
-def table_issues(store: MartStore, version: str) -> DataFrame:
+
+def table_issues(store: MartStore, version: str, dataset: str | None = None) -> DataFrame:
     """Required metadata tables that a version lacks."""
-    absent = [(n,) for n in TABLES if not store.folder.exists(f"versions/{version}/{n}/_SUCCESS")]
-    return store.spark.createDataFrame(absent, "name string").select(
+    absent = F.array(*[F.lit(n) for n in store.absent(version, dataset)]).cast("array<string>")
+    return store.spark.range(1).select(F.explode(absent).alias("name")).select(
         F.lit("error").alias("severity"),
         F.lit("metadata_table").alias("check"),
         F.concat(F.lit("metadata table is missing: "), "name").alias("message"),
@@ -232,17 +272,23 @@ def raw_issues(spark: SparkSession, source_root: str, expected_rows: int, actual
     ).where(F.lit(actual != expected_rows))
 
 
-def validate_version(store: MartStore, version: str, expected: DataFrame, source_root: str, expected_rows: int,
-                     actual_rows: int | None = None) -> DataFrame:
-    """All checks; missing tables or a wrong raw table end the checks early."""
-    first = table_issues(store, version).unionByName(raw_issues(store.spark, source_root, expected_rows, actual_rows))
-    if not is_valid(first):
-        return first
+def validate_mart(store: MartStore, version: str, expected: DataFrame, source_root: str, expected_rows: int,
+                  actual_rows: int | None = None, dataset: str | None = None) -> DataFrame:
+    """All checks of a version; missing tables or a wrong raw table end the checks early.
+
+    With ``dataset`` only its parts are read.
+    """
     columns = ["severity", "check", "message"]
+    first = table_issues(store, version, dataset) if store.absent(version, dataset) else None
+    if actual_rows is None or actual_rows != expected_rows:
+        raw = raw_issues(store.spark, source_root, expected_rows, actual_rows)
+        first = raw if first is None else first.unionByName(raw)
+    if first is not None and not is_valid(first):
+        return first
     return (
-        validate_sources(expected, store.read("sources", version)).select(*columns)
-        .unionByName(validate_files(expected, store.read("files", version)).select(*columns))
-        .unionByName(validate_datasets(expected, store.read("datasets", version)).select(*columns))
+        validate_sources(expected, store.table_of("sources", version, dataset)).select(*columns)
+        .unionByName(validate_files(expected, store.table_of("files", version, dataset)).select(*columns))
+        .unionByName(validate_datasets(expected, store.table_of("datasets", version, dataset)).select(*columns))
     )
 
 
@@ -250,44 +296,44 @@ def refresh_mart(store: MartStore, dataset: str, source_root: str, build_id: str
                  refreshed_at: dt.datetime | None = None, only_if: tuple[int, int] | None = None) -> RefreshResult:
     """Rebuild one source's metadata from its files, validate the new version, promote it.
 
-    Other sources are carried over from the version that was current at the start. Where another refresh is
-    promoted meanwhile, the rest is done again on top of it. With ``only_if`` (year, month) the refresh is skipped
-    when that partition has no file. Without ``refreshed_at`` the time is taken from the session's clock in UTC.
+    Only the part of this source is written; the others are carried over by name from the version that was current at the
+    start. Where another refresh is promoted meanwhile, the version is named again on top of it. A ``full`` refresh counts all
+    files; any other takes over the counts of files that have not changed. With ``only_if`` (year, month) the refresh is
+    skipped when that partition has no file. Without ``refreshed_at`` the time is taken from the session's clock in UTC.
     """
     spark = store.spark
     if not dataset.strip() or not build_id.strip():
         raise ValueError("dataset and build_id must not be blank")
     if only_if and not P.month_has_files(spark, source_root, *only_if):
         return RefreshResult(None, False, None)
-    # Kept on storage first: files are listed and counted once, and all later steps see the same.
-    new_files = settle(file_rows(spark, source_root, dataset, build_id), "new-files")
-    found = new_files.agg(F.sum("row_count").alias("row_count"), F.count(F.lit(1)).alias("file_count")).first()
-    if not found["file_count"]:
+    if not P.has_files(spark, source_root):
         raise ValueError(f"no source files under {source_root}")
+    after = store.promotions()
+    parts = store.parts(store.version_at(after))
+    name = source_root.rstrip("/").rsplit("/", 1)[-1]
+    old = parts.get(dataset, {}).get(name)
+    known = store.counted_files(old) if old and kind != "full" else None
+    part, seen = uuid.uuid4().hex, Observation()
+    counted = F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("file_count")
+    # Few rows of a few columns: one file is enough.
+    store.write_part(part, "files", file_rows(spark, source_root, dataset, build_id, known).observe(seen, *counted).coalesce(1))
+    found = {n: observed(seen, n) for n in ("row_count", "file_count")}
     at = refreshed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     mode = "full" if kind == "full" else "incremental"
-    name = source_root.rstrip("/").rsplit("/", 1)[-1]
-    new_source = settle(source_rollup(new_files, mode, at, source_root), "new-source")
-    expected = spark.range(1).select(
-        F.lit(dataset).alias("dataset_name"), F.lit(name).alias("source_name"),
-        F.lit(found["row_count"]).alias("row_count"), F.lit(found["file_count"]).alias("file_count"),
-        F.lit(build_id).alias("build_id"),
-    )
+    store.write_part(part, "sources", source_rollup(store.rows_of("files", [part]), mode, at, source_root))
+    expected = literal_row(spark, dataset_name=(dataset, "STRING"), source_name=(name, "STRING"), row_count=(found["row_count"], "BIGINT"),
+                           file_count=(found["file_count"], "BIGINT"), build_id=(build_id, "STRING"))
     while True:
-        after = store.promotions()
-        base = store.version_at(after)
         version = f"{dataset}-{build_id}-{uuid.uuid4().hex[:8]}"
-        old = {n: store.table_of(n, base) for n in TABLES}
-        sources = upsert(old["sources"], new_source)
-        changed = dataset_rollup(sources.where(F.col("dataset_name") == dataset))
-        store.write_version(version, {"files": upsert(old["files"], new_files), "sources": sources,
-                                      "datasets": upsert(old["datasets"], changed, ["dataset_name"])})
-        issues = validate_version(store, version, expected, source_root, found["row_count"], found["row_count"])
+        store.write_version(version, parts | {dataset: parts.get(dataset, {}) | {name: part}})
+        issues = validate_mart(store, version, expected, source_root, found["row_count"], found["row_count"], dataset)
         if not is_valid(issues):
             return RefreshResult(version, False, issues)
         try:
             store.promote(version, after)
         except PromotionConflict:
-            store.folder.remove(f"versions/{version}")
+            store.folder.remove(f"versions/{version}.json")
+            after = store.promotions()
+            parts = store.parts(store.version_at(after))
             continue
         return RefreshResult(version, True, issues)

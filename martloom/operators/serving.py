@@ -5,11 +5,11 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from martloom.functions.dates import covered_months, month_bucket, month_label
 from martloom.functions.numbers import round2
-from martloom.operators.paging import page as take_page
+from martloom.operators.paging import Sort, page as take_page
 
 # What a request may name.
 FILTER_KEYS = ("source", "partition_month")
@@ -191,21 +191,21 @@ def chart_warnings(request: ChartRequest) -> list[str]:
     return [] if monthly else [MONTH_ONLY_WARNING]
 
 
-def sort_columns(sort: tuple | list) -> list[Column]:
-    """Sort terms with nulls last; the default keys follow the given ones to settle ties."""
+def sort_terms(sort: tuple | list) -> list[Sort]:
     terms = []
     for name, direction in sort:
         if name not in SORT_FIELDS:
             raise ValueError(f"rows can't be sorted by {name!r}")
         if direction not in ("asc", "desc"):
             raise ValueError(f"a sort goes asc or desc, not {direction!r}")
-        terms.append(F.col(name).desc_nulls_last() if direction == "desc" else F.col(name).asc_nulls_last())
+        terms.append(Sort(name, direction == "desc"))
     return terms
 
 
-def full_sort(sort: tuple | list) -> list[Column]:
+def full_sort(sort: tuple | list) -> list[Sort]:
+    """The given terms, and the default ones behind them to settle ties."""
     named = {name for name, _ in sort}
-    return sort_columns([*sort, *[(n, d) for n, d in DEFAULT_SORT if n not in named]])
+    return sort_terms([*sort, *[(n, d) for n, d in DEFAULT_SORT if n not in named]])
 
 
 def detail(files: DataFrame, dataset: str, filters: dict | None = None, detail_key: str = "source-files") -> DataFrame:
@@ -219,7 +219,7 @@ def detail(files: DataFrame, dataset: str, filters: dict | None = None, detail_k
 
 def detail_sorted(files: DataFrame, request: DetailRequest) -> DataFrame:
     rows = detail(files, request.dataset, request.filters, request.detail_key)
-    return rows.orderBy(*full_sort(request.sort or DEFAULT_SORT))
+    return rows.orderBy(*[t.column for t in full_sort(request.sort or DEFAULT_SORT)])
 
 
 def detail_page(files: DataFrame, request: DetailRequest) -> DataFrame:

@@ -1,11 +1,13 @@
 """Exports read back and the export job ledger."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from martloom.operators import export as E
 from martloom.plans.base import AS_OF, MART_FILES, with_
 from martloom.sources.jobs import read_jobs
-from martloom.sources.storage import shared_folder
+from martloom.sources.storage import Folder, settle, shared_folder
 from martloom.sources.tables import export_jobs as jobs
 from martloom.sources.tables import mart_files
 
@@ -66,6 +68,22 @@ def export_run(spark, sf_dir):
                           F.col("artifact_path").isNotNull().alias("has_artifact"), F.col("error_message").isNotNull().alias("has_message"))
 
 
+def exports_left(spark, sf_dir):
+    """Jobs with an artifact, after the expired ones and then the completed ones were removed."""
+    root, files, out = shared_folder(spark, "exports-left"), mart_files(spark, sf_dir), None
+    plan, keep = E.export_plan(files, "web", "parquet_export", "parquet"), dt.timedelta(hours=E.RETENTION_HOURS)
+    for name, age in (("old", keep + dt.timedelta(days=3)), ("due", keep + dt.timedelta(minutes=1)), ("soon", keep - dt.timedelta(minutes=1)), ("new", dt.timedelta())):
+        E.run_export(plan, root, name, "web", "parquet_export", AS_OF - age)
+    E.run_export(plan, root, "broken", "web", "xlsx_export", AS_OF, max_rows=1)
+    for after, remove in (("nothing", lambda: None), ("expired", lambda: E.remove_expired(spark, root, AS_OF)), ("completed", lambda: E.remove_completed(spark, root))):
+        remove()
+        stored = settle(read_jobs(spark, f"{root}/jobs", one_per_file=False), "jobs-left")
+        held = [j["job_id"] for j in stored.where("artifact_path IS NOT NULL").collect() if Folder(spark, j["artifact_path"]).exists()]
+        part = stored.select(F.lit(after).alias("removed"), "job_id", "status", "row_count", F.col("job_id").isin(held).alias("has_artifact"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def export_row_guard(spark, sf_dir):
     """Which limits around the size of a result let it pass."""
     rows = E.export_plan(mart_files(spark, sf_dir), "sales", "xlsx_export", "xlsx")
@@ -83,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         export_parquet, export_csv, export_spreadsheet, export_jobs, export_job_list, export_job_counts, expired_exports, completed_exports, export_run,
-        export_row_guard,
+        export_row_guard, exports_left,
     )
 }
 
@@ -119,6 +137,10 @@ ORACLE = {
         TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' + INTERVAL 72 HOUR AS expires_at, 'job-1.parquet' AS file_name,
         (SELECT count(*) FROM mart_files WHERE dataset_name = 'sales') AS row_count, true AS has_artifact, false AS has_message
         UNION ALL SELECT 'job-2', 'xlsx_export', 'failed', 'xlsx', TIMESTAMP '{AS_OF}', TIMESTAMP '{AS_OF}' + INTERVAL 72 HOUR, 'job-2.xlsx', NULL, false, true"""),
+    "exports_left": with_(MART_FILES, """SELECT removed, job_id, CASE job_id WHEN 'broken' THEN 'failed' ELSE 'completed' END AS status,
+        CASE WHEN job_id <> 'broken' THEN (SELECT count(*) FROM mart_files WHERE dataset_name = 'web') END AS row_count, job_id <> 'broken' AS has_artifact
+        FROM (VALUES ('nothing', 'old'), ('nothing', 'due'), ('nothing', 'soon'), ('nothing', 'new'), ('nothing', 'broken'),
+                     ('expired', 'soon'), ('expired', 'new'), ('expired', 'broken'), ('completed', 'broken')) v(removed, job_id)"""),
     "export_row_guard": with_(MART_FILES, """SELECT n + d AS max_rows, d >= 0 AS passes
         FROM (SELECT count(*) AS n FROM mart_files WHERE dataset_name = 'sales'), (VALUES (-1), (0), (1)) v(d)"""),
 }

@@ -36,9 +36,12 @@ def _ranges(spark, sf_dir):
 
 
 def fire_intervals(spark, sf_dir):
+    """Cron and fixed schedules, and for every pipeline a copy whose schedule can't be read."""
     specs = pipeline_specs(spark, sf_dir).select(F.col("name").alias("pipeline_name"), "schedule")
-    return I.fire_intervals(_ranges(spark, sf_dir).join(specs, "pipeline_name")).select(
-        "pipeline_name", "schedule", "data_interval_start", "data_interval_end"
+    ranges = _ranges(spark, sf_dir).join(specs, "pipeline_name")
+    broken = ranges.withColumn("schedule", F.concat(F.lit("at "), "schedule"))
+    return I.fire_intervals(ranges.unionByName(broken)).select(
+        "pipeline_name", "schedule", "data_interval_start", "data_interval_end", "interval_error"
     )
 
 
@@ -55,6 +58,16 @@ def interval_assignment(spark, sf_dir):
     )
 
 
+def interval_assignment_minutes(spark, sf_dir):
+    """Each event with its minute, its hour and its three days, from schedules that fire over the whole time."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    first, last = events.agg(F.min("ts").cast("date"), F.date_add(F.max("ts").cast("date"), 3)).first()
+    schedules = spark.createDataFrame([(s, first, last) for s in ("* * * * *", "0 * * * *", "interval:3d")],
+                                      "schedule string, start_date date, end_date date")
+    return I.assign_intervals(events, I.fire_intervals(schedules), "ts").select(
+        "event_id", "schedule", "data_interval_start", "data_interval_end")
+
+
 def backfill_months(spark, sf_dir):
     return I.split_months(_ranges(spark, sf_dir)).select("pipeline_name", "execution_date")
 
@@ -104,6 +117,7 @@ QUERIES = {
     "bind_params": bind_params,
     "fire_intervals": fire_intervals,
     "interval_assignment": interval_assignment,
+    "interval_assignment_minutes": interval_assignment_minutes,
     "backfill_months": backfill_months,
     "pending_dates": pending_dates,
 }
@@ -122,17 +136,36 @@ ORACLE = {
         SELECT pipeline_name, execution_date, data_interval_start, data_interval_end, data_interval_start AS logical_date,
                {_PART_COLUMNS} FROM windows WHERE data_interval_end IS NOT NULL"""),
     "fire_intervals": with_(RUNS + "," + SPECS + "," + FIRES, """
-        SELECT r.pipeline_name, s.schedule, f.before AS data_interval_start, f.t AS data_interval_end
-        FROM (SELECT pipeline_name, min(execution_date) AS a, max(execution_date) AS b FROM runs GROUP BY 1) r
-        JOIN specs s ON s.name = r.pipeline_name
-        JOIN fires f ON f.digit = left(r.pipeline_name, 1) AND CAST(f.t AS DATE) BETWEEN r.a AND r.b"""),
+        , r AS (SELECT pipeline_name, s.schedule, min(execution_date) AS a, max(execution_date) AS b
+                FROM runs JOIN specs s ON s.name = pipeline_name GROUP BY 1, 2)
+        SELECT r.pipeline_name, r.schedule, f.before AS data_interval_start, f.t AS data_interval_end, NULL AS interval_error
+        FROM r JOIN fires f ON f.digit = left(r.pipeline_name, 1) AND CAST(f.t AS DATE) BETWEEN r.a AND r.b
+        UNION ALL
+        SELECT pipeline_name, schedule, t - INTERVAL 15 MINUTE, t, NULL
+        FROM (SELECT *, unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP) + INTERVAL 1425 MINUTE, INTERVAL 15 MINUTE)) AS t
+              FROM r WHERE left(pipeline_name, 1) = '5')
+        UNION ALL
+        SELECT pipeline_name, 'at ' || schedule, NULL, NULL, 'schedule is not supported' FROM r"""),
     "interval_assignment": with_(SPECS + """,
         grid AS (
           SELECT CAST(g AS TIMESTAMP) AS t FROM (
             SELECT unnest(generate_series(TIMESTAMP '2022-10-01', TIMESTAMP '2025-12-31', INTERVAL 30 MINUTE)) AS g)
         )""" + FIRES[FIRES.index(",\nfires"):], """
         SELECT e.event_id, s.name AS pipeline_name, f.before AS data_interval_start, f.t AS data_interval_end
-        FROM events e JOIN fires f ON e.ts >= f.before AND e.ts < f.t JOIN specs s ON left(s.name, 1) = f.digit"""),
+        FROM events e JOIN fires f ON e.ts >= f.before AND e.ts < f.t JOIN specs s ON left(s.name, 1) = f.digit
+        UNION ALL
+        SELECT e.event_id, s.name, b, b + INTERVAL 15 MINUTE
+        FROM (SELECT event_id, time_bucket(INTERVAL 15 MINUTE, CAST(ts AS TIMESTAMP)) AS b FROM events) e
+        JOIN specs s ON left(s.name, 1) = '5'"""),
+    "interval_assignment_minutes": """
+        SELECT event_id, '* * * * *' AS schedule, date_trunc('minute', ts) AS data_interval_start,
+               date_trunc('minute', ts) + INTERVAL 1 MINUTE AS data_interval_end FROM events
+        UNION ALL
+        SELECT event_id, '0 * * * *', date_trunc('hour', ts), date_trunc('hour', ts) + INTERVAL 1 HOUR FROM events
+        UNION ALL
+        SELECT event_id, 'interval:3d', d + INTERVAL 3 DAY * n, d + INTERVAL 3 DAY * (n + 1)
+        FROM (SELECT event_id, d, CAST(floor((epoch(ts) - epoch(d)) / 259200) AS INTEGER) AS n
+              FROM events, (SELECT date_trunc('day', min(ts)) AS d FROM events))""",
     "backfill_months": with_(RUNS, """
         SELECT pipeline_name, CAST(unnest(generate_series(CAST(date_trunc('month', a) AS TIMESTAMP),
                CAST(date_trunc('month', b) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS execution_date

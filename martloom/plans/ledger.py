@@ -37,8 +37,8 @@ def runs_page(spark, sf_dir):
 
 
 def runs_page_deep(spark, sf_dir):
-    """A page far down the order of all runs, found in a distributed sort."""
-    return rank_slice(runs(spark, sf_dir), [F.col("created_at").desc(), F.col("id").desc()], 1000, 75)
+    """A page far down the order of all runs, found by counting ranges."""
+    return rank_slice(runs(spark, sf_dir), L.NEWEST_FIRST, 1000, 75)
 
 
 def typed_runs(spark, sf_dir):
@@ -108,6 +108,16 @@ def job_overview(spark, sf_dir):
     return L.job_overview(pipeline_specs(spark, sf_dir), pause_overrides(spark, sf_dir), runs(spark, sf_dir), AS_OF)
 
 
+def pipeline_overview(spark, sf_dir):
+    """The newest three runs of each pipeline with their steps, in flat form; one pipeline has never run."""
+    specs = pipeline_specs(spark, sf_dir)
+    idle = specs.orderBy("name").limit(1).withColumn("name", F.lit("0-IDLE"))
+    nested = L.pipeline_overview(specs.unionByName(idle), pause_overrides(spark, sf_dir), runs(spark, sf_dir), AS_OF, 3)
+    flat = L.overview_steps(nested, steps(spark, sf_dir))
+    return nested.select("name", "next_run", "is_paused", "latest_run_id", "latest_tone", F.size("recent_runs").alias("shown")).join(
+        flat.select("name", "run_number", "run_id", "status", "step_name", "step_status", "records_processed", "error_message"), "name")
+
+
 def ledger_search(spark, sf_dir):
     return L.search(job_overview(spark, sf_dir), " Incremental 0 ")
 
@@ -331,6 +341,15 @@ ORACLE = {
     "dataset_names": with_(RUNS, """SELECT id, pipeline_name, CASE left(pipeline_name, 1) WHEN '1' THEN 'dataset_1'
         WHEN '3' THEN 'dataset_3' ELSE pipeline_name END AS dataset_name FROM runs"""),
     "job_overview": with_(_OVERVIEW, "SELECT * FROM overview"),
+    "pipeline_overview": with_(STEPS + _OVERVIEW[len(RUNS):] + """,
+        shown AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pipeline_name ORDER BY created_at DESC, id DESC) AS k FROM runs) WHERE k <= 3)
+        """, """SELECT o.name, o.next_run, o.is_paused, o.latest_run_id, o.latest_tone,
+               CAST((SELECT count(*) FROM shown x WHERE x.pipeline_name = o.name) AS INTEGER) AS shown,
+               CAST(r.k AS INTEGER) AS run_number, r.id AS run_id, r.status, s.step_name, s.status AS step_status, s.records_processed, s.error_message
+        FROM overview o LEFT JOIN shown r ON r.pipeline_name = o.name LEFT JOIN steps s ON s.pipeline_run_id = r.id
+        UNION ALL
+        SELECT '0-IDLE', next_run, false, NULL, 'neutral', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM overview WHERE name = (SELECT min(name) FROM overview)"""),
     "ledger_search": with_(_OVERVIEW, """SELECT * FROM overview
         WHERE contains(lower(name || ' ' || table_name || ' ' || strategy || ' ' || schedule), 'incremental 0')"""),
     "ledger_filter_state": with_(_OVERVIEW, """SELECT latest_tone AS state, name FROM overview WHERE latest_tone IN ('ok', 'warn', 'bad')

@@ -1,13 +1,17 @@
 """Raw scans, file statistics, roll-ups, upserts and validation."""
 
+import datetime as dt
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from martloom.functions.dates import month_start
 from martloom.operators import ingest as I
 from martloom.operators import mart as M
+from martloom.operators.refresh import load_and_refresh
 from martloom.plans.base import MART_DATASETS, MART_FILES, MART_SOURCES, REFRESHED_AT, with_
 from martloom.sources import partitions as P
-from martloom.sources.storage import shared_folder
+from martloom.sources.storage import settle, shared_folder
 from martloom.sources.tables import mart_files, table
 
 
@@ -137,6 +141,47 @@ def mart_promote(spark, sf_dir):
     return out
 
 
+def validate_mart(spark, sf_dir):
+    """What is found in a sound version and in others: wrong counts and builds, absent raw rows, absent tables."""
+    store = _refreshed(spark, sf_dir)
+    version = store.current_version()
+    recorded = store.read("sources").where(F.col("source_name") == "EVENTS").withColumnRenamed("last_build_id", "build_id")
+    root, rows = (recorded.select("source_root", "row_count").first())
+    more, other = recorded.withColumn("file_count", F.col("file_count") + 5), recorded.withColumn("build_id", F.lit("b-other"))
+    reports = {
+        "sound": M.validate_mart(store, version, recorded, root, rows),
+        "files": M.validate_mart(store, version, more.withColumn("row_count", F.col("row_count") + 1), root, rows),
+        "build": M.validate_mart(store, version, other, root, rows),
+        "rows": M.validate_mart(store, version, recorded, root, rows + 3),
+        "raw": M.validate_mart(store, version, recorded, root + "_ABSENT", rows),
+    }
+    reports = {case: settle(found, "report") for case, found in reports.items()}
+    store.folder.remove(f"parts/{store.parts(version)['sales']['EVENTS']}/sources")
+    reports["tables"] = M.validate_mart(store, version, recorded, root, rows)
+    out = None
+    for case, found in reports.items():
+        # Messages name files and folders of this run, so those of counts alone are shown.
+        part = found.select(F.lit(case).alias("case"), "severity", "check", F.when(F.col("check") == "raw_row_count", F.col("message")).alias("message"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def load_refresh(spark, sf_dir):
+    """Loads with the refresh of their mart: two that go through, a skipped one and one whose mart fails."""
+    base, orders = shared_folder(spark, "load-refresh"), table(spark, sf_dir, "orders")
+    store = M.MartStore(spark, f"{base}/mart")
+    spec = I.IngestSpec("orders", "ORDERS", source_where_template="o_orderstatus = :status", source_bind_params={"status": "F"}, allow_empty=True)
+    none = replace(spec, table="NOTHING", source_bind_params={"status": "?"})
+    grown = replace(spec, partition_by="o_orderdate", source_bind_params={"status": "O"})
+    out = []
+    for run, one, day, dataset in (("first", spec, dt.date(2000, 1, 1), "sales"), ("skipped", none, dt.date(2000, 2, 1), "sales"),
+                                   ("grown", grown, dt.date(2000, 3, 1), "sales"), ("failing", spec, dt.date(2000, 1, 1), " ")):
+        done = load_and_refresh(orders, one, day, f"{base}/raw", run, store, dataset, refreshed_at=REFRESHED_AT)
+        total = store.read("datasets").agg(F.sum("total_rows")).first()[0]
+        out.append((run, done.load.rows, bool(done.refresh and done.refresh.promoted), done.error, total))
+    return spark.createDataFrame(out, "run string, loaded_rows bigint, promoted boolean, error string, mart_rows bigint")
+
+
 _REBUILT = MART_FILES + """,
 upserted AS (
   SELECT * FROM mart_files WHERE source_name <> 'LINEITEM'
@@ -180,9 +225,23 @@ QUERIES = {
     "partition_files": partition_files,
     "mart_refresh": mart_refresh,
     "mart_promote": mart_promote,
+    "validate_mart": validate_mart,
+    "load_refresh": load_refresh,
 }
 
 ORACLE = {
+    "validate_mart": """SELECT 'files' AS "case", 'error' AS severity, c AS "check", NULL AS message
+        FROM (VALUES ('source_row_count'), ('source_file_count'), ('file_row_count'), ('file_count')) v(c)
+        UNION ALL SELECT 'build', 'error', 'source_build_id', NULL
+        UNION ALL SELECT 'rows', 'error', 'raw_row_count', 'expected ' || (count(*) + 3) || ', got ' || count(*) FROM events
+        UNION ALL SELECT 'raw', 'error', 'raw_table', NULL
+        UNION ALL SELECT 'tables', 'error', 'metadata_table', NULL""",
+    "load_refresh": """WITH n AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o,
+          count(*) FILTER (WHERE o_orderstatus = 'O' AND date_trunc('month', o_orderdate) = DATE '2000-01-01') AS same FROM orders)
+        SELECT 'first' AS run, f AS loaded_rows, true AS promoted, NULL AS error, f AS mart_rows FROM n
+        UNION ALL SELECT 'skipped', 0, false, NULL, f FROM n
+        UNION ALL SELECT 'grown', o, true, NULL, o + CASE WHEN same > 0 THEN 0 ELSE f END FROM n
+        UNION ALL SELECT 'failing', f, false, 'dataset and build_id must not be blank', o + CASE WHEN same > 0 THEN 0 ELSE f END FROM n""",
     "mart_raw_scan": """SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year,
         CAST(month(o_orderdate) AS INTEGER) AS month FROM orders""",
     "mart_file_stats": """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS partition_start, count(*) AS row_count

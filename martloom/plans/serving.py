@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from martloom.operators import mart as M
 from martloom.operators import serving as S
 from martloom.plans.base import MART_DATASETS, MART_FILES, MART_SOURCES, REFRESHED_AT, two_decimals, with_
+from martloom.plans.mart import _refreshed as promoted_store
 from martloom.sources.tables import mart_files
 
 _WINDOW = (dt.date(1997, 3, 15), dt.date(1999, 10, 2))
@@ -102,6 +103,57 @@ def dashboard(spark, sf_dir):
     return out
 
 
+def _served(spark, sf_dir):
+    """The mart of raw tables that were loaded and promoted."""
+    return S.ServedMart.of_store(promoted_store(spark, sf_dir))
+
+
+def served_summary(spark, sf_dir):
+    """KPI numbers that do not depend on how many files a month was written to."""
+    return _served(spark, sf_dir).summary(S.SummaryRequest("sales", *_WINDOW, filters={"source": ["ORDERS"]})).select(
+        "total_rows", "source_tables", "min_partition_start", "max_partition_start", "covered_months")
+
+
+def served_rows_by_month(spark, sf_dir):
+    return _served(spark, sf_dir).chart(S.ChartRequest("sales", "rows_by_month", "month", 24))
+
+
+def served_detail(spark, sf_dir):
+    """All pages of the detail rows, a month's files taken together, and their total."""
+    served, rows, number = _served(spark, sf_dir), None, 1
+    total = served.detail(S.DetailRequest("sales"))[1].first()["total"]
+    while (number - 1) * 500 < total:
+        page, _ = served.detail(S.DetailRequest("sales", page=number, page_size=500))
+        rows, number = page if rows is None else rows.unionByName(page), number + 1
+    return rows.groupBy("source_name", "partition_month").agg(F.sum("row_count").alias("row_count"), F.max("last_build_id").alias("last_build_id"))
+
+
+def served_options(spark, sf_dir):
+    sources, months = _served(spark, sf_dir).filter_options("sales")
+    return sources.select(F.lit("source").alias("filter"), "value").unionByName(months.select(F.lit("partition_month").alias("filter"), "value"))
+
+
+def served_unknown_dataset(spark, sf_dir):
+    """Which calls refuse a dataset that the mart does not hold, beside one that it does."""
+    served, out = _served(spark, sf_dir), []
+    calls = {
+        "summary": lambda d: served.summary(S.SummaryRequest(d)),
+        "chart": lambda d: served.chart(S.ChartRequest(d, "files_by_source")),
+        "detail": lambda d: served.detail(S.DetailRequest(d)),
+        "export_rows": lambda d: served.export_rows(S.DetailRequest(d)),
+        "filter_options": served.filter_options,
+        "dashboard": served.dashboard,
+    }
+    for name, call in calls.items():
+        for dataset in ("sales", "nowhere"):
+            try:
+                call(dataset)
+                out.append((name, dataset, False))
+            except S.UnknownDataset:
+                out.append((name, dataset, True))
+    return spark.createDataFrame(out, "name string, dataset string, refused boolean")
+
+
 _SUMMARY = f"""
 SELECT *, CASE WHEN total_files > 0 THEN {two_decimals("total_rows / total_files")} ELSE 0.0::DOUBLE END AS avg_rows_per_file,
        CAST(coalesce((year(max_partition_start) - year(min_partition_start)) * 12
@@ -130,7 +182,19 @@ FROM ({_SUMMARY.format("")})"""
 _BY_SOURCE = """SELECT source_name AS bucket, count(*) AS value, source_name AS label FROM mart_files
 WHERE dataset_name = 'sales' GROUP BY source_name ORDER BY value DESC, source_name LIMIT 20"""
 
+_RAW = """WITH raw AS (
+  SELECT 'ORDERS' AS source_name, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, 'b-more' AS b FROM orders
+  UNION ALL SELECT 'ORDERS', CAST(date_trunc('month', o_orderdate) AS DATE), 'b-more' FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT 'EVENTS', CAST(date_trunc('month', ts) AS DATE), 'b-EVENTS' FROM events
+)
+"""
+
 QUERIES = {
+    "served_summary": served_summary,
+    "served_rows_by_month": served_rows_by_month,
+    "served_detail": served_detail,
+    "served_options": served_options,
+    "served_unknown_dataset": served_unknown_dataset,
     "rows_by_month": rows_by_month,
     "rows_by_month_filtered": rows_by_month_filtered,
     "files_by_source": files_by_source,
@@ -150,6 +214,16 @@ QUERIES = {
 }
 
 ORACLE = {
+    "served_summary": _RAW + f"""SELECT total_rows, source_tables, a AS min_partition_start, z AS max_partition_start,
+        CAST(coalesce((year(z) - year(a)) * 12 + month(z) - month(a) + 1, 0) AS BIGINT) AS covered_months
+        FROM (SELECT count(*) AS total_rows, count(DISTINCT source_name) AS source_tables, min(m) AS a, max(m) AS z FROM raw
+              WHERE source_name = 'ORDERS' AND m BETWEEN DATE '{_WINDOW[0].replace(day=1)}' AND DATE '{_WINDOW[1].replace(day=1)}')""",
+    "served_rows_by_month": _RAW + """SELECT strftime(m, '%Y-%m-01') AS bucket, count(*) AS value FROM raw GROUP BY m ORDER BY m DESC LIMIT 24""",
+    "served_detail": _RAW + """SELECT source_name, m AS partition_month, count(*) AS row_count, any_value(b) AS last_build_id FROM raw GROUP BY 1, 2""",
+    "served_options": _RAW + """SELECT DISTINCT 'source' AS filter, source_name AS value FROM raw
+        UNION ALL SELECT DISTINCT 'partition_month', strftime(m, '%Y-%m') FROM raw""",
+    "served_unknown_dataset": """SELECT name, dataset, dataset = 'nowhere' AS refused
+        FROM (VALUES ('summary'), ('chart'), ('detail'), ('export_rows'), ('filter_options'), ('dashboard')) c(name), (VALUES ('sales'), ('nowhere')) d(dataset)""",
     "rows_by_month": with_(MART_FILES, _MONTHLY.format("", 12)),
     "rows_by_month_filtered": with_(MART_FILES, _MONTHLY.format(
         "AND source_name = 'LINEITEM' AND partition_start BETWEEN DATE '1997-03-01' AND DATE '1999-10-01'", 366)),

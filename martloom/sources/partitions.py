@@ -27,24 +27,29 @@ def scan(spark: SparkSession, root: str, merge_schema: bool = False) -> DataFram
     return based.parquet(root).drop(M.LOAD).limit(0)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every partition file as (file_path, year, month) from the directory listing alone.
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """Every partition file as (file_path, year, month, length, modified) from the directory listing alone.
 
     Files of rows without a date have null year and month.
     """
     parts = M.current(spark, root)
     found = [root] if parts is None else M.paths(root, parts)
     if not found or not Folder(spark, root).exists():
-        return spark.createDataFrame([], "file_path string, year int, month int")
+        return spark.createDataFrame([], "file_path string, year int, month int, length bigint, modified timestamp")
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", True)
         .load(found)
-        .select(F.col("path").alias("file_path"))
+        .select(F.col("path").alias("file_path"), "length", F.col("modificationTime").alias("modified"))
     )
     number = lambda group: F.regexp_extract("file_path", _LAYOUT, group).try_cast("int")
-    return listed.where(F.col("file_path").rlike(_LAYOUT)).select("file_path", number(1).alias("year"), number(2).alias("month"))
+    return listed.where(F.col("file_path").rlike(_LAYOUT)).select(
+        "file_path", number(1).alias("year"), number(2).alias("month"), "length", "modified")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    return listing(spark, root).select("file_path", "year", "month")
 
 
 def has_files(spark: SparkSession, root: str) -> bool:
@@ -92,25 +97,32 @@ def partition_files(spark: SparkSession, root: str, year: int, month: int) -> Da
     )
 
 
-def file_stats(spark: SparkSession, root: str) -> DataFrame:
-    """Rows per partition file. Counting reads footers only; files without rows count 0.
+def file_stats(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """Rows per partition file: (file_path, partition_start, row_count, length, modified).
 
-    The files come from the listing and the counts from the scan, because a file that holds
-    no rows does not show up in a count.
+    Counting reads footers only; files without rows count 0. The files come from the listing and the counts from the scan,
+    because a file that holds no rows does not show up in a count. Files that ``known`` has with the same path, length and
+    time keep the count it gives; the scan then opens no file older than the oldest new one.
     """
     if not has_files(spark, root):
-        return spark.createDataFrame([], "file_path string, partition_start date, row_count bigint")
-    files = list_files(spark, root)
+        return spark.createDataFrame([], "file_path string, partition_start date, row_count bigint, length bigint, modified timestamp")
+    files, data = listing(spark, root), scan(spark, root)
+    same, kept = ["file_path", "length", "modified"], None
+    columns = ["file_path", partition_date(F.col("year"), F.col("month")).alias("partition_start"), "row_count", "length", "modified"]
+    if known is not None:
+        kept = files.join(known.select(*same, "row_count"), same)
+        files = files.join(known.select(*same), same, "left_anti")
+        oldest = files.agg(F.min("modified")).first()[0]
+        if oldest is None:
+            return kept.select(*columns)
+        data = data.where(F.col("_metadata.file_modification_time") >= F.lit(oldest))
     # The scan reports its paths percent-encoded.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    counted = scan(spark, root).groupBy(path.alias("_path")).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = data.groupBy(path.alias("_path")).agg(F.count(F.lit(1)).alias("_rows"))
     same_form = F.regexp_replace(F.col("file_path"), "^([a-z0-9]+):/+", "$1:/")
     counted_form = F.regexp_replace(F.col("_path"), "^([a-z0-9]+):/+", "$1:/")
-    return files.join(counted, same_form == counted_form, "left").select(
-        "file_path",
-        partition_date(F.col("year"), F.col("month")).alias("partition_start"),
-        F.coalesce("_rows", F.lit(0)).alias("row_count"),
-    )
+    new = files.join(counted, same_form == counted_form, "left").withColumn("row_count", F.coalesce("_rows", F.lit(0))).select(*columns)
+    return new if kept is None else new.unionByName(kept.select(*columns))
 
 
 def partition_row_counts(spark: SparkSession, root: str) -> DataFrame:

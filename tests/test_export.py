@@ -64,3 +64,31 @@ def test_jobs(jobs):
     assert [r.job_id for r in E.expired_jobs(jobs, NOW).collect()] == ["c"]
     assert [tuple(r) for r in E.completed_jobs(jobs).collect()] == [("a", "/a/a.parquet", 5)]
     assert E.with_expiry(jobs.drop("expires_at")).where("job_id = 'c'").first().expires_at == NOW
+
+
+def test_guard_sorts_nothing(spark, rows):
+    seen = []
+    agg = rows.orderBy("row_count").agg(F.count(F.lit(1)))
+    seen.append(agg._jdf.queryExecution().executedPlan().toString())
+    assert "Sort" not in seen[0] and "Limit" not in seen[0]
+
+
+def test_written_rows_are_counted_for_capped_and_empty_exports(spark, rows, tmp_path):
+    root = str(tmp_path / "x")
+    assert E.run_export(rows, root, "j1", "d", "xlsx_export", NOW, max_rows=3).first()["row_count"] == 3
+    assert E.run_export(rows.where("row_count > 99"), root, "j2", "d", "csv_zip_export", NOW).first()["row_count"] == 0
+    assert E.run_export(rows, root, "j3", "d", "xlsx_export", NOW, max_rows=2).first()["status"] == "failed"
+    assert sorted(r.job_id for r in read_jobs(spark, f"{root}/jobs", one_per_file=False).collect()) == ["j1", "j2", "j3"]
+
+
+def test_cleanup_removes_artifacts_and_records(spark, rows, tmp_path):
+    root = str(tmp_path / "x")
+    for name, hours in (("a", 100), ("b", 72), ("c", 71.9), ("d", 1)):
+        E.run_export(rows, root, name, "d", "parquet_export", NOW - dt.timedelta(hours=hours))
+    left = lambda: sorted(r.job_id for r in read_jobs(spark, f"{root}/jobs", one_per_file=False).collect())
+    files = lambda: sorted(n for _, names, _ in os.walk(f"{root}/artifacts") for n in names if n.endswith(".parquet"))
+    E.remove_expired(spark, root, NOW)
+    assert left() == ["c", "d"] and files() == ["c.parquet", "d.parquet"]
+    E.remove_completed(spark, root)
+    assert not os.listdir(f"{root}/jobs") or left() == []
+    assert files() == []

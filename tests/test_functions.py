@@ -111,3 +111,19 @@ def test_iso_forms_of_the_standard(spark):
     day = dt.datetime(2026, 3, 15)
     assert got == [day.replace(hour=10, minute=30), day.replace(hour=10), day.replace(hour=10, minute=20, microsecond=500000),
                    day.replace(hour=10, minute=20, second=30, microsecond=123456), day, day.replace(hour=10, minute=20), None, None, None, None]
+
+
+def test_week_dates_agree_with_the_standard_library(spark):
+    texts = [f"{y}-W{w:02d}{d}" for y in (2009, 2015, 2020, 2021, 2026) for w in (0, 1, 11, 52, 53, 54) for d in ("", "-1", "-7", "-8", "-0")]
+    texts += ["2026W117", "2026W11", "2026-W117", "2026W11-7", "2026-W11-7T10:20:30", "2026W117T102030.5Z", "2026-w11-7", "2026-W1-1"]
+
+    def want(text):
+        head, _, clock = text.partition("T")
+        try:
+            day = dt.datetime.fromisoformat(head)
+        except ValueError:
+            return None
+        return day if not clock else day.replace(hour=10, minute=20, second=30, microsecond=500000 if "." in clock else 0)
+
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(D.parse_iso(F.col("t"))).collect()]
+    assert dict(zip(texts, got)) == {t: want(t) for t in texts}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from martloom.operators import ingest as I
 from martloom.sources import partitions as P
-from martloom.sources.relational import JdbcTable
+from martloom.sources.relational import JdbcTable, quantile_predicates
 from martloom.sources.storage import Folder
 
 DAY = dt.date(2026, 3, 15)
@@ -235,9 +235,25 @@ def test_codec(spark, log, tmp_path):
 
 
 def test_jdbc_options():
-    plain = JdbcTable("jdbc:x", "LOG").options()
+    plain = JdbcTable("jdbc:x", "LOG", one_task=True).options()
     assert plain == {"url": "jdbc:x", "dbtable": "LOG", "fetchsize": "10000"}
     split = JdbcTable("jdbc:x", "LOG", partition_column="LOG_ID", lower_bound="0", upper_bound="9", num_partitions=3).options()
     assert split["numPartitions"] == "3" and split["partitionColumn"] == "LOG_ID"
     with pytest.raises(ValueError):
         JdbcTable("jdbc:x", "LOG", partition_column="LOG_ID").options()
+    with pytest.raises(ValueError, match="one task"):
+        JdbcTable("jdbc:x", "LOG").options()
+    with pytest.raises(ValueError):
+        JdbcTable("jdbc:x", "LOG", partition_column="LOG_ID", lower_bound="0", upper_bound="9", predicates=("A = 1",)).options()
+
+
+def test_jdbc_bounds_and_predicates(spark):
+    asked = JdbcTable("jdbc:x", "LOG", partition_column="LOG_ID")
+    assert asked.bounds_query() == "SELECT MIN(LOG_ID) AS lo, MAX(LOG_ID) AS hi FROM LOG"
+    bounded = asked.with_bounds(3, 90).options()
+    assert (bounded["lowerBound"], bounded["upperBound"], bounded["numPartitions"]) == ("3", "90", "32")
+    assert asked.with_bounds(None, None).options() == {"url": "jdbc:x", "dbtable": "LOG", "fetchsize": "10000"}
+    rows = spark.createDataFrame([(i, f"n'{i}", DAY if i % 3 else None) for i in range(20)] + [(None, None, None)], "id int, name string, day date")
+    for column, cuts in (("id", [3, 11, 11, 17]), ("name", ["n'11", "n'4"]), ("day", [DAY]), ("id", [])):
+        counts = [rows.where(p).count() for p in quantile_predicates(column, cuts)]
+        assert sum(counts) == 21 and len(counts) == len(set(cuts)) + 1

@@ -127,3 +127,33 @@ def test_waits_of_years_and_steps_wider_than_their_field(spark):
     leap = spark.createDataFrame([("0 0 29 2 *", dt.date(2020, 1, 1), dt.date(2028, 12, 31))], "schedule string, start_date date, end_date date")
     starts = sorted(r.data_interval_start for r in I.fire_intervals(leap).collect())
     assert starts == [dt.datetime(y, 2, 29) for y in (2016, 2020, 2024)]
+
+
+def test_assignment_candidates_grow_with_rows_and_intervals(spark):
+    """A minute schedule over a day beside longer ones: a cell of a length class holds a handful of intervals."""
+    day = dt.date(2026, 3, 14)
+    schedules = spark.createDataFrame([(s, day, day + dt.timedelta(days=1)) for s in ("* * * * *", "*/15 * * * *", "interval:6h", "0 0 1 * *")],
+                                      "schedule string, start_date date, end_date date")
+    fires = I.fire_intervals(schedules)
+    rows = spark.range(2000).selectExpr("id", "TIMESTAMP_NTZ '2026-03-14' + make_dt_interval(0, 0, 0, id * 43) AS t")
+    joined = I.assign_intervals(rows, fires, "t")
+    got = {(r.id, r.schedule, r.data_interval_start) for r in joined.select("id", "schedule", "data_interval_start").collect()}
+    spans = fires.select("schedule", "data_interval_start", "data_interval_end").collect()
+    want = {(r.id, s.schedule, s.data_interval_start) for r in rows.collect() for s in spans if s.data_interval_start <= r.t < s.data_interval_end}
+    assert got == want and len(got) > 5000
+    assert I.interval_candidates(rows, fires, "t").count() <= 4 * len(got)
+
+
+def test_fixed_schedules_and_broken_ones_fire_too(spark):
+    a, b = dt.date(2026, 3, 1), dt.date(2026, 3, 3)
+    rows = spark.createDataFrame([("interval:7h", a, b), ("interval:2d", a, b), ("every day", a, b), (None, a, b), ("0 5 * * *", b, a)],
+                                 "schedule string, start_date date, end_date date")
+    got = {}
+    for r in I.fire_intervals(rows).collect():
+        got.setdefault(r.schedule, []).append((r.data_interval_start, r.data_interval_end, r.interval_error))
+    step = dt.timedelta(hours=7)
+    first = dt.datetime(2026, 3, 1)
+    assert sorted(got["interval:7h"]) == [(first + step * (k - 1), first + step * k, None) for k in range(11)]
+    assert sorted(x[1] for x in got["interval:2d"]) == [first, dt.datetime(2026, 3, 3)]
+    assert got["every day"] == [(None, None, "schedule is not supported")] and got[None] == [(None, None, "schedule is blank")]
+    assert "0 5 * * *" not in got

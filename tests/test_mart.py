@@ -90,12 +90,12 @@ def test_invalid_version_is_not_promoted(spark, ops, store, monkeypatch):
 def test_missing_tables_and_raw_rows_end_validation(spark, ops, store):
     version = M.refresh_mart(store, "mes_ops", ops, "b1", refreshed_at=NOW).version
     expected = store.read("sources").withColumnRenamed("last_build_id", "build_id")
-    assert M.is_valid(M.validate_version(store, version, expected, ops, 3))
-    raw = M.validate_version(store, version, expected, ops, 4)
+    assert M.is_valid(M.validate_mart(store, version, expected, ops, 3))
+    raw = M.validate_mart(store, version, expected, ops, 4)
     assert [r.check for r in raw.collect()] == ["raw_row_count"]
-    assert [r.check for r in M.validate_version(store, version, expected, ops + "_absent", 3).collect()] == ["raw_table"]
-    store.folder.remove(f"versions/{version}/files")
-    assert [r.check for r in M.validate_version(store, version, expected, ops, 3).collect()] == ["metadata_table"]
+    assert [r.check for r in M.validate_mart(store, version, expected, ops + "_absent", 3).collect()] == ["raw_table"]
+    store.folder.remove(f"parts/{store.parts(version)['mes_ops']['OPS_TABLE']}/files")
+    assert [r.check for r in M.validate_mart(store, version, expected, ops, 3).collect()] == ["metadata_table"]
     with pytest.raises(FileNotFoundError):
         store.promote(version)
 
@@ -134,3 +134,40 @@ def test_rows_without_a_month_are_listed_and_counted(spark, store, tmp_path):
     undated.write.parquet(f"{root}/year=__HIVE_DEFAULT_PARTITION__/month=__HIVE_DEFAULT_PARTITION__")
     assert M.refresh_mart(store, "d", root, "b1", refreshed_at=NOW).promoted
     assert {(r.partition_start, r.row_count) for r in store.read("files").collect()} == {(dt.date(2026, 1, 1), 4), (None, 3)}
+
+
+def jobs_of(spark, label, run):
+    """How many jobs an action starts."""
+    spark.sparkContext.setJobGroup(label, label)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_refresh_writes_its_own_source_and_counts_new_files_only(spark, ops, store, tmp_path):
+    other = str(tmp_path / "EQUIPMENT")
+    write(spark, other, 4, [(9, 9)])
+    M.refresh_mart(store, "mes_ops", other, "b1", refreshed_at=NOW)
+    M.refresh_mart(store, "mes_ops", ops, "b2", refreshed_at=NOW)
+    before = {name for name, _ in store.folder.list("parts")}
+    write(spark, ops, 5, [(5, 50), (6, 60), (7, 70)])
+    assert jobs_of(spark, "refresh", lambda: M.refresh_mart(store, "mes_ops", ops, "b3", "incremental", NOW)) <= 10
+    assert len({name for name, _ in store.folder.list("parts")} - before) == 1
+    assert store.parts(store.current_version())["mes_ops"]["EQUIPMENT"] in before
+    known = P.file_stats(spark, ops).withColumn("row_count", F.lit(1000).cast("long"))
+    write(spark, ops, 6, [(8, 80)])
+    got = {(r.partition_start.month, r.row_count) for r in P.file_stats(spark, ops, known).collect()}
+    assert got == {(3, 1000), (4, 1000), (5, 1000), (6, 1)}
+    changed = known.withColumn("length", F.when(F.month("partition_start") == 3, 1).otherwise(F.col("length")))
+    got = {(r.partition_start.month, r.row_count) for r in P.file_stats(spark, ops, changed).collect()}
+    assert got == {(3, 2), (4, 1000), (5, 1000), (6, 1)}
+
+
+def test_removed_files_leave_an_incremental_refresh(spark, ops, store):
+    M.refresh_mart(store, "mes_ops", ops, "b1", refreshed_at=NOW)
+    from martloom.sources.storage import Folder
+    Folder(spark, ops).remove("year=2026/month=03")
+    assert M.refresh_mart(store, "mes_ops", ops, "b2", "incremental", NOW).promoted
+    assert [(r.partition_start, r.row_count, r.last_build_id) for r in store.read("files").collect()] == [(APRIL, 1, "b2")]

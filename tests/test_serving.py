@@ -61,15 +61,34 @@ def test_detail(files):
     assert [r[2] for r in rows(S.detail_sorted(files, user))] == ["equipment.parquet", "april.parquet", "march.parquet"]
 
 
-def test_deep_pages_agree_with_top_k(spark):
-    from pyspark.sql import functions as F
-    from martloom.operators.paging import page
-
-    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
-    order = [F.col("k").desc_nulls_last(), F.col("id").asc()]
-    for number, size in ((1, 10), (17, 123), (41, 123), (50, 100), (51, 100)):
-        near = rows(page(df, order, number, size))
-        assert rows(page(df, order, number, size, top_k_rows=0)) == near
+def test_deep_pages_agree_with_a_whole_sort(spark):
+    from martloom.operators.paging import Sort, page, rank_slice
+
+    df = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id % 50 END AS k", "CAST(id % 11 AS STRING) AS name",
+        "CAST(id / 7 AS DOUBLE) AS x", "TIMESTAMP_NTZ '2026-01-01' + make_dt_interval(0, 0, 0, id % 977) AS at", "id")
+    for order in ([Sort("k", True), Sort("id")], [Sort("name"), Sort("x", True)], [Sort("at", True), Sort("k"), Sort("id", True)]):
+        want = rows(df.orderBy(*[t.column for t in order]))
+        for number, size in ((1, 10), (17, 123), (41, 123), (150, 100), (200, 100), (201, 100)):
+            got = rows(page(df, order, number, size))
+            assert got == want[(number - 1) * size:number * size]
+            assert rows(rank_slice(df, order, (number - 1) * size, size, sketch=60, pages_before=1)) == got
+
+
+def test_pages_of_rows_the_order_cannot_tell_apart(spark):
+    from martloom.operators.paging import Sort, page
+
+    df = spark.range(5000).selectExpr("1 AS k", "id")
+    assert page(df, [Sort("k")], 40, 100).count() == 100 and page(df, [Sort("k")], 51, 100).count() == 0
+
+
+def test_deep_pages_read_their_range_only(spark, sf_dir):
+    from martloom.operators.paging import Sort, rank_slice
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    text = rank_slice(orders, [Sort("o_orderkey")], 1000, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderkey" in text and "LessThanOrEqual(o_orderkey" in text
+    assert "TakeOrderedAndProject" in text and "Exchange" not in text
 
 
 def test_options(files):
