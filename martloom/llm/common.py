@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from martloom.sources.storage import settle
+from martloom.sources.storage import Folder, settle
 
 SLICE_ROWS = 512
 BATCH_ROWS = 1024
@@ -35,6 +35,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return settle(df, label)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stored frame that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        Folder(df.sparkSession, files[0].rsplit("/", 1)[0]).remove()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Small pieces of each batch, so Python objects of one piece only are alive; a worker's free memory goes back at the end."""
     for batch in batches:

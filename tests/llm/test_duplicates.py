@@ -146,3 +146,30 @@ def test_variants_of_a_passage_that_share_a_long_part(docs_of):
         found.setdefault(r["doc_id"], set()).add(r["other_id"])
     assert set(found) == set(want)
     assert all(found[d] <= want[d] for d in want)
+
+
+def test_a_shared_heading_makes_no_pairs_of_documents(docs_of, monkeypatch):
+    """Texts that share 30 words and nothing else: rows grow with the documents, and nothing is reported."""
+    rnd = random.Random(23)
+    heading, sizes, stored = prose(rnd, 30), [], substring_dedup.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        sizes[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", counted)
+    for n in (60, 180):
+        sizes.append(0)
+        texts = [f"{prose(rnd, 5)} {heading} {prose(rnd, 60)}" for _ in range(n)]
+        assert substring_dedup.repeated_passages(docs_of(texts)).count() == 0
+    assert sizes[1] < 3.6 * sizes[0]
+
+
+def test_passage_hashes_know_equal_passages():
+    rnd = np.random.default_rng(29)
+    one = rnd.integers(0, 2**63, 300).astype(np.uint64)
+    two = np.concatenate([rnd.integers(0, 2**63, 17).astype(np.uint64), one[40:140], rnd.integers(0, 2**63, 5).astype(np.uint64)])
+    a, b = substring_dedup.passage_hashes(one, 46), substring_dedup.passage_hashes(two, 46)
+    assert len(a) == 255 and np.array_equal(a[40:95], b[17:72]) and len(np.intersect1d(a, b)) == 55
+    assert len(substring_dedup.passage_hashes(one[:45], 46)) == 0
