@@ -103,9 +103,15 @@ def dashboard(spark, sf_dir):
     return out
 
 
+_STORES: dict[tuple[str, str], M.MartStore] = {}
+
+
 def _served(spark, sf_dir):
-    """The mart of raw tables that were loaded and promoted."""
-    return S.ServedMart.of_store(promoted_store(spark, sf_dir))
+    """The promoted mart of an application; its raw tables are loaded and refreshed once, and then only read."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        _STORES[key] = promoted_store(spark, sf_dir)
+    return S.ServedMart.of_store(_STORES[key])
 
 
 def served_summary(spark, sf_dir):
