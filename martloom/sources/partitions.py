@@ -107,22 +107,25 @@ def file_stats(spark: SparkSession, root: str, known: DataFrame | None = None) -
     if not has_files(spark, root):
         return spark.createDataFrame([], "file_path string, partition_start date, row_count bigint, length bigint, modified timestamp")
     files, data = listing(spark, root), scan(spark, root)
-    same, kept = ["file_path", "length", "modified"], None
-    columns = ["file_path", partition_date(F.col("year"), F.col("month")).alias("partition_start"), "row_count", "length", "modified"]
-    if known is not None:
-        kept = files.join(known.select(*same, "row_count"), same)
-        files = files.join(known.select(*same), same, "left_anti")
-        oldest = files.agg(F.min("modified")).first()[0]
-        if oldest is None:
-            return kept.select(*columns)
-        data = data.where(F.col("_metadata.file_modification_time") >= F.lit(oldest))
+    if known is None:
+        files = files.withColumn("_known", F.lit(None).cast("bigint"))
+    else:
+        same = ["file_path", "length", "modified"]
+        files = files.join(known.select(*same, F.col("row_count").alias("_known")), same, "left")
+        oldest = files.where("_known IS NULL").select("modified").orderBy("modified").first()
+        if oldest is not None:
+            data = data.where(F.col("_metadata.file_modification_time") >= F.lit(oldest[0]))
     # The scan reports its paths percent-encoded.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    counted = data.groupBy(path.alias("_path")).agg(F.count(F.lit(1)).alias("_rows"))
-    same_form = F.regexp_replace(F.col("file_path"), "^([a-z0-9]+):/+", "$1:/")
-    counted_form = F.regexp_replace(F.col("_path"), "^([a-z0-9]+):/+", "$1:/")
-    new = files.join(counted, same_form == counted_form, "left").withColumn("row_count", F.coalesce("_rows", F.lit(0))).select(*columns)
-    return new if kept is None else new.unionByName(kept.select(*columns))
+    if known is None or oldest is not None:
+        counted = data.groupBy(path.alias("_path")).agg(F.count(F.lit(1)).alias("_rows"))
+        same_form = F.regexp_replace(F.col("file_path"), "^([a-z0-9]+):/+", "$1:/")
+        counted_form = F.regexp_replace(F.col("_path"), "^([a-z0-9]+):/+", "$1:/")
+        files = files.join(counted, same_form == counted_form, "left")
+    else:
+        files = files.withColumn("_rows", F.lit(0))
+    return files.select("file_path", partition_date(F.col("year"), F.col("month")).alias("partition_start"),
+                        F.coalesce("_known", "_rows", F.lit(0)).alias("row_count"), "length", "modified")
 
 
 def partition_row_counts(spark: SparkSession, root: str) -> DataFrame:
