@@ -173,3 +173,39 @@ def test_passage_hashes_know_equal_passages():
     a, b = substring_dedup.passage_hashes(one, 46), substring_dedup.passage_hashes(two, 46)
     assert len(a) == 255 and np.array_equal(a[40:95], b[17:72]) and len(np.intersect1d(a, b)) == 55
     assert len(substring_dedup.passage_hashes(one[:45], 46)) == 0
+
+
+def test_changed_passages_in_crowded_keys_are_found(docs_of):
+    """The 44 words that all texts begin with crowd the keys; of the passages after them, later copies with a changed word are found."""
+    rnd = random.Random(37)
+    heading = prose(rnd, 44)
+    one = [f"{heading} {prose(rnd, 24)}" for _ in range(60)]
+    two = []
+    for text in one:
+        w = text.split()
+        w[47] = "changed"
+        two.append(" ".join(w))
+    texts = [f"{t} {prose(rnd, 6)}" for t in one] + [f"{t} {prose(rnd, 6)}" for t in two]
+    least = [[[int(substring_dedup._mix(substring_dedup.shingles(substring_dedup.words_of(t)) ^ seed).min()) for seed in substring_dedup._SEEDS]
+              for t in side] for side in (one, two)]
+    want = {(60 + i, i) for i in range(60) if sum(a == b for a, b in zip(least[0][i], least[1][i])) >= substring_dedup.AGREE}
+    found = substring_dedup.repeated_passages(docs_of(texts)).collect()
+    assert len(want) > 40
+    assert want <= {(r["doc_id"], r["other_id"]) for r in found}
+    assert all(r["doc_id"] == 60 + r["other_id"] and r["similarity"] >= 0.8 for r in found)
+
+
+def test_rarest_places_meet_every_similar_passage():
+    """Of any passage, more than a fifth of what isn't repeated is marked, and unlike ends of common words are enough."""
+    rnd = np.random.default_rng(41)
+    for repeats in (0, 8):
+        values = rnd.integers(0, 2**63, 150).astype(np.uint64)
+        values[100:100 + repeats] = values[:repeats]
+        marks = substring_dedup.rarest_places(values, rnd.integers(1, 50, 150), 46)
+        for start in range(105):
+            for end in range(start + 46, 151):
+                mine = values[start:end]
+                assert len(np.unique(mine[marks[start:end]])) > 0.2 * len(mine) * (1 - repeats / 46)
+    counts = np.repeat([9000, 1], [34, 16])
+    assert not substring_dedup.rarest_places(np.arange(50).astype(np.uint64), counts, 46)[:34].any()
+    assert substring_dedup.rarest_places(np.zeros(60, np.uint64), np.ones(60, int), 46).all()
