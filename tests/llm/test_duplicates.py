@@ -209,3 +209,35 @@ def test_rarest_places_meet_every_similar_passage():
     counts = np.repeat([9000, 1], [34, 16])
     assert not substring_dedup.rarest_places(np.arange(50).astype(np.uint64), counts, 46)[:34].any()
     assert substring_dedup.rarest_places(np.zeros(60, np.uint64), np.ones(60, int), 46).all()
+
+
+def test_repeated_words_make_few_windows():
+    """Of a shingle that a text repeats, few places have a window, and every wide passage is still held by one of its least shingle."""
+    rnd = np.random.default_rng(43)
+    run = np.full(1000, 7, np.uint64)
+    mixed = np.concatenate([run[:90], rnd.integers(0, 2**63, 60).astype(np.uint64), np.tile(np.arange(3), 40).astype(np.uint64), run[:70]])
+    for number, owner, key, left, place, right in substring_dedup.compact_windows([run, mixed], 46):
+        assert (owner == 0).sum() < 1000 / substring_dedup.STEP * 2
+        hashes = substring_dedup._mix(mixed ^ substring_dedup._SEEDS[number])
+        assert np.array_equal(key[owner == 1].view(np.uint64), hashes[place[owner == 1]])
+        for start in range(len(mixed) - 45):
+            for end in range(start + 45, len(mixed), 7):
+                held = (owner == 1) & (left <= start) & (start <= place) & (place <= end) & (end <= right)
+                assert set(key[held].view(np.uint64)) == {hashes[start:end + 1].min()}
+
+
+def test_places_without_a_similar_passage_are_known():
+    """Compared with all passages: none that few enough shingles of the text alone fill is left out, and a shared heading is not enough."""
+    rnd = np.random.default_rng(47)
+    for _ in range(20):
+        values = rnd.integers(0, 30, 70).astype(np.uint64)
+        counts = rnd.integers(1, 3, 30)[values.astype(int)] if rnd.random() < 0.5 else np.where(values < 26, 2, 1)
+        spans = np.array([(l, l + 50, l + c, l + c + 4) for l in range(0, 20, 3) for c in (0, 20, 46)])
+        may = substring_dedup.can_be_similar(values, counts, spans, 46)
+        for (l, r, low, high), known in zip(spans.tolist(), may):
+            for a in range(l, low + 1):
+                for b in range(max(high, a + 45), r + 1):
+                    alone = len(np.unique(values[a:b + 1][counts[a:b + 1] == 1]))
+                    assert known or alone > 0.2 * len(np.unique(values[a:b + 1]))
+    heading = np.repeat([50, 1], [34, 40])
+    assert not substring_dedup.can_be_similar(np.arange(74).astype(np.uint64), heading, np.array([(0, 73, 3, 20)]), 46).any()
