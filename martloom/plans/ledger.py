@@ -216,7 +216,7 @@ QUERIES = {
     for f in (
         latest_run, latest_success, active_run, active_any, recent_runs, runs_page, runs_page_deep, typed_runs, latest_state, runs_total, run_with_steps,
         ledger_delete_semi, ledger_delete_anti, records_processed, run_step_counts, first_failed_step, failure_text,
-        pause_state, dataset_names, job_overview, ledger_search, ledger_filter_state, ledger_browse, tone_counts,
+        pause_state, dataset_names, job_overview, pipeline_overview, ledger_search, ledger_filter_state, ledger_browse, tone_counts,
         latest_finish, recent_activity, recent_failures, run_summary, run_summary_recent, step_order, latest_step_instance,
         step_outcomes, ledger_grid, run_graph, step_timeline, task_rows, step_bars, run_events, stats_24h, stats_24h_recent,
     )
