@@ -241,3 +241,29 @@ def test_places_without_a_similar_passage_are_known():
                     assert known or alone > 0.2 * len(np.unique(values[a:b + 1]))
     heading = np.repeat([50, 1], [34, 40])
     assert not substring_dedup.can_be_similar(np.arange(74).astype(np.uint64), heading, np.array([(0, 73, 3, 20)]), 46).any()
+
+
+def test_windows_meet_within_their_document_only():
+    """Pairs of windows of several documents at once are those of each document alone."""
+    rnd = np.random.default_rng(53)
+    documents = [rnd.integers(0, most, n).astype(np.uint64) for most, n in ((2**62, 300), (30, 200), (2**62, 46), (90, 500))]
+    every = [np.concatenate(x) for x in zip(*((o, k, np.full(len(k), f), l, c, r) for f, o, k, l, c, r in substring_dedup.compact_windows(documents, 46)))]
+    order = np.argsort(every[0], kind="stable")
+    owner, *rows = (x[order] for x in every)
+    together = set(zip(*(x.tolist() for x in substring_dedup.meeting_pairs(*rows, 46, owner))))
+    alone = set()
+    for d in range(len(documents)):
+        one = substring_dedup.meeting_pairs(*(x[owner == d] for x in rows), 46, np.zeros((owner == d).sum(), int))
+        alone |= {(d, *x) for x in zip(*(y.tolist() for y in one[1:]))}
+    assert together == alone and len(alone) > 100
+
+
+def test_places_of_overlapping_stretches_are_marked_together():
+    """Every place that a stretch alone needs is among those of all, and stretches that lie apart have nothing in common."""
+    rnd = np.random.default_rng(59)
+    values, counts = rnd.integers(0, 2**63, 400).astype(np.uint64), rnd.integers(1, 9, 400)
+    stretches = np.array([(0, 80), (10, 60), (40, 130), (300, 399), (300, 360)])
+    marks = substring_dedup._marked(values, counts, stretches, 46)
+    for a, b in stretches.tolist():
+        assert marks[a:b + 1][substring_dedup.rarest_places(values[a:b + 1], counts[a:b + 1], 46)].all()
+    assert not marks[131:300].any() and not substring_dedup._marked(values, counts, np.zeros((0, 2), int), 46).any()
