@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from martloom.llm.common import slices, small_batches, stored, texts
+from martloom.llm.common import release, slices, small_batches, stored, texts
 
 FOLDS = 4
 HELD_OUT_FOLD = 2
@@ -186,8 +186,14 @@ def fit_models(grams: DataFrame, subsets: list[list[int]]) -> list[Model]:
 
 
 def _columns(frame: DataFrame) -> list[np.ndarray]:
-    got = frame.toArrow()
-    return [got.column(c).to_numpy() for c in got.column_names]
+    """A frame's columns, one at a time; what Arrow held goes back to the system."""
+    got, out = frame.toArrow(), []
+    while got.num_columns:
+        out.append(got.column(0).to_numpy())
+        got = got.remove_column(0)
+    del got
+    release()
+    return out
 
 
 def _shared_probabilities(counts: np.ndarray) -> np.ndarray:
@@ -312,7 +318,10 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         sent.destroy()
     sample = pa.concat_tables(unseen)
     weights = fit_curve(np.stack([sample.column(c).to_numpy() for c in FEATURES], 1), sample.column("toxic").to_numpy().astype(float))
-    return Scorer(send(chosen, models[0]), weights, 0.0)
+    sent = send(chosen, models.pop())
+    del sample, unseen
+    release()
+    return Scorer(sent, weights, 0.0)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", curve_rows: int = CURVE_ROWS) -> DataFrame:

@@ -66,3 +66,14 @@ def test_letters_of_other_scripts_end_no_words():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     lowered = [c for c in points if len(c.lower()) == 1]
     assert [c for c, x in zip(lowered, toxicity._symbols("".join(lowered))) if x == 0] == [c for c in lowered if c.isspace()]
+
+
+def test_collected_counts_leave_no_memory_behind(spark):
+    """What the driver held for columns of counts goes back to the system with them."""
+    held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) / 1024
+    frame = spark.range(4_000_000, numPartitions=8).selectExpr("CAST(id AS INT) AS cell", "CAST(id AS FLOAT) AS a", "CAST(id % 7 AS FLOAT) AS b")
+    toxicity._columns(frame.limit(10))
+    before = held()
+    columns = toxicity._columns(frame)
+    assert len(columns) == 3 and len(columns[0]) == 4_000_000 and sum(map(np.ndarray.nbytes.__get__, columns)) == 48_000_000
+    assert held() - before < 48 + 16
