@@ -267,3 +267,46 @@ def test_places_of_overlapping_stretches_are_marked_together():
     for a, b in stretches.tolist():
         assert marks[a:b + 1][substring_dedup.rarest_places(values[a:b + 1], counts[a:b + 1], 46)].all()
     assert not marks[131:300].any() and not substring_dedup._marked(values, counts, np.zeros((0, 2), int), 46).any()
+
+
+def _similar_passages(values, l, r, low, high, width):
+    """The different shingles of each passage of the width inside l to r that holds low to high."""
+    return [set(values[a:b + 1].tolist()) for a in range(l, low + 1) for b in range(max(high, a + width - 1), r + 1)]
+
+
+def test_repeated_shingles_are_marked_by_their_core():
+    """Of every passage of a span over repeated shingles more are marked than it could lack; a common line beside them isn't."""
+    rnd = np.random.default_rng(61)
+    for _ in range(30):
+        values = rnd.integers(0, int(rnd.choice([12, 40, 400])), 110).astype(np.uint64)
+        counts = rnd.integers(1, 9, 400)[values.astype(int)]
+        spans = np.array([(l, r, c, c + n) for l, r in ((0, 109), (7, 60)) for c in (10, 30, 50) for n in (0, 9, 50) if c + n <= r])
+        for span in spans.tolist():
+            marks, enough = substring_dedup.core_places(values, counts, np.array([span]), 46)
+            marked = set(values[marks].tolist())
+            assert not enough.any() or all(len(p & marked) > 0.2 * len(p) for p in _similar_passages(values, *span, 46))
+    line, phrase = np.arange(9), np.arange(100, 131)
+    values = np.concatenate([line, np.tile(phrase, 12)]).astype(np.uint64)
+    spans = np.array([(0, len(values) - 1, 0, 7), (0, len(values) - 1, 40, 42), (0, len(values) - 1, 200, 201)])
+    marks = substring_dedup._marked_spans(values, np.where(values < 9, 9000, 2), spans, 46)
+    assert marks.any() and not marks[:9].any()
+
+
+def test_spans_that_may_meet_another_text():
+    """No passage that is similar enough is left out; texts that share a line beside repeated phrases or a word of many don't meet."""
+    rnd = np.random.default_rng(67)
+    for _ in range(30):
+        values = rnd.integers(0, int(rnd.choice([12, 60, 4000])), 100).astype(np.uint64)
+        known = rnd.random((4, 4000)) < np.array([[1], [0.9], [0.8], [0.5]])
+        shared = known[:, values.astype(int)]
+        spans = np.array([(l, r, c, c + n) for l, r in ((0, 99), (7, 60)) for c in (10, 30, 50) for n in (0, 9, 49) if c + n <= r])
+        may = substring_dedup.may_meet(values, shared, spans, 46)
+        for row, has in zip(may, known):
+            for m, span in zip(row, spans.tolist()):
+                assert m or all(sum(has[x] for x in p) < 0.8 * len(p) for p in _similar_passages(values, *span, 46))
+    assert substring_dedup.may_meet(values, np.ones((1, 100), bool), spans, 46).all()
+    phrases = np.concatenate([np.arange(9), np.tile(np.arange(100, 131), 12)]).astype(np.uint64)
+    shared = np.array([phrases < 9, phrases % 6 > 0])
+    assert substring_dedup.may_meet(phrases, shared, np.array([(0, 380, 3, 20), (0, 380, 90, 91)]), 46).tolist() == [[False] * 2, [True] * 2]
+    bits = np.unpackbits(np.frombuffer(substring_dedup._sketch(phrases), np.uint8))
+    assert bits[(phrases & np.uint64(len(bits) - 1)).astype(int)].all()
