@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from martloom.llm.common import slices, stored
-from martloom.llm.vectors import best, matrix, packed, valid_vectors
+from martloom.llm.common import release, stored
+from martloom.llm.vectors import best, valid_vectors
 
 SHARD_ROWS = 16_384
 LINKS = 16
@@ -23,6 +23,7 @@ SLACK = 16
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 128
 PACKET = 256
+QUERIES = 16_384
 
 
 class Graph:
@@ -180,51 +181,95 @@ INDEX = "shard int, ids array<array<bigint>>, vectors binary, dimension int, lev
 
 def build_index(rows: DataFrame, k: int) -> DataFrame:
     """One row per shard of (vec_id, v): the distinct vectors, the ids they stand for, and the graph's flat arrays."""
-    n = rows.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    dealt = packed(rows.withColumn("shards", F.lit(shards)), [], "shards", SHARD_ROWS)
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    # Each shard's rows come to a task of its own as they are, none of them in a row of the whole shard.
+    dealt = rows.select(_dealt(shards).alias("shard"), "vec_id", "v").repartitionById(shards, "shard").sortWithinPartitions("shard")
+
+    def indexed(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, x = _vectors(parts)
+        order = np.argsort(ids, kind="stable")
+        vectors, held = _unique(ids[order], x[order], k + 1)
+        order = np.random.default_rng(1).permutation(len(vectors))
+        vectors, held = vectors[order], [held[i] for i in order]
+        flat = Graph(_augmented(vectors)).flat()
+        values = {"shard": shard, "ids": held, "vectors": vectors.astype("<f8").tobytes(), "dimension": vectors.shape[1], **flat}
+        return pa.RecordBatch.from_pylist([values], schema=pa.schema([
+            ("shard", pa.int32()), ("ids", pa.list_(pa.list_(pa.int64()))), ("vectors", pa.binary()), ("dimension", pa.int32()),
+            ("levels", pa.binary()), ("entry", pa.int32()), ("near", pa.list_(pa.binary())), ("count", pa.list_(pa.binary()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in slices(batches, 1):
-            ids, x = matrix(row.column(1)[0].as_py())
-            vectors, held = _unique(ids, x, k + 1)
-            order = np.random.default_rng(1).permutation(len(vectors))
-            vectors, held = vectors[order], [held[i] for i in order]
-            flat = Graph(_augmented(vectors)).flat()
-            values = {"shard": row.column(0)[0].as_py(), "ids": held, "vectors": vectors.astype("<f8").tobytes(), "dimension": vectors.shape[1], **flat}
-            yield pa.RecordBatch.from_pylist([values], schema=pa.schema([
-                ("shard", pa.int32()), ("ids", pa.list_(pa.list_(pa.int64()))), ("vectors", pa.binary()), ("dimension", pa.int32()),
-                ("levels", pa.binary()), ("entry", pa.int32()), ("near", pa.list_(pa.binary())), ("count", pa.list_(pa.binary()))]))
+        last, parts = None, []
+        for shard, part in _runs(batches):
+            if shard != last and parts:
+                yield indexed(last, parts)
+                parts = []
+            last = shard
+            parts.append(part)
+        if parts:
+            yield indexed(last, parts)
+        release()
 
-    return dealt.repartition(shards, "part").mapInArrow(run, INDEX)
+    return dealt.mapInArrow(run, INDEX)
+
+
+def _dealt(parts: int):
+    """The number of the part that a row belongs to by its id."""
+    return F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of rows that are ordered by their first column cut where its value changes, with the value."""
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield int(keys[a]), batch.slice(a, b - a)
+
+
+def _vectors(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of rows whose columns vec_id and v are set."""
+    ids = np.concatenate([p.column("vec_id").to_numpy() for p in parts])
+    return ids, np.concatenate([p.column("v").flatten().to_numpy() for p in parts]).reshape(len(ids), -1)
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found over all shards, for queries (vec_id, v)."""
-    packets = packed(queries.withColumn("packets", F.lit(max(1, -(-queries.count() // PACKET)))), [], "packets", PACKET)
-    last_shard = index.agg(F.max("shard")).first()[0] or 0
-    asked = packets.select(F.col("rows").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(last_shard))).alias("shard"))
-    joined = index.join(asked, "shard")
+    """query_id, rank, vec_id, score of the k nearest found over all shards, for queries (vec_id, v).
+
+    A task has one shard and about QUERIES queries; the shard's row comes first and once, and its queries follow as rows of their own.
+    """
+    parts = max(1, -(-queries.count() // QUERIES))
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    names = [c for c in index.columns if c != "shard"]
+    wanted = index.withColumn("part", each(parts)).select((F.col("shard") * parts + F.col("part")).alias("task"), F.lit(0).alias("kind"), *names,
+                                                          F.lit(None).cast("bigint").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"))
+    nothing = [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in names]
+    asked = queries.withColumn("part", _dealt(parts)).withColumn("shard", each(shards))
+    asked = asked.select((F.col("shard") * parts + F.col("part")).alias("task"), F.lit(1).alias("kind"), *nothing, "vec_id", "v")
+    joined = wanted.unionByName(asked).repartitionById(shards * parts, "task").sortWithinPartitions("task", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph, exact, held = None, None, None, None
-        for row in slices(batches, 1):
-            r = {name: row.column(i)[0] for i, name in enumerate(row.schema.names)}
-            if r["shard"].as_py() != last:
-                last = r["shard"].as_py()
-                exact = np.frombuffer(r["vectors"].as_py(), "<f8").reshape(-1, r["dimension"].as_py())
-                graph = Graph.of_flat(_augmented(exact), {c: r[c].as_py() for c in ("levels", "entry", "near", "count")})
-                held = r["ids"].as_py()
-            query_ids, q = matrix(r["queries"].as_py())
-            out = []
-            for query, vector in zip(query_ids.tolist(), q):
-                found = graph.search(np.append(vector, 0).astype(np.float32), max(width, k + 1))
-                scores = exact[found] @ vector
-                near = [(-s, i) for s, x in zip(scores.tolist(), found) for i in held[x] if i != query]
-                out += [(query, i, -s) for s, i in heapq.nsmallest(k, near)]
-            columns = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-                                             ["query_id", "vec_id", "score"])
+        graph, exact, held = None, None, None
+        for _, rows in _runs(batches):
+            if rows.column("kind")[0].as_py() == 0:
+                r = {name: rows.column(name)[0].as_py() for name in names}
+                exact = np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dimension"])
+                graph = Graph.of_flat(_augmented(exact), {c: r[c] for c in ("levels", "entry", "near", "count")})
+                held = r["ids"]
+                rows = rows.slice(1)
+            for start in range(0, rows.num_rows, PACKET):
+                query_ids, q = _vectors([rows.slice(start, PACKET)])
+                out = []
+                for query, vector in zip(query_ids.tolist(), q):
+                    found = graph.search(np.append(vector, 0).astype(np.float32), max(width, k + 1))
+                    scores = exact[found] @ vector
+                    near = [(-s, i) for s, x in zip(scores.tolist(), found) for i in held[x] if i != query]
+                    out += [(query, i, -s) for s, i in heapq.nsmallest(k, near)]
+                columns = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+                                                 ["query_id", "vec_id", "score"])
+        release()
 
     return best(joined.mapInArrow(run, "query_id bigint, vec_id bigint, score double"), k)
 

@@ -82,3 +82,24 @@ def test_flat_arrays_hold_the_graph():
     graph = ann.Graph(x)
     again = ann.Graph.of_flat(x, graph.flat())
     assert all(graph.search(q, 30) == again.search(q, 30) for q in x[:20])
+
+
+def test_a_shard_crosses_once_for_many_queries(spark, monkeypatch):
+    """However many packets of queries there are, a shard's vectors and graph come once for QUERIES of them; small batches change nothing."""
+    rnd = random.Random(3)
+    v = vectors(rnd, 900, 6)
+    frame = spark.createDataFrame([(i, x, 1, 0.0) for i, x in enumerate(v)], SCHEMA)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 300)
+    monkeypatch.setattr(ann, "PACKET", 8)
+    rows = frame.select("vec_id", frame.embedding.cast("array<double>").alias("v"))
+    index = ann.build_index(rows, 5).cache()
+    inputs, run = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, *a, **b: inputs.append(self) or run(self, *a, **b))
+    want = sorted(map(tuple, ann.search_index(index, rows, 5).collect()))
+    assert len(want) == 5 * 900
+    assert inputs[-1].where("vectors IS NOT NULL").count() == index.count() == 3
+    for name, value in (("QUERIES", 50), ("PACKET", 256)):
+        monkeypatch.setattr(ann, name, value, raising=False)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert sorted(map(tuple, ann.search_index(index, rows, 5).collect())) == want
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
